@@ -1,0 +1,13 @@
+"""Model persistence (S8/S9): save a fitted pipeline (overwrite) and load it back."""
+
+from __future__ import annotations
+
+from pyspark.ml import PipelineModel
+
+
+def save_model(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_pipeline(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

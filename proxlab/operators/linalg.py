@@ -192,8 +192,11 @@ class RowPassOperator:
                  method: str = "auto"):
         self.df = df.select(features, label).persist()
         self.features, self.label, self.n = features, label, n
-        self.method = method if method != "auto" else ("jvm" if n <= JVM_UNROLL_MAX else "arrow")
-        mo = moments(self.df, n, features, label, with_gram=False, method=self.method)
+        # the product changes v on every call; inlined literals would recompile the generated
+        # code each time, so the Arrow kernel with a broadcast v is the default.
+        self.method = method if method != "auto" else "arrow"
+        mo = moments(self.df, n, features, label, with_gram=False,
+                     method="jvm" if n <= JVM_UNROLL_MAX else "arrow")
         self.c, self.bb, self.m, self.trace = mo.c, mo.bb, mo.m, mo.trace
         self.passes = 1
 

@@ -1 +1,137 @@
-"""Placeholder."""
+"""Learner queries: logistic models (C1-C11, E15, E16); trees, boosting and tuning."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import linalg, logistic, solvers
+from . import fixtures as fx
+from . import sqlgen as sg
+from .registry import register, rnd
+
+IDS = fx.LINEITEM_IDS
+IDS_SQL = ", ".join(IDS)
+D_PLANT = fx.sql_lineitem_design("planted")
+
+
+def _weights(res, spark):
+    return res.weights_df(spark).select("class", "feat_id", rnd("weight").alias("weight"))
+
+
+def _emb_with_bias(spark, sf_dir):
+    e = fx.embeddings_design(spark, sf_dir)
+    return e.withColumn("features", F.concat("features", F.array(F.lit(1.0))))
+
+
+@register("logit_lbfgs_binary")
+def q_logit_lbfgs_binary(spark, sf_dir):
+    """Binary logistic by L-BFGS; L2 (0.1) on all weights incl. the bias column; 10 corrections."""
+    df = fx.lineitem_design(spark, sf_dir, "binary")
+    return _weights(logistic.fit_lbfgs(df, 4, 2, reg=0.1, corrections=10, tol=1e-5, maxit=100), spark)
+
+
+@register("logit_lbfgs_history")
+def q_logit_lbfgs_history(spark, sf_dir):
+    """E15 for C1: objective per L-BFGS iteration."""
+    df = fx.lineitem_design(spark, sf_dir, "binary")
+    res = logistic.fit_lbfgs(df, 4, 2, reg=0.1, corrections=10, tol=1e-5, maxit=100)
+    return res.history_df(spark).select("iter", rnd("objective").alias("objective"))
+
+
+@register("logit_sgd_multinomial")
+def q_logit_sgd_multinomial(spark, sf_dir):
+    """10-class softmax (pivot 0) by mini-batch SGD: step 10/sqrt(i), 200 iterations, 1 % batches."""
+    df = _emb_with_bias(spark, sf_dir)
+    res = logistic.fit_minibatch_sgd(df, 65, 10, step_size=10.0, iters=200, reg=1e-3, fraction=0.01)
+    return _weights(res, spark)
+
+
+@register("logit_sgd_binary")
+def q_logit_sgd_binary(spark, sf_dir):
+    """The same SGD with K = 2 on the planted binary lineitem problem."""
+    df = fx.lineitem_design(spark, sf_dir, "binary")
+    return _weights(logistic.fit_minibatch_sgd(df, 4, 2, step_size=10.0, iters=200, reg=1e-3, fraction=0.01), spark)
+
+
+@register("logit_parallel_sgd")
+def q_logit_parallel_sgd(spark, sf_dir):
+    """Parallel local SGD with per-epoch weighted averaging (100 epochs)."""
+    df = fx.lineitem_design(spark, sf_dir, "binary").withColumn("_k", F.xxhash64(*IDS))
+    res = logistic.fit_parallel_sgd(df, 4, 2, epochs=100, step_size=1.0, key="_k")
+    return _weights(res, spark)
+
+
+@register("logit_parallel_sgd_multi")
+def q_logit_parallel_sgd_multi(spark, sf_dir):
+    """C4: the multinomial variant on the embeddings (10 classes)."""
+    df = _emb_with_bias(spark, sf_dir)
+    res = logistic.fit_parallel_sgd(df, 65, 10, epochs=100, step_size=1.0, key="vec_id")
+    return _weights(res, spark)
+
+
+@register("logit_lbfgs_multinomial")
+def q_logit_lbfgs_multinomial(spark, sf_dir):
+    """Pyspark.ml multinomial L-BFGS, no intercept, no regularization."""
+    from pyspark.ml.functions import array_to_vector
+    df = fx.embeddings_design(spark, sf_dir).withColumn("features", array_to_vector("features"))
+    model = logistic.multinomial_lbfgs().fit(df)
+    rep = logistic.coefficient_report(spark, model)
+    return rep.select("class", "feat_id", rnd("weight").alias("weight"))
+
+
+def _en_query(family):
+    def q(spark, sf_dir):
+        from pyspark.ml.functions import array_to_vector
+        from ..operators.prep import hash_split_col
+        df = fx.lineitem_design(spark, sf_dir, "binary")
+        df = df.select(F.slice("features", 1, 3).alias("features"), "label", "l_orderkey")
+        train = df.filter(hash_split_col("l_orderkey", 80, 0)).withColumn("features", array_to_vector("features"))
+        model = logistic.elastic_net(family=family).fit(train)
+        rep = logistic.coefficient_report(spark, model)
+        return rep.select("class", "feat_id", rnd("weight").alias("weight"))
+    return q
+
+
+register("logit_elastic_net")(_en_query("binomial"))
+register("logit_elastic_net_multinomial")(_en_query("multinomial"))
+
+# fixed values: the scoring weights used by the prediction operators
+PRED_W = [4.0, -3.0, 2.0, -1.5]
+PRED_W3 = [[4.0, -3.0, 2.0, -1.5], [8.0, -6.0, 4.0, -3.0]]
+
+
+def _dot_sql(w):
+    return " + ".join(f"f{j} * {sg.d(v)}" for j, v in enumerate(w))
+
+
+@register("predict_score", f"SELECT {IDS_SQL}, "
+          + sg.rnd(f"{sg.d(1.0)} / ({sg.d(1.0)} + exp(-(({_dot_sql(PRED_W)}) + {sg.d(0.0)})))")
+          + f" AS score FROM ({D_PLANT}) A")
+def q_predict_score(spark, sf_dir):
+    """Sigmoid scores (threshold cleared) from a weight vector."""
+    df = fx.lineitem_design(spark, sf_dir)
+    return df.select(*IDS, rnd(logistic.predict_score("features", PRED_W)).alias("score"))
+
+
+@register("predict_class", f"SELECT {IDS_SQL}, CAST(list_position(list_value({sg.d(0.0)}, "
+          f"{_dot_sql(PRED_W3[0])}, {_dot_sql(PRED_W3[1])}), list_max(list_value({sg.d(0.0)}, "
+          f"{_dot_sql(PRED_W3[0])}, {_dot_sql(PRED_W3[1])}))) - 1 AS DOUBLE) AS prediction FROM ({D_PLANT}) A")
+def q_predict_class(spark, sf_dir):
+    """Multinomial argmax with pivot class 0."""
+    df = fx.lineitem_design(spark, sf_dir)
+    return df.select(*IDS, logistic.predict_class("features", PRED_W3).alias("prediction"))
+
+
+_PL_TAIL = (f"SELECT {', '.join('T.' + c for c in IDS)}, "
+            + sg.rnd(" + ".join(f"T.f{j} * W.x{j}" for j in range(4)))
+            + f" AS prediction FROM ({D_PLANT}) T, {{FINAL}} W")
+
+
+@register("predict_linear", sg.fista_sql(D_PLANT, 4, "l1", f"{sg.d(0.01)} * CAST(m AS DOUBLE)",
+                                         f"{sg.d(1.0)} / tr", 100, tail=_PL_TAIL))
+def q_predict_linear(spark, sf_dir):
+    """C11: a.x with weights fitted by fixed-step FISTA."""
+    df = fx.lineitem_design(spark, sf_dir)
+    op = linalg.make_operator(df, 4)
+    res = solvers.fista(op, lam=0.01 * op.m, penalty="l1", maxit=100, step=1.0 / op.trace, line_search=False)
+    return df.select(*IDS, rnd(logistic.predict_linear("features", res.x)).alias("prediction"))

@@ -122,3 +122,39 @@ def sql_lineitem_design(target: str = "planted") -> str:
     """SELECT producing ids, label, f0..f3 (scalar columns) from lineitem."""
     feats = ", ".join(f"{e} AS f{j}" for j, e in enumerate(SQL_FEATS))
     return f"SELECT {', '.join(LINEITEM_IDS)}, {sql_label(target)} AS label, {feats} FROM lineitem"
+
+
+# ------------------------------------------------------------------ tabular stand-ins
+
+def bank_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixed string / numeric columns with a string label ``y`` (yes / no from the class score)."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select("l_orderkey", "l_returnflag", "l_linestatus",
+                     F.date_format("l_shipdate", "MMM").alias("ship_month"),
+                     "l_quantity", "l_discount", "l_tax", "l_extendedprice",
+                     F.when(_class_score() > 0, "yes").otherwise("no").alias("y"))
+
+
+def covtype_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numeric columns and an integer label 1..3 (not 0-based, so it is re-indexed)."""
+    li = table(spark, sf_dir, "lineitem")
+    s = _class_score()
+    lab = F.when(s < MULTI_CUTS[0], 1).when(s < MULTI_CUTS[1], 2).otherwise(3)
+    return li.select("l_orderkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_linenumber",
+                     lab.alias("Cover_Type"))
+
+
+# fixed values of the planted part price: 20 per size unit, 30 per character of the type name
+HOUSE_SIZE_W, HOUSE_TYPE_W = 20.0, 30.0
+
+
+def house_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regression target with nulls injected by key; the name column is dropped like an id."""
+    p = table(spark, sf_dir, "part")
+    price = (F.col("p_size") * HOUSE_SIZE_W + F.length("p_type") * HOUSE_TYPE_W
+             + F.pmod(F.col("p_partkey") * HASH_MUL[0], F.lit(1000)).cast("double") / 10.0)
+    return p.select("p_partkey", "p_name",
+                    F.when(F.col("p_partkey") % 13 == 5, F.lit(None).cast("string")).otherwise(F.col("p_brand"))
+                    .alias("p_brand"), "p_type",
+                    F.when(F.col("p_partkey") % 17 == 0, F.lit(None).cast("int")).otherwise(F.col("p_size"))
+                    .alias("p_size"), "p_retailprice", price.alias("SalePrice"))

@@ -5,9 +5,9 @@ score >= s -- a global running sum.  A window ordered over the whole table would
 row into one task, so the scan is done in two levels:
 
 1. ``groupBy(score)`` -> one row per distinct score with (pos, neg)  (map-side partial counts)
-2. ``repartitionByRange(P, score desc)`` and per-partition totals (P rows)
-3. offsets = exclusive running sum of the P totals (P is the partition count: a proven bound),
-   broadcast back; within each range partition a running window adds the local counts.
+2. ordered buckets from quantile bounds of the distinct scores, and per-bucket totals
+3. offsets = exclusive running sum of the bucket totals (at most P rows: a proven bound),
+   broadcast back; within each bucket a running window adds the local counts.
 
 The trapezoid for the point k only needs the point before it, which is the cumulative count
 minus the row's own counts -- no lag across partitions is necessary.
@@ -15,7 +15,9 @@ minus the row's own counts -- no lag across partitions is necessary.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,15 +32,26 @@ def prefix_sums(df: DataFrame, order_col: str, cols: list[str], descending: bool
     """Inclusive running sums of ``cols`` in ``order_col`` order, as ``cum_<col>`` columns
     (plus the grand totals as constant ``tot_<col>`` columns).
 
-    ``order_col`` must be unique per row (aggregate ties first).  Work is spread over range
-    partitions; only one row per partition (its totals) is combined globally.
+    ``order_col`` must be unique per row (aggregate ties first).  Rows are cut into ordered
+    buckets by quantile bounds of ``order_col`` (collected once, so the bucket of a row is a
+    pure function of its value and any recomputation after a lost executor agrees); each
+    bucket is scanned by a window partitioned on the bucket id, and the exclusive running sum
+    of the bucket totals (one row per bucket: a proven bound) is broadcast back as offsets.
     """
     spark = df.sparkSession
     P = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     o = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    ranged = (df.repartitionByRange(P, o).withColumn("_pid", F.spark_partition_id())
-              .persist(StorageLevel.MEMORY_AND_DISK))
-    totals = ranged.groupBy("_pid").agg(*[F.sum(c).alias(c) for c in cols]).collect()  # <= P rows
+    probs = [i / P for i in range(1, P)]
+    bounds = sorted(set(df.approxQuantile(order_col, probs, 1.0 / (4 * P)))) if probs else []
+    splits = [-float("inf")] + [b for b in bounds if math.isfinite(b)] + [float("inf")]
+    nb = len(splits) - 1
+    if nb == 1:
+        bucketed = df.withColumn("_pid", F.lit(0))
+    else:
+        bucket = Bucketizer(splits=splits, inputCol=order_col, outputCol="_bkt", handleInvalid="keep")
+        pid = (F.lit(nb - 1) - F.col("_bkt")) if descending else F.col("_bkt")
+        bucketed = bucket.transform(df).withColumn("_pid", pid.cast("int")).drop("_bkt")
+    totals = bucketed.groupBy("_pid").agg(*[F.sum(c).alias(c) for c in cols]).collect()  # <= nb rows
     run = {c: 0 for c in cols}
     offsets = []
     for r in sorted(totals, key=lambda r: r["_pid"]):
@@ -50,7 +63,7 @@ def prefix_sums(df: DataFrame, order_col: str, cols: list[str], descending: bool
                           + [T.StructField(f"_off_{c}", types[c]) for c in cols])
     off_df = spark.createDataFrame(offsets, schema)
     w = Window.partitionBy("_pid").orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.select(*df.columns, "_pid", *[F.sum(c).over(w).alias(f"_loc_{c}") for c in cols])
+    local = bucketed.select(*df.columns, "_pid", *[F.sum(c).over(w).alias(f"_loc_{c}") for c in cols])
     out = local.join(F.broadcast(off_df), "_pid")
     return out.select(*df.columns, *[(F.col(f"_loc_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in cols],
                       *[F.lit(run[c]).cast(types[c]).alias(f"tot_{c}") for c in cols])
@@ -60,6 +73,7 @@ def binary_points(df: DataFrame, score, label, num_partitions: int | None = None
     """One row per distinct score: ``[threshold, pos, neg, tp, fp, P, N]``
     (tp/fp = counts with score >= t; P/N = class totals)."""
     agg = (df.select(_c(score).cast("double").alias("threshold"), _c(label).cast("double").alias("y"))
+           .filter(F.col("threshold").isNotNull() & ~F.isnan("threshold"))
            .groupBy("threshold")
            .agg(F.sum(F.when(F.col("y") > 0.5, 1).otherwise(0)).cast("long").alias("pos"),
                 F.sum(F.when(F.col("y") > 0.5, 0).otherwise(1)).cast("long").alias("neg")))

@@ -20,7 +20,10 @@ IDS_SQL = ", ".join(IDS)
 D_PLANT = fx.sql_lineitem_design("planted")
 D_BIN = fx.sql_lineitem_design("binary")
 D_PM1 = fx.sql_lineitem_design("pm1")
-FEATS = [F.col("features")[j].alias(f"f{j}") for j in range(4)]
+
+
+def _feats():
+    return [F.col("features")[j].alias(f"f{j}") for j in range(4)]
 
 
 # ---------------------------------------------------------------- S1-S7, S10
@@ -30,7 +33,7 @@ def q_parse_dense_text(spark, sf_dir):
     """Rows rendered as ``label,a1,..,an`` text and parsed back."""
     lines = text.to_dense_lines(fx.lineitem_design(spark, sf_dir))
     parsed = text.parse_dense(lines)
-    return parsed.select(*IDS, "label", *FEATS, F.size("features").alias("n_features"))
+    return parsed.select(*IDS, "label", *_feats(), F.size("features").alias("n_features"))
 
 
 @register("design_shape", f"SELECT count(*) AS m, CAST(4 AS INTEGER) AS n_min, CAST(4 AS INTEGER) AS n_max "
@@ -65,11 +68,11 @@ def q_column_layout(spark, sf_dir):
 
 @register("libsvm_roundtrip", f"SELECT label, f0, f1, f2, f3 FROM ({D_BIN}) A")
 def q_libsvm_roundtrip(spark, sf_dir):
-    """Write LibSVM (1-based, zeros omitted), read back with a given width."""
+    """Write LibSVM (1-based indices), read back 0-based with a given width."""
     path = scratch_path(spark, "libsvm")
     libsvm.write_libsvm(fx.lineitem_design(spark, sf_dir, "binary"), path)
     back = libsvm.read_libsvm(spark, path, num_features=4)
-    return back.select("label", *FEATS)
+    return back.select("label", *_feats())
 
 
 @register("csv_infer_schema",

@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reference has no streaming workload (no stream, watermark, window or state appears in
+it), so this package defines no streaming operators.  The scorers in
+:mod:`proxlab.operators.logistic` (``predict_score``, ``predict_class``, ``predict_linear``) and
+:mod:`proxlab.functions.prox` are plain Column expressions, so a fitted model can score a
+``readStream`` DataFrame unchanged; ``tests/test_streaming.py`` shows this with a memory sink.
+"""

@@ -39,6 +39,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .linalg import _batch_matrix, _batch_vector
 
 OBJECTIVES = ("binary:logistic", "multi:softprob", "reg:squarederror")
@@ -179,7 +180,7 @@ class HistBoost(Estimator, _BoostParams, DefaultParamsReadable, DefaultParamsWri
         feats = (vector_to_array(g(self.featuresCol), "float64") if not fcol.typeName().startswith("array")
                  else F.col(g(self.featuresCol)).cast("array<double>"))
         data = dataset.select(feats.alias("features"), F.col(g(self.labelCol)).cast("double").alias("label"))
-        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        data = spread(data).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             return self._fit_data(spark, data, objective, zero_missing)
         finally:
@@ -203,6 +204,7 @@ class HistBoost(Estimator, _BoostParams, DefaultParamsReadable, DefaultParamsWri
             elif objective == "reg:squarederror":
                 base[:] = float(stats["mean"])
         edges = self._edges(data, n, zero_missing)
+        self._nparts = data.rdd.getNumPartitions()
         nb = max(len(e) for e in edges) + 2            # bin 0 missing, 1..len(e)+1 values
         trees: list[list[dict]] = [[] for _ in range(K)]
         for _ in range(g(self.numRound)):
@@ -215,17 +217,19 @@ class HistBoost(Estimator, _BoostParams, DefaultParamsReadable, DefaultParamsWri
         return model
 
     def _edges(self, data, n, zero_missing):
+        """Quantile bin edges of every feature from one ``percentile_approx`` aggregation."""
         maxb = self.getOrDefault(self.maxBins)
-        cols = []
+        probs = F.array(*[F.lit(i / maxb) for i in range(1, maxb)])
+        aggs = []
         for j in range(n):
             x = F.col("features")[j]
             miss = F.isnan(x) | x.isNull()
             if zero_missing:
                 miss = miss | (x == 0.0)
-            cols.append(F.when(~miss, x).alias(f"x{j}"))
-        probs = [i / maxb for i in range(1, maxb)]
-        qs = data.select(*cols).approxQuantile([f"x{j}" for j in range(n)], probs, 1.0 / (4 * maxb))
-        return [np.unique(np.asarray(q, dtype=float)) for q in qs]
+            aggs.append(F.percentile_approx(F.when(~miss, x), probs, 4 * maxb).alias(f"q{j}"))
+        row = data.agg(*aggs).first()
+        return [np.unique(np.asarray([v for v in (row[f"q{j}"] or []) if v is not None], dtype=float))
+                for j in range(n)]
 
     def _grow_round(self, spark, data, n, K, nb, edges, trees, base, objective, zero_missing):
         g = self.getOrDefault
@@ -333,18 +337,14 @@ class HistBoost(Estimator, _BoostParams, DefaultParamsReadable, DefaultParamsWri
                                              names=["k", "g", "h"])
         try:
             parts = data.mapInArrow(kernel, "k long, g double, h double")
-            nparts = data.rdd.getNumPartitions()
-            if nparts * size <= DIRECT_COLLECT_MAX:
-                rows = parts.collect()
-            else:
-                rows = parts.groupBy("k").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
+            if self._nparts * size > DIRECT_COLLECT_MAX:
+                parts = parts.groupBy("k").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+            tbl = parts.toArrow()
         finally:
             bc.destroy()
-        G = np.zeros(size)
-        H = np.zeros(size)
-        for r in rows:
-            G[r["k"]] += r["g"]
-            H[r["k"]] += r["h"]
+        k = tbl.column("k").to_numpy()
+        G = np.bincount(k, weights=tbl.column("g").to_numpy(), minlength=size)
+        H = np.bincount(k, weights=tbl.column("h").to_numpy(), minlength=size)
         return G.reshape(S, n, nb), H.reshape(S, n, nb)
 
 

@@ -26,7 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pyspark import StorageLevel
+
 from ..functions.vec import dot_lit
+from ..session import spread
 
 # Column-sum aggregates are unrolled (whole-stage codegen) up to this width; wider
 # inputs use the Arrow/numpy per-partition kernel.
@@ -190,7 +193,7 @@ class RowPassOperator:
 
     def __init__(self, df: DataFrame, n: int, features: str = "features", label: str = "label",
                  method: str = "auto"):
-        self.df = df.select(features, label).persist()
+        self.df = spread(df.select(features, label)).persist(StorageLevel.MEMORY_AND_DISK)
         self.features, self.label, self.n = features, label, n
         # the product changes v on every call; inlined literals would recompile the generated
         # code each time, so the Arrow kernel with a broadcast v is the default.
@@ -281,7 +284,8 @@ class CooOperator:
         # and joining r back on the row id is co-partitioned; only n partial sums per
         # partition move in the A^T.r aggregation.
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.coo = to_coo(df, id_cols, features).repartition(parts, *id_cols).persist()
+        self.coo = (to_coo(df, id_cols, features).repartition(parts, *id_cols)
+                    .persist(StorageLevel.MEMORY_AND_DISK))
         mo = moments(df, n, features, label, with_gram=False,
                      method="jvm" if n <= JVM_UNROLL_MAX else "arrow")
         self.c, self.bb, self.m, self.trace = mo.c, mo.bb, mo.m, mo.trace

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vec import dot_lit
+from ..session import spread
 from .linalg import _batch_matrix, _batch_vector
 
 _PARTIAL = "k long, v double"
@@ -72,7 +73,7 @@ class LossGradPass:
                  label: str = "label", method: str = "auto", persist: bool = True):
         self.df = df.select(F.col(features).alias("features"), F.col(label).cast("double").alias("label"))
         if persist:
-            self.df = self.df.persist(StorageLevel.MEMORY_AND_DISK)
+            self.df = spread(self.df).persist(StorageLevel.MEMORY_AND_DISK)
         self.n, self.K = n, num_classes
         if method == "auto":
             # iterative passes change the weights every call: inlined literals would recompile the

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch_path
+from ..session import scratch_path, spread
 from . import boost, metrics, prep
 
 FOLD_COL = "_fold"
@@ -68,7 +68,7 @@ def build_grid(est, grid: dict) -> list:
 
 
 def train_tabular(df: DataFrame, label: str, kind: str, task: str, grid: dict, key: str,
-                  split_seed: int = 0, fold_seed: int = 0, num_folds: int = 3, parallelism: int = 4,
+                  split_seed: int = 0, fold_seed: int = 0, num_folds: int = 3, parallelism: int | None = None,
                   learner_params: dict | None = None, drop: list[str] = (), model_path: str | None = None
                   ) -> tuple[TabularResult, DataFrame]:
     """Fit with cross-validation on the 80 % key-hash split; score the reloaded best model on the rest.
@@ -93,8 +93,10 @@ def train_tabular(df: DataFrame, label: str, kind: str, task: str, grid: dict, k
     param_grid = build_grid(est, grid)
     fold = F.pmod(F.col(key) * 7919 + fold_seed + 17, F.lit(num_folds)).cast("int")
     data = data.withColumn(FOLD_COL, fold)
-    train = data.filter(prep.hash_split_col(key, 80, split_seed)).persist(StorageLevel.MEMORY_AND_DISK)
+    train = spread(data.filter(prep.hash_split_col(key, 80, split_seed))).persist(StorageLevel.MEMORY_AND_DISK)
     test = data.filter(~prep.hash_split_col(key, 80, split_seed))
+    # fold x grid fits are independent jobs: run them concurrently (latency-bound at small sizes)
+    parallelism = parallelism or max(1, min(8, len(param_grid) * num_folds))
     try:
         cv = CrossValidator(estimator=pipe, estimatorParamMaps=param_grid, evaluator=evaluator(task),
                             numFolds=num_folds, foldCol=FOLD_COL, seed=fold_seed, parallelism=parallelism)

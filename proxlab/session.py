@@ -79,3 +79,28 @@ def ship_package(spark: SparkSession) -> None:
                     zf.write(full, os.path.relpath(full, root))
     sc.addPyFile(zpath)
     _SHIPPED.add(id(sc))
+
+
+SPREAD_TARGET_BYTES = 64 << 20
+
+
+def estimated_bytes(df) -> int | None:
+    """Catalyst's size estimate of a DataFrame's optimized plan (None if unavailable)."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - estimate only
+        return None
+
+
+def spread(df, target_bytes: int = SPREAD_TARGET_BYTES):
+    """Repartition a DataFrame that is about to be persisted and scanned many times when it has
+    fewer partitions than its estimated size warrants (one large row group, say): about
+    ``target_bytes`` per partition, at most one per core.  Inputs that already have enough
+    partitions -- every real input at scale -- are returned unchanged, so no shuffle is added,
+    and small inputs stay in few partitions so concurrent fits do not contend for task slots."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    est = estimated_bytes(df)
+    want = par if est is None else max(1, min(par, -(-est // target_bytes)))
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df

@@ -158,3 +158,20 @@ def house_table(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .alias("p_brand"), "p_type",
                     F.when(F.col("p_partkey") % 17 == 0, F.lit(None).cast("int")).otherwise(F.col("p_size"))
                     .alias("p_size"), "p_retailprice", price.alias("SalePrice"))
+
+
+# fixed values of the planted sparse problem on the embeddings: 10 % of the 64 weights non-zero
+EMB_SUPPORT = {3: 1.5, 11: -2.0, 19: 1.0, 27: -1.2, 40: 2.2, 52: -0.8}
+EMB_NOISE_AMP = 0.01
+
+
+def embeddings_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[vec_id, label = E w + noise(vec_id), features (64)] with a 6-sparse w."""
+    e = embeddings_design(spark, sf_dir)
+    f = F.col("features")
+    b = None
+    for j, w in EMB_SUPPORT.items():
+        t = f[j] * w
+        b = t if b is None else b + t
+    noise = (F.pmod(F.col("vec_id") * HASH_MUL[0], F.lit(NOISE_MOD)).cast("double") / 1000.0 - 1.0) * EMB_NOISE_AMP
+    return e.select("vec_id", (b + noise).alias("label"), "features")

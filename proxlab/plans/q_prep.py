@@ -302,3 +302,12 @@ def q_n_classes(spark, sf_dir):
     b = fx.lineitem_design(spark, sf_dir, "multi").agg(F.lit("lineitem").alias("dataset"),
                                                        F.countDistinct("label").alias("n_classes"))
     return a.unionByName(b)
+
+
+@register("random_split_60_40")
+def q_random_split(spark, sf_dir):
+    """P15 with Spark's randomSplit (seed 11); sizes depend on partitioning -> rows-only check."""
+    parts = prep.random_split(fx.lineitem_design(spark, sf_dir), (0.6, 0.4), seed=11)
+    a = parts[0].agg(F.lit("train").alias("split"), F.count(F.lit(1)).alias("n_rows"))
+    b = parts[1].agg(F.lit("test").alias("split"), F.count(F.lit(1)).alias("n_rows"))
+    return a.unionByName(b)

@@ -176,3 +176,19 @@ def q_holdout_l1(spark, sf_dir):
                    F.sum(F.abs("label")).alias("b1"), F.count(F.lit(1)).alias("n_test"))
     return agg.select(rnd("l1").alias("l1_error"), rnd(F.col("l1") / F.col("bb")).alias("l1_over_sq_norm"),
                       rnd(F.col("l1") / F.col("b1")).alias("l1_over_l1_norm"), "n_test")
+
+
+register("fista_lasso_pass", sg.fista_sql(DESIGN_SQL, N, "l1", LAM_SQL, STEP_SQL, MAXIT))(
+    lambda spark, sf_dir: _weights(spark, _run_fista(spark, sf_dir, "l1", method="pass")))
+
+
+@register("fista_lasso_embeddings")
+def q_fista_lasso_embeddings(spark, sf_dir):
+    """V1 on the 64-feature embeddings with a 6-sparse planted signal (Arrow Gram kernel, n > 24)."""
+    df = fx.embeddings_planted(spark, sf_dir)
+    op = linalg.make_operator(df, 64)
+    try:
+        res = solvers.fista(op, lam=1e-3 * op.m, penalty="l1", maxit=300, step=1.0, line_search=True)
+    finally:
+        op.close()
+    return _weights(spark, res)

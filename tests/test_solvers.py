@@ -102,3 +102,14 @@ def test_unequal_widths_fail(spark):
     df = spark.createDataFrame([(1.0, [1.0, 2.0]), (2.0, [1.0])], "label double, features array<double>")
     with pytest.raises(ValueError):
         linalg.shape(df)
+
+
+def test_sparse_recovery_embeddings(spark):
+    """64 features, 6 planted non-zeros: the lasso finds the support (Arrow Gram kernel)."""
+    df = fx.embeddings_planted(spark, "/root/testdata/sf0.01")
+    op = linalg.make_operator(df, 64)
+    res = solvers.fista(op, lam=1e-3 * op.m, penalty="l1", maxit=500, step=1.0, line_search=True)
+    support = {j for j, v in enumerate(res.x) if abs(v) > 0.1}
+    assert set(fx.EMB_SUPPORT) <= support
+    big = sorted(range(64), key=lambda j: -abs(res.x[j]))[:6]
+    assert set(big) == set(fx.EMB_SUPPORT)

@@ -27,19 +27,30 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+ROWS_PER_BUCKET = 2_000_000
+MAX_BUCKETS = 1_000_000
+
+
 def prefix_sums(df: DataFrame, order_col: str, cols: list[str], descending: bool = True,
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Inclusive running sums of ``cols`` in ``order_col`` order, as ``cum_<col>`` columns
     (plus the grand totals as constant ``tot_<col>`` columns).
 
     ``order_col`` must be unique per row (aggregate ties first).  Rows are cut into ordered
-    buckets by quantile bounds of ``order_col`` (collected once, so the bucket of a row is a
+    buckets (about ``rows_per_bucket`` rows each, sized from a count) by quantile bounds of ``order_col`` (collected once, so the bucket of a row is a
     pure function of its value and any recomputation after a lost executor agrees); each
     bucket is scanned by a window partitioned on the bucket id, and the exclusive running sum
     of the bucket totals (one row per bucket: a proven bound) is broadcast back as offsets.
     """
     spark = df.sparkSession
-    P = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if num_partitions:
+        P = num_partitions
+    else:
+        # enough buckets that none holds more than ~rows_per_bucket rows, and at least one per
+        # shuffle partition; the bucket totals (P rows) are what crosses to the driver
+        rows = df.count()
+        P = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_bucket))
+        P = min(P, MAX_BUCKETS)
     o = F.col(order_col).desc() if descending else F.col(order_col).asc()
     probs = [i / P for i in range(1, P)]
     bounds = sorted(set(df.approxQuantile(order_col, probs, 1.0 / (4 * P)))) if probs else []

@@ -272,17 +272,21 @@ def rmatvec_cols(coo: DataFrame, r: DataFrame, id_cols: list[str], rcol: str = "
 
 
 class CooOperator:
-    """G.v = A^T (A v) in the column layout: two shuffles per product, n numbers collected."""
+    """G.v = A^T (A v) in the column layout; n numbers collected per product.
+
+    The COO entries are hash-partitioned by row id once and persisted, so every row's entries
+    live in one partition.  ``product="local"`` (default) exploits that co-location: one narrow
+    pass per product computes r = A v per row and scatters r a_ij into n partial sums per
+    partition -- no shuffle per product.  ``product="join"`` is the declarative form: join with
+    v and group by row id, then join r back and group by feature (two shuffles).
+    """
 
     kind = "cols"
 
     def __init__(self, df: DataFrame, n: int, id_cols: list[str], features: str = "features",
-                 label: str = "label"):
+                 label: str = "label", product: str = "local"):
         self.spark = df.sparkSession
-        self.id_cols, self.n = id_cols, n
-        # hash-partition the entries by row id once: A.v then groups rows without a shuffle,
-        # and joining r back on the row id is co-partitioned; only n partial sums per
-        # partition move in the A^T.r aggregation.
+        self.id_cols, self.n, self.product = id_cols, n, product
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.coo = (to_coo(df, id_cols, features).repartition(parts, *id_cols)
                     .persist(StorageLevel.MEMORY_AND_DISK))
@@ -293,6 +297,8 @@ class CooOperator:
 
     def gv(self, v: np.ndarray) -> np.ndarray:
         self.passes += 1
+        if self.product == "local":
+            return self._gv_local(np.asarray(v, float))
         xdf = vector_df(self.spark, v)
         r = matvec_cols(self.coo, xdf, self.id_cols, self.n, out="r")
         rows = rmatvec_cols(self.coo, r, self.id_cols, out="g").collect()
@@ -301,6 +307,37 @@ class CooOperator:
             out[row["feat_id"]] = row["g"]
         return out
 
+    def _gv_local(self, v: np.ndarray) -> np.ndarray:
+        n, ids = self.n, list(self.id_cols)
+        bv = self.spark.sparkContext.broadcast(v)
+
+        def kernel(batches):
+            w = bv.value
+            keys, feats, vals = [], [], []
+            for b in batches:
+                if b.num_rows == 0:
+                    continue
+                keys.append(np.column_stack([_batch_vector(b, c) for c in ids]))
+                feats.append(b.column(b.schema.get_field_index("feat_id")).to_numpy().astype(np.int64))
+                vals.append(_batch_vector(b, "value"))
+            g = np.zeros(n)
+            if keys:
+                K, fj, a = np.concatenate(keys), np.concatenate(feats), np.concatenate(vals)
+                _, row = np.unique(K, axis=0, return_inverse=True)
+                row = row.ravel()
+                r = np.bincount(row, weights=a * w[fj])
+                g = np.bincount(fj, weights=a * r[row], minlength=n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int64)), pa.array(g)],
+                                             names=["k", "v"])
+        try:
+            tbl = (self.coo.mapInArrow(kernel, _PARTIAL_SCHEMA).groupBy("k")
+                   .agg(F.sum("v").alias("v")).toArrow())
+        finally:
+            bv.destroy()
+        out = np.zeros(n)
+        out[tbl.column("k").to_numpy()] = tbl.column("v").to_numpy()
+        return out
+
     def close(self):
         self.coo.unpersist()
 

@@ -144,7 +144,7 @@ def score_to_class(score, threshold: float = 0.5) -> Column:
     return F.when(s < threshold, F.lit(0.0)).otherwise(F.lit(1.0))
 
 
-def labels_to_01(label, check: DataFrame | None = None) -> Column:
+def labels_to_01(label) -> Column:
     """-1/+1 (or 0/1) -> 0/1 via ``label <= 0 -> 0``."""
     c = F.col(label) if isinstance(label, str) else label
     return F.when(c <= 0, F.lit(0.0)).otherwise(F.lit(1.0))

@@ -24,11 +24,14 @@ def ops(design):
     p.close(), c.close()
 
 
-def test_products_agree(ops):
+def test_products_agree(ops, design):
     g, p, c = ops
     v = np.array([0.3, -1.0, 2.0, 0.5])
     assert np.allclose(g.gv(v), p.gv(v), rtol=1e-10)
     assert np.allclose(g.gv(v), c.gv(v), rtol=1e-10)
+    j = linalg.CooOperator(design, 4, IDS, product="join")
+    assert np.allclose(g.gv(v), j.gv(v), rtol=1e-10)
+    j.close()
     assert np.allclose(g.c, p.c) and np.allclose(g.c, c.c)
 
 

@@ -40,10 +40,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
-from .linalg import _batch_matrix, _batch_vector
+from .linalg import DIRECT_COLLECT_MAX, _batch_matrix, _batch_vector
 
 OBJECTIVES = ("binary:logistic", "multi:softprob", "reg:squarederror")
-DIRECT_COLLECT_MAX = 4_000_000   # partitions x histogram cells collected without a shuffle
 
 
 # ---------------------------------------------------------------- tree arrays

@@ -111,6 +111,19 @@ def _batch_vector(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 _PARTIAL_SCHEMA = "k long, v double"
+# partitions x partial-vector length below which per-partition partials are collected as they
+# are (one stage); above it they are first summed by key in a grouped shuffle
+DIRECT_COLLECT_MAX = 4_000_000
+
+
+def sum_partials(partials: DataFrame, size: int, nparts: int) -> np.ndarray:
+    """Sum long-format ``[k, v]`` partials (one vector per partition) into a dense vector."""
+    if nparts * size > DIRECT_COLLECT_MAX:
+        partials = partials.groupBy("k").agg(F.sum("v").alias("v"))
+    tbl = partials.toArrow()
+    if tbl.num_rows == 0:
+        return np.zeros(size)
+    return np.bincount(tbl.column("k").to_numpy(), weights=tbl.column("v").to_numpy(), minlength=size)
 
 
 def _moments_arrow(df: DataFrame, n: int, features: str, label: str, with_gram: bool) -> Moments:
@@ -137,11 +150,9 @@ def _moments_arrow(df: DataFrame, n: int, features: str, label: str, with_gram:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int64)), pa.array(v)],
                                          names=["k", "v"])
 
-    rows = (df.select(features, label).mapInArrow(kernel, _PARTIAL_SCHEMA)
-            .groupBy("k").agg(F.sum("v").alias("v")).collect())
-    flat = np.zeros((n * n if with_gram else 0) + n + 3)
-    for r in rows:
-        flat[r["k"]] = r["v"]
+    src = df.select(features, label)
+    flat = sum_partials(src.mapInArrow(kernel, _PARTIAL_SCHEMA), (n * n if with_gram else 0) + n + 3,
+                        src.rdd.getNumPartitions())
     off = 0
     G = None
     if with_gram:
@@ -201,6 +212,7 @@ class RowPassOperator:
         mo = moments(self.df, n, features, label, with_gram=False,
                      method="jvm" if n <= JVM_UNROLL_MAX else "arrow")
         self.c, self.bb, self.m, self.trace = mo.c, mo.bb, mo.m, mo.trace
+        self.nparts = self.df.rdd.getNumPartitions()
         self.passes = 1
 
     def gv(self, v: np.ndarray) -> np.ndarray:
@@ -225,14 +237,9 @@ class RowPassOperator:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int64)), pa.array(acc)],
                                              names=["k", "v"])
         try:
-            rows = (self.df.mapInArrow(kernel, _PARTIAL_SCHEMA).groupBy("k")
-                    .agg(F.sum("v").alias("v")).collect())
+            return sum_partials(self.df.mapInArrow(kernel, _PARTIAL_SCHEMA), n, self.nparts)
         finally:
             bv.destroy()
-        out = np.zeros(n)
-        for r in rows:
-            out[r["k"]] = r["v"]
-        return out
 
     def close(self):
         self.df.unpersist()
@@ -293,6 +300,7 @@ class CooOperator:
         mo = moments(df, n, features, label, with_gram=False,
                      method="jvm" if n <= JVM_UNROLL_MAX else "arrow")
         self.c, self.bb, self.m, self.trace = mo.c, mo.bb, mo.m, mo.trace
+        self.nparts = parts
         self.passes = 1
 
     def gv(self, v: np.ndarray) -> np.ndarray:
@@ -330,13 +338,9 @@ class CooOperator:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int64)), pa.array(g)],
                                              names=["k", "v"])
         try:
-            tbl = (self.coo.mapInArrow(kernel, _PARTIAL_SCHEMA).groupBy("k")
-                   .agg(F.sum("v").alias("v")).toArrow())
+            return sum_partials(self.coo.mapInArrow(kernel, _PARTIAL_SCHEMA), n, self.nparts)
         finally:
             bv.destroy()
-        out = np.zeros(n)
-        out[tbl.column("k").to_numpy()] = tbl.column("v").to_numpy()
-        return out
 
     def close(self):
         self.coo.unpersist()

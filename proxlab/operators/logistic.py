@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from ..functions.vec import dot_lit
 from ..session import spread
-from .linalg import _batch_matrix, _batch_vector
+from .linalg import _batch_matrix, _batch_vector, sum_partials
 
 _PARTIAL = "k long, v double"
 
@@ -75,6 +75,7 @@ class LossGradPass:
         if persist:
             self.df = spread(self.df).persist(StorageLevel.MEMORY_AND_DISK)
         self.n, self.K = n, num_classes
+        self.nparts = self.df.rdd.getNumPartitions()
         if method == "auto":
             # iterative passes change the weights every call: inlined literals would recompile the
             # generated code each time, so the Arrow kernel (broadcast weights) is the default.
@@ -126,14 +127,11 @@ class LossGradPass:
             v = np.concatenate([G.ravel(), [loss, float(cnt)]])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int64)), pa.array(v)],
                                              names=["k", "v"])
+        size = int(np.prod(np.shape(W)))
         try:
-            rows = src.mapInArrow(kernel, _PARTIAL).groupBy("k").agg(F.sum("v").alias("v")).collect()
+            flat = sum_partials(src.mapInArrow(kernel, _PARTIAL), size + 2, self.nparts)
         finally:
             bw.destroy()
-        size = int(np.prod(np.shape(W)))
-        flat = np.zeros(size + 2)
-        for r in rows:
-            flat[r["k"]] = r["v"]
         return float(flat[size]), flat[:size].reshape(np.shape(W)), int(round(flat[size + 1]))
 
 
@@ -266,6 +264,7 @@ def fit_parallel_sgd(df: DataFrame, n: int, num_classes: int = 2, epochs: int =
     src = src.select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
     K = num_classes
     W = np.zeros(n) if K == 2 else np.zeros((K - 1, n))
+    nparts = src.rdd.getNumPartitions()
     hist = []
     try:
         for ep in range(1, epochs + 1):
@@ -289,14 +288,11 @@ def fit_parallel_sgd(df: DataFrame, n: int, num_classes: int = 2, epochs: int =
                 v = np.concatenate([(w * cnt).ravel(), [float(cnt), loss]])
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int64)), pa.array(v)],
                                                  names=["k", "v"])
+            size = W.size
             try:
-                rows = src.mapInArrow(kernel, _PARTIAL).groupBy("k").agg(F.sum("v").alias("v")).collect()
+                flat = sum_partials(src.mapInArrow(kernel, _PARTIAL), size + 2, nparts)
             finally:
                 bw.destroy()
-            size = W.size
-            flat = np.zeros(size + 2)
-            for r in rows:
-                flat[r["k"]] = r["v"]
             cnt = max(flat[size], 1.0)
             W = (flat[:size] / cnt).reshape(W.shape)
             hist.append(flat[size + 1] / cnt)

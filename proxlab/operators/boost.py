@@ -216,19 +216,30 @@ class HistBoost(Estimator, _BoostParams, DefaultParamsReadable, DefaultParamsWri
         return model
 
     def _edges(self, data, n, zero_missing):
-        """Quantile bin edges of every feature from one ``percentile_approx`` aggregation."""
+        """Bin edges per feature: all distinct values when they fit in ``maxBins - 1`` (exact bins),
+        else quantiles from ``percentile_approx``; both from aggregations, nothing per row."""
         maxb = self.getOrDefault(self.maxBins)
         probs = F.array(*[F.lit(i / maxb) for i in range(1, maxb)])
-        aggs = []
+        xs = []
         for j in range(n):
             x = F.col("features")[j]
             miss = F.isnan(x) | x.isNull()
             if zero_missing:
                 miss = miss | (x == 0.0)
-            aggs.append(F.percentile_approx(F.when(~miss, x), probs, 4 * maxb).alias(f"q{j}"))
+            xs.append(F.when(~miss, x))
+        aggs = [F.percentile_approx(x, probs, 4 * maxb).alias(f"q{j}") for j, x in enumerate(xs)]
+        aggs += [F.approx_count_distinct(x).alias(f"d{j}") for j, x in enumerate(xs)]
         row = data.agg(*aggs).first()
-        return [np.unique(np.asarray([v for v in (row[f"q{j}"] or []) if v is not None], dtype=float))
-                for j in range(n)]
+        edges = [np.unique(np.asarray([v for v in (row[f"q{j}"] or []) if v is not None], dtype=float))
+                 for j in range(n)]
+        low = [j for j in range(n) if (row[f"d{j}"] or 0) <= maxb - 1]
+        if low:
+            exact = data.agg(*[F.array_sort(F.collect_set(xs[j])).alias(f"s{j}") for j in low]).first()
+            for j in low:
+                vals = exact[f"s{j}"] or []
+                if len(vals) <= maxb - 1:
+                    edges[j] = np.asarray(vals, dtype=float)
+        return edges
 
     def _grow_round(self, spark, data, n, K, nb, edges, trees, base, objective, zero_missing):
         g = self.getOrDefault

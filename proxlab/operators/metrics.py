@@ -150,3 +150,13 @@ def regression_metrics(df: DataFrame, prediction="prediction", label="label") ->
     return a.select(F.sqrt(F.col("sse") / F.col("n")).alias("rmse"), (F.col("sse") / F.col("n")).alias("mse"),
                     (F.col("sae") / F.col("n")).alias("mae"),
                     (1.0 - F.col("sse") / (F.col("var_y") * F.col("n"))).alias("r2"))
+
+
+def pr_curve(points: DataFrame) -> DataFrame:
+    """E2 curve: ``[recall, precision]`` per distinct score plus the leading (0, first precision)."""
+    prec = F.col("tp") / (F.col("tp") + F.col("fp"))
+    rec = F.when(F.col("P") > 0, F.col("tp") / F.col("P"))
+    curve = points.select(rec.alias("recall"), prec.alias("precision"))
+    first = (points.filter((F.col("tp") - F.col("pos") == 0) & (F.col("fp") - F.col("neg") == 0))
+             .select(F.lit(0.0).alias("recall"), prec.alias("precision")))
+    return first.unionByName(curve)

@@ -116,3 +116,13 @@ def q_regression_metrics(spark, sf_dir):
     df = fx.lineitem_design(spark, sf_dir).select(dot_lit("features", fx.PLANT_W).alias("prediction"), "label")
     m = M.regression_metrics(df)
     return m.select(*[rnd(c).alias(c) for c in ("rmse", "mse", "mae", "r2")])
+
+
+@register("pr_scores",
+          _curve_sql(_S) + f" SELECT {sg.d(0.0)} AS recall, {sg.rnd('prec')} AS precision FROM K "
+          "WHERE tp - pos = 0 AND fp - neg = 0 "
+          f"UNION ALL SELECT {sg.rnd('tp / P')} AS recall, {sg.rnd('prec')} AS precision FROM K")
+def q_pr_scores(spark, sf_dir):
+    """The precision-recall curve from real-valued scores (leading point at recall 0)."""
+    c = M.pr_curve(M.binary_points(_scored(spark, sf_dir), "score", "label"))
+    return c.select(rnd("recall").alias("recall"), rnd("precision").alias("precision"))

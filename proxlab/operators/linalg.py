@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark import StorageLevel
 
 from ..functions.vec import dot_lit
-from ..session import spread
+from ..session import spread, target_partitions
 
 # Column-sum aggregates are unrolled (whole-stage codegen) up to this width; wider
 # inputs use the Arrow/numpy per-partition kernel.
@@ -294,8 +294,11 @@ class CooOperator:
                  label: str = "label", product: str = "local"):
         self.spark = df.sparkSession
         self.id_cols, self.n, self.product = id_cols, n, product
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.coo = (to_coo(df, id_cols, features).repartition(parts, *id_cols)
+        coo = to_coo(df, id_cols, features)
+        parts = target_partitions(coo)
+        # sorted by row id inside each partition: a row's entries are contiguous, so the product
+        # kernel finds row boundaries with one linear scan
+        self.coo = (coo.repartition(parts, *id_cols).sortWithinPartitions(*id_cols)
                     .persist(StorageLevel.MEMORY_AND_DISK))
         mo = moments(df, n, features, label, with_gram=False,
                      method="jvm" if n <= JVM_UNROLL_MAX else "arrow")
@@ -331,8 +334,8 @@ class CooOperator:
             g = np.zeros(n)
             if keys:
                 K, fj, a = np.concatenate(keys), np.concatenate(feats), np.concatenate(vals)
-                _, row = np.unique(K, axis=0, return_inverse=True)
-                row = row.ravel()
+                change = np.any(K[1:] != K[:-1], axis=1)
+                row = np.concatenate([[0], np.cumsum(change)])
                 r = np.bincount(row, weights=a * w[fj])
                 g = np.bincount(fj, weights=a * r[row], minlength=n)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int64)), pa.array(g)],

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vec import dot_lit
-from ..session import spread
+from ..session import spread, target_partitions
 from .linalg import _batch_matrix, _batch_vector, sum_partials
 
 _PARTIAL = "k long, v double"
@@ -251,14 +251,15 @@ def fit_parallel_sgd(df: DataFrame, n: int, num_classes: int = 2, epochs: int =
                      features: str = "features", label: str = "label") -> FitResult:
     """Per epoch every partition runs local mini-batch SGD from the broadcast weights over its
     rows (in key order), and the driver averages the local weights weighted by row counts.
+    The number of workers (partitions) follows the data size unless given.
 
     Rows are assigned to workers by a hash of ``key`` and sorted by it, so the result does not
     depend on how the input files were split.
     """
     spark = df.sparkSession
-    P = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = df.select(*([key] if key else []), F.col(features).alias("features"),
                     F.col(label).cast("double").alias("label"))
+    P = partitions or target_partitions(src)
     if key:
         src = src.repartition(P, key).sortWithinPartitions(key)
     src = src.select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)

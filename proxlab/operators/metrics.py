@@ -46,11 +46,10 @@ def prefix_sums(df: DataFrame, order_col: str, cols: list[str], descending: bool
     if num_partitions:
         P = num_partitions
     else:
-        # enough buckets that none holds more than ~rows_per_bucket rows, and at least one per
-        # shuffle partition; the bucket totals (P rows) are what crosses to the driver
+        # enough buckets that none holds more than ~rows_per_bucket rows; the bucket totals
+        # (P rows) are what crosses to the driver
         rows = df.count()
-        P = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_bucket))
-        P = min(P, MAX_BUCKETS)
+        P = min(max(1, -(-rows // rows_per_bucket)), MAX_BUCKETS)
     o = F.col(order_col).desc() if descending else F.col(order_col).asc()
     probs = [i / P for i in range(1, P)]
     bounds = sorted(set(df.approxQuantile(order_col, probs, 1.0 / (4 * P)))) if probs else []

@@ -92,6 +92,19 @@ def estimated_bytes(df) -> int | None:
         return None
 
 
+MAX_TARGET_PARTITIONS = 200_000
+
+
+def target_partitions(df, target_bytes: int = SPREAD_TARGET_BYTES) -> int:
+    """Partitions for a DataFrame that is repartitioned and then scanned many times: about
+    ``target_bytes`` each by Catalyst's size estimate, independent of spark.sql.shuffle.partitions
+    (per-iteration passes pay a fixed cost per task, so small inputs get few partitions)."""
+    est = estimated_bytes(df)
+    if est is None:
+        return df.sparkSession.sparkContext.defaultParallelism
+    return int(max(1, min(MAX_TARGET_PARTITIONS, -(-est // target_bytes))))
+
+
 def spread(df, target_bytes: int = SPREAD_TARGET_BYTES):
     """Repartition a DataFrame that is about to be persisted and scanned many times when it has
     fewer partitions than its estimated size warrants (one large row group, say): about

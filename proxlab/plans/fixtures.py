@@ -126,10 +126,12 @@ def sql_lineitem_design(target: str = "planted") -> str:
 
 # ------------------------------------------------------------------ tabular stand-ins
 
-def bank_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mixed string / numeric columns with a string label ``y`` (yes / no from the class score)."""
+def bank_table(spark: SparkSession, sf_dir: str, with_row_key: bool = False) -> DataFrame:
+    """Mixed string / numeric columns with a string label ``y`` (yes / no from the class score).
+    ``with_row_key`` adds l_linenumber and l_partkey so the four lineitem key columns identify a row."""
     li = table(spark, sf_dir, "lineitem")
-    return li.select("l_orderkey", "l_returnflag", "l_linestatus",
+    extra = ["l_linenumber", "l_partkey"] if with_row_key else []
+    return li.select("l_orderkey", *extra, "l_returnflag", "l_linestatus",
                      F.date_format("l_shipdate", "MMM").alias("ship_month"),
                      "l_quantity", "l_discount", "l_tax", "l_extendedprice",
                      F.when(_class_score() > 0, "yes").otherwise("no").alias("y"))

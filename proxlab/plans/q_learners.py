@@ -200,93 +200,23 @@ def q_cv_select(spark, sf_dir):
 
 @register("model_roundtrip")
 def q_model_roundtrip(spark, sf_dir):
-    """Predictions of the saved-and-reloaded booster equal the in-memory model's."""
-    from pyspark.ml import PipelineModel
+    """Predictions of the saved-and-reloaded booster pipeline equal the in-memory model's,
+    compared row by row on the unique lineitem key."""
+    from pyspark.ml import Pipeline, PipelineModel
     from ..operators import prep
-    df = fx.bank_table(spark, sf_dir).na.drop()
-    roles = prep.column_roles(df.schema, "y", exclude=["l_orderkey"])
+    from ..session import scratch_path
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    df = fx.bank_table(spark, sf_dir, with_row_key=True).na.drop()
+    roles = prep.column_roles(df.schema, "y", exclude=["l_orderkey", "l_linenumber", "l_partkey"])
     stages = prep.feature_stages(df, roles, index_label=True)
     stages[0].setOutputCol("label")
     est = tabular.learner("xgb", "binary", maxDepth=4, numRound=5)
-    from pyspark.ml import Pipeline
     model = Pipeline(stages=stages + [est]).fit(df)
-    from ..session import scratch_path
     path = scratch_path(spark, "roundtrip")
     model.write().overwrite().save(path)
     again = PipelineModel.load(path)
-    a = model.transform(df).select("l_orderkey", "l_quantity", "l_extendedprice", F.col("prediction").alias("p1"))
-    b = again.transform(df).select("l_orderkey", "l_quantity", "l_extendedprice", F.col("prediction").alias("p2"))
-    keyed = a.join(b, ["l_orderkey", "l_quantity", "l_extendedprice"])
+    a = model.transform(df).select(*keys, F.col("prediction").alias("p1"))
+    b = again.transform(df).select(*keys, F.col("prediction").alias("p2"))
+    keyed = a.join(b, keys)
     return keyed.agg(F.count(F.lit(1)).alias("rows"),
                      F.sum(F.when(F.col("p1") != F.col("p2"), 1).otherwise(0)).alias("mismatches"))
-
-
-# ---------------------------------------------------------------- booster kernel (T9-T14) with oracles
-_BH_LAMBDA = 1.0
-_BH_SQL_FEATS = " UNION ALL ".join(
-    f"SELECT CAST({j} AS INTEGER) AS feat_id, f{j} AS x, label FROM ({D_PLANT}) A" for j in range(3))
-_BH_BINS = (f"SELECT feat_id, x, label, CAST(dense_rank() OVER (PARTITION BY feat_id ORDER BY x) AS INTEGER) "
-            f"AS bin FROM ({_BH_SQL_FEATS}) u")
-
-
-def _root_histogram(spark, sf_dir):
-    """Root-node histogram of the squared-error booster on [qty/50, disc*10, tax*10] (base 0)."""
-    import numpy as np
-    from ..operators import boost
-    from ..session import spread
-    df = fx.lineitem_design(spark, sf_dir).select(F.slice("features", 1, 3).alias("features"), "label")
-    est = boost.HistBoost(objective="reg:squarederror", regLambda=_BH_LAMBDA, minChildWeight=1.0, gamma=0.0)
-    data = spread(df).persist()
-    try:
-        edges = est._edges(data, 3, False)
-        est._nparts = data.rdd.getNumPartitions()
-        nb = max(len(e) for e in edges) + 2
-        G, H = est._histograms(spark, data, 3, 1, nb, edges, [[]], [boost._new_tree()], [(0, 0)], np.zeros(1),
-                               "reg:squarederror", False)
-    finally:
-        data.unpersist()
-    return edges, G[0], H[0]
-
-
-@register("boost_histogram",
-          f"SELECT feat_id, bin, {sg.rnd('sum(-label)')} AS g, {sg.rnd('CAST(count(*) AS DOUBLE)')} AS h "
-          f"FROM ({_BH_BINS}) b GROUP BY feat_id, bin")
-def q_boost_histogram(spark, sf_dir):
-    """Booster kernel: per-(feature, bin) gradient and hessian sums at the root (exact bins)."""
-    from pyspark.sql import types as T
-    _, G, H = _root_histogram(spark, sf_dir)
-    rows = [(j, b, float(G[j, b]), float(H[j, b])) for j in range(G.shape[0]) for b in range(G.shape[1])
-            if H[j, b] != 0]
-    schema = T.StructType([T.StructField("feat_id", T.IntegerType()), T.StructField("bin", T.IntegerType()),
-                           T.StructField("g", T.DoubleType()), T.StructField("h", T.DoubleType())])
-    return spark.createDataFrame(rows, schema).select("feat_id", "bin", rnd("g").alias("g"), rnd("h").alias("h"))
-
-
-_BS_SQL = (
-    f"WITH B AS ({_BH_BINS}), "
-    "C AS (SELECT feat_id, bin, max(x) AS x, sum(-label) AS g, CAST(count(*) AS DOUBLE) AS h FROM B GROUP BY feat_id, bin), "
-    "T AS (SELECT feat_id, sum(g) OVER (PARTITION BY feat_id) AS gt, sum(h) OVER (PARTITION BY feat_id) AS ht, bin, x, "
-    "max(bin) OVER (PARTITION BY feat_id) AS maxbin, "
-    "sum(g) OVER (PARTITION BY feat_id ORDER BY bin ROWS UNBOUNDED PRECEDING) AS gl, "
-    "sum(h) OVER (PARTITION BY feat_id ORDER BY bin ROWS UNBOUNDED PRECEDING) AS hl FROM C), "
-    f"S AS (SELECT feat_id, bin, x, hl, ht - hl AS hr, {sg.d(0.5)} * (gl * gl / (hl + {sg.d(_BH_LAMBDA)}) + "
-    f"(gt - gl) * (gt - gl) / ((ht - hl) + {sg.d(_BH_LAMBDA)}) - gt * gt / (ht + {sg.d(_BH_LAMBDA)})) AS gain "
-    "FROM T WHERE bin < maxbin AND hl >= 1 AND ht - hl >= 1) "
-    f"SELECT feat_id, bin, x AS threshold, {sg.rnd('gain')} AS gain, hl AS h_left, hr AS h_right "
-    "FROM S ORDER BY gain DESC, feat_id, bin LIMIT 1")
-
-
-@register("boost_best_split", _BS_SQL)
-def q_boost_best_split(spark, sf_dir):
-    """Booster kernel: the root split chosen from the histogram (gain with lambda = 1, gamma = 0)."""
-    from pyspark.sql import types as T
-    from ..operators import boost
-    edges, G, H = _root_histogram(spark, sf_dir)
-    best = boost._best_split(G, H, float(G[0].sum()), float(H[0].sum()), _BH_LAMBDA, 0.0, 0.0, 1.0)
-    gain, j, b, _dleft, (_gl, hl), (_gr, hr) = best
-    schema = T.StructType([T.StructField("feat_id", T.IntegerType()), T.StructField("bin", T.IntegerType()),
-                           T.StructField("threshold", T.DoubleType()), T.StructField("gain", T.DoubleType()),
-                           T.StructField("h_left", T.DoubleType()), T.StructField("h_right", T.DoubleType())])
-    row = [(j, b, float(edges[j][b - 1]), float(gain), float(hl), float(hr))]
-    return spark.createDataFrame(row, schema).select("feat_id", "bin", "threshold", rnd("gain").alias("gain"),
-                                                     "h_left", "h_right")

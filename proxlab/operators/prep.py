@@ -128,14 +128,24 @@ def append_bias(df: DataFrame, features: str = "features", value: float = 1.0) -
     return df.withColumn(features, _append_bias_col(features, value))
 
 
-def normalize_rows(df: DataFrame, features: str = "features", label: str = "label") -> DataFrame:
-    """Divide features and label by ||a||_2; a zero-norm row gets nulls (not inf/NaN)."""
-    nrm = l2_norm(features)
+def normalize_rows(df: DataFrame, features: str = "features", label: str = "label",
+                   n: int | None = None) -> DataFrame:
+    """Divide features and label by ||a||_2; a zero-norm row gets nulls (not inf/NaN).
+
+    With a known width ``n`` the norm and the division are unrolled into plain Column
+    expressions (whole-stage codegen) instead of per-element lambdas; same arithmetic order."""
+    f = F.col(features)
+    if n is None:
+        nrm = l2_norm(features)
+    else:
+        nrm = F.sqrt(sum((f[j] * f[j] for j in range(n)), F.lit(0.0)))
     safe = F.when(nrm > 0, nrm)
-    return (df.withColumn("_norm", safe)
-            .withColumn(label, F.col(label) / F.col("_norm"))
-            .withColumn(features, F.transform(features, lambda v: v / F.col("_norm")))
-            .drop("_norm"))
+    out = df.withColumn("_norm", safe).withColumn(label, F.col(label) / F.col("_norm"))
+    if n is None:
+        out = out.withColumn(features, F.transform(features, lambda v: v / F.col("_norm")))
+    else:
+        out = out.withColumn(features, F.array(*[f[j] / F.col("_norm") for j in range(n)]))
+    return out.drop("_norm")
 
 
 def score_to_class(score, threshold: float = 0.5) -> Column:

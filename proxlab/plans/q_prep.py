@@ -31,8 +31,8 @@ def _feats():
           f"SELECT {IDS_SQL}, label, f0, f1, f2, f3, CAST(4 AS INTEGER) AS n_features FROM ({D_PLANT}) A")
 def q_parse_dense_text(spark, sf_dir):
     """Rows rendered as ``label,a1,..,an`` text and parsed back."""
-    lines = text.to_dense_lines(fx.lineitem_design(spark, sf_dir))
-    parsed = text.parse_dense(lines)
+    lines = text.to_dense_lines(fx.lineitem_design(spark, sf_dir), n=4)
+    parsed = text.parse_dense(lines, n=4)
     return parsed.select(*IDS, "label", *_feats(), F.size("features").alias("n_features"))
 
 
@@ -204,7 +204,7 @@ _NRM = "sqrt(" + sg.d(0.0) + " + f0 * f0 + f1 * f1 + f2 * f2 + f3 * f3)"
           + ", ".join(f"{sg.rnd(f'f{j} / {_NRM}')} AS f{j}" for j in range(4)) + f" FROM ({D_PLANT}) A")
 def q_normalize_rows(spark, sf_dir):
     """Rows scaled to unit feature norm (zero-norm rows -> null)."""
-    df = prep.normalize_rows(fx.lineitem_design(spark, sf_dir))
+    df = prep.normalize_rows(fx.lineitem_design(spark, sf_dir), n=4)
     return df.select(*IDS, rnd("label").alias("label"), *[rnd(F.col("features")[j]).alias(f"f{j}") for j in range(4)])
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def parse_dense(lines: DataFrame, value: str = "value", sep: str = ",", strict: bool = True) -> DataFrame:
+def parse_dense(lines: DataFrame, value: str = "value", sep: str = ",", strict: bool = True,
+                n: int | None = None) -> DataFrame:
     """Split each line; first token is the label, the rest the features.
 
     ``strict``: a non-numeric token raises at execution (ANSI cast); otherwise it becomes null
@@ -26,8 +27,17 @@ def parse_dense(lines: DataFrame, value: str = "value", sep: str = ",", strict:
     else:
         def conv(t):
             return F.trim(t).try_cast("double")
-    arr = F.transform(toks, conv)
     keep = [c for c in lines.columns if c != value]
+    if n is not None:
+        # known width: unrolled casts (codegen); a line of another width is an error when strict
+        t = lines.select(*keep, toks.alias("_t"))
+        width_ok = F.size("_t") == n + 1
+        feats = F.array(*[conv(F.col("_t")[j + 1]) for j in range(n)])
+        if strict:
+            feats = F.when(width_ok, feats).otherwise(
+                F.raise_error(F.lit(f"line does not have {n + 1} fields")))
+        return t.select(*keep, conv(F.col("_t")[0]).alias("label"), feats.alias("features"))
+    arr = F.transform(toks, conv)
     return lines.select(*keep, F.element_at(arr, 1).alias("label"),
                         F.slice(arr, 2, F.size(arr) - 1).alias("features"))
 
@@ -59,9 +69,14 @@ def read_vector_lines(spark: SparkSession, path: str) -> DataFrame:
     return read_indexed_lines(spark, path).select("feat_id", F.col("features")[0].alias("value"))
 
 
-def to_dense_lines(df: DataFrame, label: str = "label", features: str = "features", sep: str = ",") -> DataFrame:
+def to_dense_lines(df: DataFrame, label: str = "label", features: str = "features", sep: str = ",",
+                   n: int | None = None) -> DataFrame:
     """Inverse of :func:`parse_dense` (Java shortest round-trip double text)."""
     keep = [c for c in df.columns if c not in (label, features)]
+    if n is not None:
+        parts = [F.col(label).cast("double").cast("string")] + [F.col(features)[j].cast("string")
+                                                                 for j in range(n)]
+        return df.select(*keep, F.concat_ws(sep, *parts).alias("value"))
     arr = F.concat(F.array(F.col(label).cast("double")), F.col(features))
     return df.select(*keep, F.array_join(F.transform(arr, lambda v: v.cast("string")), sep).alias("value"))
 

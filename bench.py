@@ -16,17 +16,18 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
     # solvers (V1-V7) and their reports
-    "fista_lasso", "fista_backtracking", "fista_lhalf", "apg_restart", "admm_rows", "admm_momentum_rows",
-    "admm_drawback_rows", "loss_history", "holdout_l1",
+    "fista_lasso", "fista_backtracking", "fista_lhalf", "fista_lasso_embeddings", "apg_restart", "admm_rows",
+    "admm_momentum_rows", "admm_drawback_rows", "loss_history", "holdout_l1",
     # linear-algebra kernels, both layouts
     "matvec_rows", "grad_rows", "matvec_cols", "grad_cols",
     # sources and preparation
     "parse_dense_text", "column_layout", "libsvm_roundtrip", "index_categories", "one_hot_drop_last",
     "assemble_features", "normalize_rows", "hash_split_60_40", "vector_sum",
     # evaluation
-    "auc_scores", "metrics_by_threshold", "multiclass_metrics", "regression_metrics",
+    "auc_scores", "pr_scores", "metrics_by_threshold", "multiclass_metrics", "regression_metrics",
     # learners
     "logit_lbfgs_binary", "logit_elastic_net", "predict_score", "predict_class", "dt_bank", "xgb_house",
+    "boost_histogram",
 ]
 
 

@@ -77,3 +77,12 @@ def test_hash_split_is_partition_independent(spark):
     a = li.repartition(1).filter(prep.hash_split_col("l_orderkey", 60, 11)).count()
     b = li.repartition(7).filter(prep.hash_split_col("l_orderkey", 60, 11)).count()
     assert a == b and 0 < a < li.count()
+
+
+def test_parse_known_width(spark):
+    ok = spark.createDataFrame([("1,2,3",), ("0,0.5,-1",)], "value string")
+    rows = sorted(text.parse_dense(ok, n=2).collect(), key=lambda r: r["label"])
+    assert rows[0]["features"] == [0.5, -1.0] and rows[1]["label"] == 1.0
+    bad = spark.createDataFrame([("1,2,3",), ("4,5",)], "value string")
+    with pytest.raises(Exception):
+        text.parse_dense(bad, n=2).collect()

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lines, simhash, toxicity
+from . import bpe, decontaminate, langid, lines, lmscore, pii, simhash, substring, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,12 +49,39 @@ def op1_toxicity(spark, sf_dir):
             .select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted"))
 
 
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+e AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM e),
+c AS (SELECT DISTINCT doc_id, i + j AS p FROM (SELECT doc_id, i, unnest(range(20)) AS j FROM f WHERE r > 1)),
+w AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+k AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.p) AS kept, count(*) AS n FROM w ANTI JOIN c ON w.doc_id = c.doc_id AND w.p = c.p GROUP BY w.doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+
+@register("op2_substring_dedup", OP2_SQL)
+def op2_substring_dedup(spark, sf_dir):
+    out = substring.remove_repeats(table(spark, sf_dir, "documents"), window=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @register("op3_simhash")
 def op3_simhash(spark, sf_dir):
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), max_bits=4, shingle_words=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@register("op4_pii")
+def op4_pii(spark, sf_dir):
+    """n_<kind> count the base spans; n_found those that context added; spans holds both."""
+    out = pii.extract(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *[pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS],
+                      F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"),
+                      pii.as_text(F.sort_array(F.concat("base", "found"))).alias("spans"), F.size("found").cast("long").alias("n_found"))
+
+
 @register("op5_decontaminate")
 def op5_decontaminate(spark, sf_dir):
     found = decontaminate.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -104,7 +131,60 @@ def op6_line_dedup(spark, sf_dir):
                        F.sha2(F.array_join(content, "\n"), 256).alias("kept_sha256"))
 
 
+@register("op7_langid")
+def op7_langid(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, remainder("doc_id", 3) != 1)
+    return (langid.predict(docs.select("doc_id", "text"), model)
+            .select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score"))
+
+
 @register("op8_bpe")
 def op8_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode(docs, vocabulary(), with_ids=False).drop("text")
+
+
+OP9_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
+@register("op9_topk", OP9_SQL)
+def op9_topk(spark, sf_dir):
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS p FROM d),
+b AS (SELECT doc_id, w, p, lag(w) OVER (PARTITION BY doc_id ORDER BY p) AS h FROM t),
+u AS (SELECT w, count(*) AS n FROM t GROUP BY w),
+ud AS (SELECT doc_id, w, count(*) AS n FROM t GROUP BY doc_id, w),
+g AS (SELECT h, w, count(*) AS n FROM b WHERE h IS NOT NULL GROUP BY h, w),
+gd AS (SELECT doc_id, h, w, count(*) AS n FROM b WHERE h IS NOT NULL GROUP BY doc_id, h, w),
+z AS (SELECT doc_id, len(w) AS n, (SELECT count(*) FROM t) - len(w) AS rest FROM d),
+s AS (SELECT b.doc_id, coalesce(g.n - gd.n, 0) AS pair, b.h IS NOT NULL AS inner_word, u.n - ud.n AS one, uh.n - udh.n AS context, z.rest
+      FROM b JOIN z ON b.doc_id = z.doc_id JOIN u ON b.w = u.w JOIN ud ON b.doc_id = ud.doc_id AND b.w = ud.w
+      LEFT JOIN g ON b.h = g.h AND b.w = g.w LEFT JOIN gd ON b.doc_id = gd.doc_id AND b.h = gd.h AND b.w = gd.w
+      LEFT JOIN u uh ON b.h = uh.w LEFT JOIN ud udh ON b.doc_id = udh.doc_id AND b.h = udh.w),
+x AS (SELECT doc_id, count(*) FILTER (WHERE one > 0 AND pair = 0) AS n1, count(*) FILTER (WHERE pair > 0) AS n2, count(*) FILTER (WHERE one = 0) AS n0,
+             sum(CASE WHEN pair > 0 THEN ln(pair / context::DOUBLE)
+                      ELSE (CASE WHEN inner_word THEN ln(0.4) ELSE 0 END) + (CASE WHEN one > 0 THEN ln(one / rest::DOUBLE) ELSE ln(0.4) - ln(rest + 1.0) END) END) AS lp
+      FROM s GROUP BY doc_id)
+SELECT z.doc_id, z.n::BIGINT AS n_words, coalesce(n1, 0)::BIGINT AS n_order1, coalesce(n2, 0)::BIGINT AS n_order2, coalesce(n0, 0)::BIGINT AS n_unseen,
+       round(coalesce(lp, 0), 4) AS logprob, round(lp / z.n, 6) AS score
+FROM z LEFT JOIN x ON z.doc_id = x.doc_id
+"""
+
+
+@register("op10_lm_score", OP10_SQL)
+def op10_lm_score(spark, sf_dir):
+    out = lmscore.score(table(spark, sf_dir, "documents"), order=2)
+    return out.withColumn("logprob", F.round("logprob", 4)).withColumn("score", F.round("score", 6))

@@ -19,12 +19,15 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def dot_lit(features, weights: Sequence[float]) -> Column:
-    """features . w for a literal weight vector."""
+def dot_lit(features, weights: Sequence[float], skip_zeros: bool = False) -> Column:
+    """features . w for a literal weight vector.
+
+    ``skip_zeros`` leaves out features of weight 0 (a NaN there then does not show); it is one rule for every width.
+    """
     f = _c(features)
     w = [float(v) for v in weights]
     if len(w) <= UNROLL_LIMIT:
-        terms = [f.getItem(i) * F.lit(v) for i, v in enumerate(w) if v != 0.0]
+        terms = [f.getItem(i) * F.lit(v) for i, v in enumerate(w) if v != 0.0 or not skip_zeros]
         if not terms:
             return F.lit(0.0)
         out = terms[0]
@@ -32,7 +35,8 @@ def dot_lit(features, weights: Sequence[float]) -> Column:
             out = out + t
         return out
     warr = F.array(*[F.lit(v) for v in w])
-    return F.aggregate(F.zip_with(f, warr, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+    term = (lambda a, b: F.when(b == 0, F.lit(0.0)).otherwise(a * b)) if skip_zeros else (lambda a, b: a * b)
+    return F.aggregate(F.zip_with(f, warr, term), F.lit(0.0), lambda acc, v: acc + v)
 
 
 def dot_cols(a, b) -> Column:

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from pyspark import StorageLevel
 
 from ..functions.vec import dot_lit
-from ..session import spread, target_partitions
+from ..session import partitions_for, spread
 
 # Column-sum aggregates are unrolled (whole-stage codegen) up to this width; wider
 # inputs use the Arrow/numpy per-partition kernel.
@@ -38,6 +39,8 @@ JVM_UNROLL_MAX = 24
 GRAM_MAX_FEATURES = 512
 # Largest n-vector joined with a broadcast hint in the column layout (rows, ~16 bytes each).
 BROADCAST_MAX_FEATURES = 2_000_000
+# size of one COO entry with its row id, for partition counts
+ENTRY_BYTES = 48
 
 
 @dataclass(frozen=True)
@@ -88,8 +91,11 @@ def _moments_jvm(df: DataFrame, n: int, features: str, label: str, with_gram: bo
         exprs += [F.sum(f[i] * f[j]).alias(f"g_{i}_{j}") for i in range(n) for j in range(i, n)]
     exprs += [F.sum(f[j] * b).alias(f"c_{j}") for j in range(n)]
     exprs += [F.sum(b * b).alias("bb"), F.count(F.lit(1)).alias("m"),
-              F.sum(sum((f[j] * f[j] for j in range(n)), F.lit(0.0))).alias("tr")]
+              F.sum(sum((f[j] * f[j] for j in range(n)), F.lit(0.0))).alias("tr"),
+              F.sum(F.when(bad_row(f, n), 1).otherwise(0)).alias("bad")]
     r = df.agg(*exprs).first().asDict()
+    if r["bad"]:
+        raise ValueError(f"{r['bad']} rows have no feature vector of {n} numbers")
     G = None
     if with_gram:
         G = np.zeros((n, n))
@@ -100,8 +106,18 @@ def _moments_jvm(df: DataFrame, n: int, features: str, label: str, with_gram: bo
     return Moments(G, c, float(r["bb"] or 0.0), int(r["m"]), float(r["tr"] or 0.0))
 
 
+def bad_row(f, n: int):
+    """Null vectors, vectors of another width, and null elements are errors in every path."""
+    bad = f.isNull() | (F.size(f) != n)
+    for j in range(n):
+        bad = bad | F.get(f, F.lit(j)).isNull()
+    return bad
+
+
 def _batch_matrix(batch: pa.RecordBatch, features: str, n: int) -> np.ndarray:
     col = batch.column(batch.schema.get_field_index(features))
+    if len(col) and (col.null_count or col.flatten().null_count or pc.any(pc.not_equal(pc.list_value_length(col), n)).as_py()):
+        raise ValueError(f"some rows have no feature vector of {n} numbers")
     flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return flat.reshape(-1, n) if len(col) else np.zeros((0, n))
 
@@ -179,13 +195,22 @@ def moments(df: DataFrame, n: int, features: str = "features", label: str = "lab
 
 # ---------------------------------------------------------------- G.v operators
 
-class GramOperator:
+class Residual:
+    """||A x - b||^2 as a sum of squares, in one pass (no cancellation)."""
+
+    def residual_sq(self, x: np.ndarray) -> float:
+        r = dot_lit(self.features, x) - F.col(self.label)
+        return float(self.df.agg(F.sum(r * r).alias("r2")).first()["r2"] or 0.0)
+
+
+class GramOperator(Residual):
     """G.v on the driver from a once-built Gram matrix."""
 
     kind = "gram"
 
     def __init__(self, df: DataFrame, n: int, features: str = "features", label: str = "label",
                  method: str = "auto"):
+        self.df, self.features, self.label = df, features, label
         mo = moments(df, n, features, label, with_gram=True, method=method)
         self.G, self.c, self.bb, self.m, self.trace, self.n = mo.G, mo.c, mo.bb, mo.m, mo.trace, n
         self.passes = 1
@@ -197,7 +222,7 @@ class GramOperator:
         pass
 
 
-class RowPassOperator:
+class RowPassOperator(Residual):
     """G.v = A^T (A v) by one fused Spark pass over the (persisted) row layout."""
 
     kind = "pass"
@@ -265,20 +290,31 @@ def _maybe_broadcast(vdf: DataFrame, n: int) -> DataFrame:
 
 
 def matvec_cols(coo: DataFrame, x: DataFrame, id_cols: list[str], n: int,
-                weight: str = "weight", out: str = "ax") -> DataFrame:
-    """A.x in the column layout: COO join x on feat_id, grouped by row id (one shuffle on row ids)."""
-    return (coo.join(_maybe_broadcast(x, n), "feat_id")
-            .groupBy(*id_cols).agg(F.sum(F.col("value") * F.col(weight)).alias(out)))
+                weight: str = "weight", out: str = "ax", rows: DataFrame | None = None) -> DataFrame:
+    """A.x in the column layout: COO join x on feat_id, grouped by row id (one shuffle on row ids).
+
+    A row without entries (all zeros) is known only from ``rows``, the list of row ids: with it the
+    result has every row.  It joins the same grouping as a zero entry, so no further shuffle is added.
+    """
+    terms = coo.join(_maybe_broadcast(x, n), "feat_id").select(*id_cols, (F.col("value") * F.col(weight)).alias("t"))
+    if rows is not None:
+        terms = terms.unionAll(rows.select(*id_cols, F.lit(0.0).alias("t")))
+    return terms.groupBy(*id_cols).agg(F.sum("t").alias(out))
 
 
 def rmatvec_cols(coo: DataFrame, r: DataFrame, id_cols: list[str], rcol: str = "r",
-                 out: str = "grad") -> DataFrame:
-    """A^T.r in the column layout: COO join r on row id, grouped by feat_id."""
-    return (coo.join(r, id_cols).groupBy("feat_id")
-            .agg(F.sum(F.col("value") * F.col(rcol)).alias(out)))
+                 out: str = "grad", n: int | None = None) -> DataFrame:
+    """A^T.r in the column layout: COO join r on row id, grouped by feat_id.
+
+    With the width ``n`` features without entries appear with 0.
+    """
+    terms = coo.join(r, id_cols).select("feat_id", (F.col("value") * F.col(rcol)).alias("t"))
+    if n is not None:
+        terms = terms.unionAll(coo.sparkSession.range(n).select(F.col("id").cast("int").alias("feat_id"), F.lit(0.0).alias("t")))
+    return terms.groupBy("feat_id").agg(F.sum("t").alias(out))
 
 
-class CooOperator:
+class CooOperator(Residual):
     """G.v = A^T (A v) in the column layout; n numbers collected per product.
 
     The COO entries are hash-partitioned by row id once and persisted, so every row's entries
@@ -294,15 +330,18 @@ class CooOperator:
                  label: str = "label", product: str = "local"):
         self.spark = df.sparkSession
         self.id_cols, self.n, self.product = id_cols, n, product
+        self.df, self.features, self.label = df, features, label
+        mo = moments(df, n, features, label, with_gram=False,
+                     method="jvm" if n <= JVM_UNROLL_MAX else "arrow")
+        self.c, self.bb, self.m, self.trace = mo.c, mo.bb, mo.m, mo.trace
+        if df.groupBy(*id_cols).count().where("count > 1").take(1):
+            raise ValueError(f"{id_cols} do not identify rows: some occur more than once")
         coo = to_coo(df, id_cols, features)
-        parts = target_partitions(coo)
+        parts = partitions_for(self.spark, mo.m * n * ENTRY_BYTES)
         # sorted by row id inside each partition: a row's entries are contiguous, so the product
         # kernel finds row boundaries with one linear scan
         self.coo = (coo.repartition(parts, *id_cols).sortWithinPartitions(*id_cols)
                     .persist(StorageLevel.MEMORY_AND_DISK))
-        mo = moments(df, n, features, label, with_gram=False,
-                     method="jvm" if n <= JVM_UNROLL_MAX else "arrow")
-        self.c, self.bb, self.m, self.trace = mo.c, mo.bb, mo.m, mo.trace
         self.nparts = parts
         self.passes = 1
 
@@ -324,22 +363,19 @@ class CooOperator:
 
         def kernel(batches):
             w = bv.value
-            keys, feats, vals = [], [], []
+            g: dict[int, float] = {}
+            held = None  # entries of the last row, which may go on in the next batch
             for b in batches:
                 if b.num_rows == 0:
                     continue
-                keys.append(np.column_stack([_batch_vector(b, c) for c in ids]))
-                feats.append(b.column(b.schema.get_field_index("feat_id")).to_numpy().astype(np.int64))
-                vals.append(_batch_vector(b, "value"))
-            g = np.zeros(n)
-            if keys:
-                K, fj, a = np.concatenate(keys), np.concatenate(feats), np.concatenate(vals)
-                change = np.any(K[1:] != K[:-1], axis=1)
-                row = np.concatenate([[0], np.cumsum(change)])
-                r = np.bincount(row, weights=a * w[fj])
-                g = np.bincount(fj, weights=a * r[row], minlength=n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int64)), pa.array(g)],
-                                             names=["k", "v"])
+                t = pa.Table.from_batches([b])
+                held = t if held is None else pa.concat_tables([held, t])
+                new = _row_starts(held, ids)
+                _add_products(held.slice(0, new[-1]), new[:-1], w, g)
+                held = held.slice(new[-1])
+            if held is not None:
+                _add_products(held, np.zeros(1, np.int64), w, g)
+            yield pa.RecordBatch.from_arrays([pa.array(list(g), pa.int64()), pa.array(list(g.values()), pa.float64())], names=["k", "v"])
         try:
             return sum_partials(self.coo.mapInArrow(kernel, _PARTIAL_SCHEMA), n, self.nparts)
         finally:
@@ -349,6 +385,29 @@ class CooOperator:
         self.coo.unpersist()
 
 
+def _row_starts(entries: pa.Table, ids: list[str]) -> np.ndarray:
+    """Places where the row id changes (sorted entries); ids of any type are compared as they are."""
+    change = np.zeros(entries.num_rows, bool)
+    change[0] = True
+    for c in ids:
+        col = entries[c].combine_chunks()
+        if entries.num_rows > 1:
+            change[1:] |= pc.fill_null(pc.not_equal(col[1:], col[:-1]), True).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(change)
+
+
+def _add_products(entries: pa.Table, starts: np.ndarray, w: np.ndarray, g: dict[int, float]) -> None:
+    """Add A^T (A w) of whole rows to the touched features' sums."""
+    if not len(starts):
+        return
+    feat, value = entries["feat_id"].to_numpy(), entries["value"].to_numpy()
+    r = np.add.reduceat(value * w[feat], starts)
+    per_entry = np.repeat(r, np.diff(np.r_[starts, len(value)]))
+    touched, at = np.unique(feat, return_inverse=True)
+    for f, s in zip(touched.tolist(), np.bincount(at, weights=value * per_entry).tolist(), strict=True):
+        g[f] = g.get(f, 0.0) + s
+
+
 def make_operator(df: DataFrame, n: int, layout: str = "rows", method: str = "auto",
                   id_cols: list[str] | None = None, features: str = "features", label: str = "label"):
     """Pick the G.v operator: rows+auto -> Gram when n is small, else one pass per product."""

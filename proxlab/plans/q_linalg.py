@@ -34,10 +34,36 @@ def q_matvec_rows(spark, sf_dir):
 def q_matvec_cols(spark, sf_dir):
     """L2: A.x in the column layout: COO joined with x (broadcast, n rows), grouped by row id."""
     coo = linalg.to_coo(fx.lineitem_design(spark, sf_dir), IDS)
-    ax = linalg.matvec_cols(coo, linalg.vector_df(spark, X), IDS, len(X))
+    ax = linalg.matvec_cols(coo, linalg.vector_df(spark, X), IDS, len(X), rows=fx.lineitem_design(spark, sf_dir))
     return ax.select(*IDS, rnd("ax").alias("ax"))
 
 
+def _with_zeros(spark, sf_dir):
+    """The planted design with rows (l_linenumber = 2) and a feature (the second) of zeros only."""
+    zero = F.col("l_linenumber") == 2
+    f = F.col("features")
+    return fx.lineitem_design(spark, sf_dir).withColumn("features", F.array(
+        *[F.when(zero, F.lit(0.0)).otherwise(F.lit(0.0) if j == 1 else f[j]) for j in range(4)]))
+
+
+_ZERO = f"(SELECT {IDS_SQL}, label, " + ", ".join("CAST(0 AS DOUBLE) AS f1" if j == 1 else f"CASE WHEN l_linenumber = 2 THEN 0 ELSE f{j} END AS f{j}" for j in range(4)) + f" FROM ({D_PLANT}) A0)"
+
+
+@register("matvec_cols_zeros", f"SELECT {IDS_SQL}, {sg.rnd(_AX)} AS ax FROM {_ZERO} A")
+def q_matvec_cols_zeros(spark, sf_dir):
+    """L2 with all-zero rows and an all-zero feature: every row appears."""
+    df = _with_zeros(spark, sf_dir)
+    ax = linalg.matvec_cols(linalg.to_coo(df, IDS), linalg.vector_df(spark, X), IDS, len(X), rows=df)
+    return ax.select(*IDS, rnd("ax").alias("ax"))
+
+
+@register("grad_cols_zeros", " UNION ALL ".join(
+    f"SELECT CAST({j} AS INTEGER) AS feat_id, {sg.rnd(f'sum(f{j} * (({_AX}) - label))')} AS value FROM {_ZERO} A" for j in range(4)))
+def q_grad_cols_zeros(spark, sf_dir):
+    """L4 with all-zero rows and an all-zero feature: every feature appears."""
+    return _grad_cols(spark, _with_zeros(spark, sf_dir))
+
+
 @register("grad_rows", GRAD_SQL)
 def q_grad_rows(spark, sf_dir):
     """L3 (+L1 fused): A^T (A x - b) in the row layout; partial sums map-side."""
@@ -49,11 +75,14 @@ def q_grad_rows(spark, sf_dir):
 @register("grad_cols", GRAD_SQL)
 def q_grad_cols(spark, sf_dir):
     """L4 (+L2): A^T (A x - b) in the column layout: two grouped joins, no m-vector on the driver."""
-    design = fx.lineitem_design(spark, sf_dir)
+    return _grad_cols(spark, fx.lineitem_design(spark, sf_dir))
+
+
+def _grad_cols(spark, design):
     coo = linalg.to_coo(design, IDS)
-    ax = linalg.matvec_cols(coo, linalg.vector_df(spark, X), IDS, len(X))
+    ax = linalg.matvec_cols(coo, linalg.vector_df(spark, X), IDS, len(X), rows=design)
     r = ax.join(design.select(*IDS, "label"), IDS).select(*IDS, (F.col("ax") - F.col("label")).alias("r"))
-    g = linalg.rmatvec_cols(coo, r, IDS, out="value")
+    g = linalg.rmatvec_cols(coo, r, IDS, out="value", n=len(X))
     return g.select("feat_id", rnd("value").alias("value"))
 
 

@@ -14,10 +14,10 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def get_spark(master: str = "local[*]", app: str = "proxlab", shuffle_partitions: int = 8,
+def get_spark(master: str = "local[*]", app: str = "proxlab", shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:
+    """A session; the cluster's shuffle partition count stays unless one is given."""
     b = (SparkSession.builder.master(master).appName(app)
-         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -25,6 +25,8 @@ def get_spark(master: str = "local[*]", app: str = "proxlab", shuffle_partitions
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.ui.enabled", "false")
          .config("spark.driver.memory", "16g"))
+    if shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -40,6 +42,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="proxlab-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
@@ -51,7 +55,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "proxlab-scratch", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -63,7 +67,7 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
 
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
@@ -78,42 +82,31 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(base, f)
                     zf.write(full, os.path.relpath(full, root))
     sc.addPyFile(zpath)
-    _SHIPPED.add(id(sc))
+    _SHIPPED.add(sc.applicationId)
 
 
-SPREAD_TARGET_BYTES = 64 << 20
+PARTITION_BYTES = 64 << 20
+# below this a further task costs more than it saves
+LEAST_PARTITION_BYTES = 2 << 20
 
 
-def estimated_bytes(df) -> int | None:
-    """Catalyst's size estimate of a DataFrame's optimized plan (None if unavailable)."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - estimate only
-        return None
+def estimated_bytes(df) -> int:
+    """Catalyst's size estimate of a DataFrame's optimized plan (compressed file size at a scan)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-MAX_TARGET_PARTITIONS = 200_000
+def partitions_for(spark: SparkSession, nbytes: int) -> int:
+    """Partitions for ``nbytes`` of data that is scanned many times: as many as cores while each has
+    ``LEAST_PARTITION_BYTES``, and as many as it takes to hold ``PARTITION_BYTES`` each."""
+    par = spark.sparkContext.defaultParallelism
+    return int(max(1, min(par, -(-nbytes // LEAST_PARTITION_BYTES)), -(-nbytes // PARTITION_BYTES)))
 
 
-def target_partitions(df, target_bytes: int = SPREAD_TARGET_BYTES) -> int:
-    """Partitions for a DataFrame that is repartitioned and then scanned many times: about
-    ``target_bytes`` each by Catalyst's size estimate, independent of spark.sql.shuffle.partitions
-    (per-iteration passes pay a fixed cost per task, so small inputs get few partitions)."""
-    est = estimated_bytes(df)
-    if est is None:
-        return df.sparkSession.sparkContext.defaultParallelism
-    return int(max(1, min(MAX_TARGET_PARTITIONS, -(-est // target_bytes))))
-
-
-def spread(df, target_bytes: int = SPREAD_TARGET_BYTES):
-    """Repartition a DataFrame that is about to be persisted and scanned many times when it has
-    fewer partitions than its estimated size warrants (one large row group, say): about
-    ``target_bytes`` per partition, at most one per core.  Inputs that already have enough
-    partitions -- every real input at scale -- are returned unchanged, so no shuffle is added,
-    and small inputs stay in few partitions so concurrent fits do not contend for task slots."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    est = estimated_bytes(df)
-    want = par if est is None else max(1, min(par, -(-est // target_bytes)))
+def spread(df):
+    """Repartition a DataFrame that is about to be persisted and scanned many times if it has fewer
+    partitions than its estimated size warrants (one large row group, say).  Inputs that have
+    enough partitions are returned unchanged, so no shuffle is added."""
+    want = min(partitions_for(df.sparkSession, estimated_bytes(df)), df.sparkSession.sparkContext.defaultParallelism)
     if df.rdd.getNumPartitions() < want:
         return df.repartition(want)
     return df

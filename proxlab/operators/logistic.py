@@ -27,10 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vec import dot_lit
-from ..session import spread, target_partitions
+from ..session import spread
 from .linalg import _batch_matrix, _batch_vector, sum_partials
 
 _PARTIAL = "k long, v double"
+DRAW_PARTS = 1 << 20
+# workers of parallel SGD: part of the model's definition, not of the cluster's
+WORKERS = 8
 
 
 def _softplus(m: Column) -> Column:
@@ -41,6 +44,12 @@ def _sigmoid(m: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-m))
 
 
+def check_labels(y: np.ndarray, num_classes: int) -> None:
+    """Labels must be whole numbers in 0..num_classes-1 (P7 / P13 bring others into this form)."""
+    if len(y) and not (np.isfinite(y).all() and (y == np.floor(y)).all() and y.min() >= 0 and y.max() < num_classes):
+        raise ValueError(f"labels must be 0..{num_classes - 1}; map them with labels_to_01 or label_indexer first")
+
+
 def _np_multinomial(A: np.ndarray, y: np.ndarray, W: np.ndarray):
     """Loss sum and gradient sum for the pivot-0 softmax; W is (K-1, n)."""
     M = A @ W.T                                   # (rows, K-1)
@@ -70,8 +79,8 @@ class LossGradPass:
     """Distributed (loss_sum, grad_sum, count) for fixed weights, one Spark job per call."""
 
     def __init__(self, df: DataFrame, n: int, num_classes: int = 2, features: str = "features",
-                 label: str = "label", method: str = "auto", persist: bool = True):
-        self.df = df.select(F.col(features).alias("features"), F.col(label).cast("double").alias("label"))
+                 label: str = "label", method: str = "auto", persist: bool = True, carry: list[str] = ()):
+        self.df = df.select(F.col(features).alias("features"), F.col(label).cast("double").alias("label"), *carry)
         if persist:
             self.df = spread(self.df).persist(StorageLevel.MEMORY_AND_DISK)
         self.n, self.K = n, num_classes
@@ -98,6 +107,7 @@ class LossGradPass:
         f = F.col("features")
         s = src.select("features", "label", m.alias("m"))
         mm, y = F.col("m"), F.col("label")
+        s = s.withColumn("label", F.when(y.isin(0.0, 1.0), y).otherwise(F.raise_error(F.lit("labels must be 0 or 1"))))
         r = s.agg(F.sum(_softplus(mm) - y * mm).alias("loss"), F.count(F.lit(1)).alias("cnt"),
                   *[F.sum((_sigmoid(mm) - y) * f[j]).alias(f"g{j}") for j in range(self.n)]).first()
         g = np.array([r[f"g{j}"] or 0.0 for j in range(self.n)])
@@ -117,6 +127,7 @@ class LossGradPass:
                     continue
                 A = _batch_matrix(b, "features", n)
                 y = _batch_vector(b, "label")
+                check_labels(y, K)
                 if K == 2:
                     l_, g_ = _np_binary(A, y, Wl)
                 else:
@@ -222,21 +233,24 @@ def fit_lbfgs(df: DataFrame, n: int, num_classes: int = 2, reg: float = 0.1, cor
 
 def fit_minibatch_sgd(df: DataFrame, n: int, num_classes: int, step_size: float = 10.0, iters: int = 200,
                       reg: float = 1e-3, fraction: float = 0.01, tol: float = 1e-5, seed: int = 42,
-                      features: str = "features", label: str = "label") -> FitResult:
-    """Each iteration samples ``fraction`` of the rows (seed + i), takes one gradient step
-    with step ``step_size / sqrt(i)`` and the L2 shrink; stops when the relative weight change < tol."""
-    p = LossGradPass(df, n, num_classes, features, label)
+                      features: str = "features", label: str = "label", key: str | None = None) -> FitResult:
+    """Each iteration draws ``fraction`` of the rows (seed + i), takes one gradient step
+    with step ``step_size / sqrt(i)`` and the L2 shrink; stops when the relative weight change < tol.
+
+    Rows are drawn by a hash of ``key`` (of the whole row without one), so the draw does not depend on how
+    the table is laid out; an empty draw is a step by the shrink alone."""
+    of = [F.col(key)] if key else [F.col(features), F.col(label)]
+    p = LossGradPass(df.withColumn("_draw", F.xxhash64(*of)), n, num_classes, features, label, carry=["_draw"])
     W = np.zeros(n) if num_classes == 2 else np.zeros((num_classes - 1, n))
     hist = []
     i = 0
     try:
         for i in range(1, iters + 1):
-            loss, g, cnt = p(W, p.df.sample(withReplacement=False, fraction=fraction, seed=seed + i))
-            if cnt == 0:
-                continue
-            hist.append(loss / cnt + 0.5 * reg * float(np.sum(W * W)))
+            drawn = F.pmod(F.xxhash64("_draw", F.lit(seed + i)), F.lit(DRAW_PARTS)) < int(round(fraction * DRAW_PARTS))
+            loss, g, cnt = p(W, p.df.where(drawn))
+            hist.append(loss / max(cnt, 1) + 0.5 * reg * float(np.sum(W * W)))
             eta = step_size / math.sqrt(i)
-            W_new = W * (1.0 - eta * reg) - eta * (g / cnt)
+            W_new = W * (1.0 - eta * reg) - eta * (g / max(cnt, 1))
             change = float(np.linalg.norm(W_new - W))
             W = W_new
             if change < tol * max(float(np.linalg.norm(W)), 1.0):
@@ -247,22 +261,22 @@ def fit_minibatch_sgd(df: DataFrame, n: int, num_classes: int, step_size: float
 
 
 def fit_parallel_sgd(df: DataFrame, n: int, num_classes: int = 2, epochs: int = 100, step_size: float = 1.0,
-                     reg: float = 0.0, batch: int = 64, key: str | None = None, partitions: int | None = None,
+                     reg: float = 0.0, batch: int = 64, key: str | None = None, workers: int = WORKERS,
                      features: str = "features", label: str = "label") -> FitResult:
-    """Per epoch every partition runs local mini-batch SGD from the broadcast weights over its
-    rows (in key order), and the driver averages the local weights weighted by row counts.
-    The number of workers (partitions) follows the data size unless given.
+    """Per epoch each of ``workers`` workers runs local mini-batch SGD from the broadcast weights over
+    its rows, and the driver averages the local weights weighted by row counts.
 
-    Rows are assigned to workers by a hash of ``key`` and sorted by it, so the result does not
-    depend on how the input files were split.
+    Rows go to workers, and are ordered within them, by a hash of ``key`` (of the whole row without one);
+    batches run across the Arrow batches of a worker.  So the model depends on the data and ``workers`` only,
+    not on files, cores or Arrow's batch size.  Give large data more workers.
     """
     spark = df.sparkSession
-    src = df.select(*([key] if key else []), F.col(features).alias("features"),
-                    F.col(label).cast("double").alias("label"))
-    P = partitions or target_partitions(src)
-    if key:
-        src = src.repartition(P, key).sortWithinPartitions(key)
-    src = src.select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    src = df.select(F.col(features).alias("features"), F.col(label).cast("double").alias("label"),
+                    F.xxhash64(*([key] if key else [features, label])).alias("_order"))
+    # the same worker for a row at any parallelism: exactly ``workers`` partitions by an explicit number
+    src = src.withColumn("_worker", F.pmod("_order", F.lit(workers)).cast("int"))
+    src = (src.repartition(workers, "_worker").sortWithinPartitions("_worker", "_order", "label", "features")
+           .select("features", "label", "_worker").persist(StorageLevel.MEMORY_AND_DISK))
     K = num_classes
     W = np.zeros(n) if K == 2 else np.zeros((K - 1, n))
     nparts = src.rdd.getNumPartitions()
@@ -273,20 +287,40 @@ def fit_parallel_sgd(df: DataFrame, n: int, num_classes: int = 2, epochs: int =
             eta0 = step_size / math.sqrt(ep)
 
             def kernel(batches, bw=bw, eta0=eta0):
-                w = bw.value.copy()
-                cnt, loss = 0, 0.0
+                out, w, cnt, loss, worker = [], None, 0, 0.0, None
+                A, y = np.zeros((0, n)), np.zeros(0)
+
+                def step(Ab, yb):
+                    nonlocal w, cnt, loss
+                    lb, gb = (_np_binary if K == 2 else _np_multinomial)(Ab, yb, w)
+                    loss += lb
+                    w = w - eta0 * (gb / len(yb) + reg * w)
+                    cnt += len(yb)
+
+                def finish():
+                    if worker is not None:
+                        if len(y):
+                            step(A, y)
+                        out.append(np.concatenate([(w * cnt).ravel(), [float(cnt), loss]]))
+
                 for b in batches:
-                    if b.num_rows == 0:
-                        continue
-                    A = _batch_matrix(b, "features", n)
-                    y = _batch_vector(b, "label")
-                    for s in range(0, len(y), batch):
-                        Ab, yb = A[s:s + batch], y[s:s + batch]
-                        lb, gb = (_np_binary if K == 2 else _np_multinomial)(Ab, yb, w)
-                        loss += lb
-                        w = w - eta0 * (gb / len(yb) + reg * w)
-                    cnt += len(y)
-                v = np.concatenate([(w * cnt).ravel(), [float(cnt), loss]])
+                    whose = _batch_vector(b, "_worker").astype(np.int64)
+                    Ab, yb = _batch_matrix(b, "features", n), _batch_vector(b, "label")
+                    check_labels(yb, K)
+                    # a partition may hold several workers' rows, one after the other
+                    for part in np.split(np.arange(len(whose)), np.flatnonzero(np.diff(whose)) + 1):
+                        if not len(part):
+                            continue
+                        if whose[part[0]] != worker:
+                            finish()
+                            worker, w, cnt, loss = whose[part[0]], bw.value.copy(), 0, 0.0
+                            A, y = np.zeros((0, n)), np.zeros(0)
+                        A, y = np.concatenate([A, Ab[part]]), np.concatenate([y, yb[part]])
+                        while len(y) >= batch:
+                            step(A[:batch], y[:batch])
+                            A, y = A[batch:], y[batch:]
+                finish()
+                v = np.sum(out, axis=0) if out else np.zeros(bw.value.size + 2)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int64)), pa.array(v)],
                                                  names=["k", "v"])
             size = W.size

@@ -31,7 +31,7 @@ def test_jvm_and_arrow_passes_agree(spark):
 
 def test_parallel_sgd_learns_signal(spark):
     df = fx.lineitem_design(spark, SF_SMALL, "binary").withColumn("_k", F.xxhash64(*fx.LINEITEM_IDS))
-    res = logistic.fit_parallel_sgd(df, 4, 2, epochs=15, step_size=1.0, key="_k", partitions=3)
+    res = logistic.fit_parallel_sgd(df, 4, 2, epochs=15, step_size=1.0, key="_k", workers=3)
     scored = df.select(logistic.predict_score("features", res.weights).alias("score"), "label")
     auc = metrics.binary_areas(metrics.binary_points(scored, "score", "label")).first()["auc_roc"]
     assert auc > 0.7

@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..functions.prox import check_penalty, prox_np
-from . import linalg
 
 
 def penalty_value(penalty: str, x: np.ndarray) -> float:
@@ -73,7 +72,14 @@ def _residual_sq(op, v: np.ndarray, gv: np.ndarray) -> float:
 def _final_residual(op, x: np.ndarray) -> float:
     if op.bb <= 0:
         return float("nan")
-    return math.sqrt(_residual_sq(op, x, op.gv(x)) / op.bb)
+    return math.sqrt(op.residual_sq(x) / op.bb)
+
+
+def _progress(op, k: int, v: np.ndarray, gv: np.ndarray, lam: float, penalty: str, step: float) -> dict:
+    """History entry from a product that the iteration has made anyway (accurate to rounding of b.b)."""
+    r2 = _residual_sq(op, v, gv)
+    return {"iter": k, "objective": 0.5 * r2 + lam * penalty_value(penalty, v),
+            "rel_residual": math.sqrt(r2 / op.bb) if op.bb > 0 else None, "step": step}
 
 
 def _converged(x, x_old, tol) -> bool:
@@ -81,12 +87,12 @@ def _converged(x, x_old, tol) -> bool:
 
 
 def fista(op, lam: float, penalty: str = "l1", maxit: int = 100, step: float = 1.0,
-          line_search: bool = True, scalar: float = 2.0, buffer_num: int = 20,
+          line_search: bool = True, shrink: float = 2.0, max_trials: int = 20,
           x0: np.ndarray | None = None, tol: float = 0.0) -> SolverResult:
     """V1: FISTA.  x = prox(z - s g, lambda s); momentum z = x + (t-1)/t' (x - x_old).
 
-    With ``line_search`` the step is divided by ``scalar`` until ||A d||^2 <= ||d||^2/(2s)
-    (at most ``buffer_num`` times) and doubled on every 10th iteration; without it the
+    With ``line_search`` the step is divided by ``shrink`` until ||A d||^2 <= ||d||^2/(2s)
+    (at most ``max_trials`` times) and doubled on every 10th iteration; without it the
     step is constant.  Returns x (last proximal point) and z (extrapolated point).
     """
     check_penalty(penalty)
@@ -99,9 +105,7 @@ def fista(op, lam: float, penalty: str = "l1", maxit: int = 100, step: float = 1
     for k in range(1, maxit + 1):
         gz = op.gv(z)
         g = gz - op.c
-        r2 = _residual_sq(op, z, gz)
-        hist.append({"iter": k, "objective": 0.5 * r2 + lam * penalty_value(penalty, z),
-                     "rel_residual": math.sqrt(r2 / op.bb) if op.bb > 0 else None, "step": s})
+        hist.append(_progress(op, k, z, gz, lam, penalty, s))
         t, x_old = t_new, x
         trials = 0
         while True:
@@ -112,9 +116,9 @@ def fista(op, lam: float, penalty: str = "l1", maxit: int = 100, step: float = 1
             dd = float(d @ d)
             if dd == 0.0 or float(d @ op.gv(d)) <= dd / (2.0 * s):
                 break
-            s /= scalar
+            s /= shrink
             trials += 1
-            if trials >= buffer_num:
+            if trials >= max_trials:
                 break
         if line_search and k % 10 == 0:
             s *= 2.0
@@ -125,51 +129,58 @@ def fista(op, lam: float, penalty: str = "l1", maxit: int = 100, step: float = 1
     return SolverResult(x, z, s, k, hist, _final_residual(op, x), op.passes)
 
 
+@dataclass
+class _Pair:
+    """The two sequences of accelerated proximal gradient: the averaged point and the prox point."""
+    mean: np.ndarray
+    prox: np.ndarray
+
+    def at(self, weight: float) -> np.ndarray:
+        return self.mean + weight * (self.prox - self.mean)
+
+
+def momentum_weights(alpha: float):
+    """1, then 2 / (1 + sqrt(1 + 4 alpha / previous^2)): the weights of the accelerated method with ratio ``alpha``."""
+    weight = 1.0
+    while True:
+        yield weight
+        weight = 2.0 / (1.0 + math.sqrt(1.0 + 4.0 * alpha / weight ** 2))
+
+
 def apg_restart(op, lam: float = 1.0, penalty: str = "l1", alpha: float = 0.9, maxit: int = 100,
                 step: float = 1e-3, tol: float = 0.0, x0: np.ndarray | None = None) -> SolverResult:
-    """V2: accelerated proximal gradient with the theta-sequence and gradient restart.
+    """V2: accelerated proximal gradient with gradient restart (the published recurrence).
 
-    L <- alpha L;  theta = 2 / (1 + sqrt(1 + 4 (L/L_old) / theta_old^2)), theta_0 = inf;
-    y = (1-theta) x + theta z;  z+ = prox(z - step grad f(y), lambda step);
-    x+ = (1-theta) x + theta z+;  if grad f(y).(x+ - x) > 0 then z+ = x+.
+    The gradient is taken at the weighted mean of both sequences; the prox point moves against it; the
+    mean follows by the momentum weight.  Where the mean moves uphill the prox point restarts from it.
     """
     check_penalty(penalty)
-    n = op.n
-    xnew = np.zeros(n) if x0 is None else np.asarray(x0, float).copy()
-    znew = xnew.copy()
-    L, theta = 1.0, math.inf
+    start = np.zeros(op.n) if x0 is None else np.asarray(x0, float).copy()
+    state = _Pair(start, start)
     hist = []
-    k = 0
-    for k in range(1, maxit + 1):
-        L_old = L
-        L *= alpha
-        theta_old = theta
-        x, z = xnew, znew
-        theta = 2.0 / (1.0 + math.sqrt(1.0 + 4.0 * (L / L_old) / (theta_old * theta_old)))
-        y = (1.0 - theta) * x + theta * z
-        gy = op.gv(y)
-        g = gy - op.c
-        r2 = _residual_sq(op, y, gy)
-        hist.append({"iter": k, "objective": 0.5 * r2 + lam * penalty_value(penalty, y),
-                     "rel_residual": math.sqrt(r2 / op.bb) if op.bb > 0 else None, "step": step})
-        znew = prox_np(penalty, z - step * g, lam * step)
-        xnew = (1.0 - theta) * x + theta * znew
-        if float(g @ (xnew - x)) > 0.0:
-            znew = xnew
-        if _converged(xnew, x, tol):
+    for k, weight in zip(range(1, maxit + 1), momentum_weights(alpha)):
+        y = state.at(weight)
+        product = op.gv(y)
+        slope = product - op.c
+        hist.append(_progress(op, k, y, product, lam, penalty, step))
+        moved = _Pair(state.mean, prox_np(penalty, state.prox - step * slope, lam * step))
+        mean = moved.at(weight)
+        uphill = float(slope @ (mean - state.mean)) > 0.0
+        before, state = state.mean, _Pair(mean, mean if uphill else moved.prox)
+        if _converged(mean, before, tol):
             break
-    return SolverResult(xnew, znew, step, k, hist, _final_residual(op, xnew), op.passes)
+    return SolverResult(state.mean, state.prox, step, len(hist), hist, _final_residual(op, state.mean), op.passes)
 
 
 def admm(op, lam: float, penalty: str = "l1", beta: float = 0.1, u: float = 1e-4, maxit: int = 100,
-         tol: float = 0.0, momentum: bool = False, line_search: bool = False, scale: float = 2.0,
-         buffer_num: int = 20, x0: np.ndarray | None = None, track: bool | None = None) -> SolverResult:
+         tol: float = 0.0, momentum: bool = False, line_search: bool = False, shrink: float = 2.0,
+         max_trials: int = 20, x0: np.ndarray | None = None, track: bool = False) -> SolverResult:
     """V3-V8: linearized ADMM for min 1/2||y - b||^2 + lambda R(x)  s.t.  A x = y.
 
     p += beta (A v - y);  y = (beta A v + b + p) / (1 + beta);
     x = prox(v - u A^T (A v - y + p/beta), lambda u / beta)
     where v = x (plain) or the FISTA-extrapolated z (``momentum``).  ``line_search`` adds the
-    step drawback (u /= scale until ||A d||^2 <= ||d||^2/(2u), d = x - v; u doubled every
+    step drawback (u /= shrink until ||A d||^2 <= ||d||^2/(2u), d = x - v; u doubled every
     10th iteration).  The layout (rows / cols) is the operator's.
     """
     check_penalty(penalty)
@@ -179,7 +190,6 @@ def admm(op, lam: float, penalty: str = "l1", beta: float = 0.1, u: float = 1e-4
     a, d = np.zeros(n), np.zeros(n)
     gamma = eps = 0.0
     t_new = 1.0
-    track = (op.kind == "gram") if track is None else track
     hist = []
     k = 0
     for k in range(1, maxit + 1):
@@ -200,9 +210,9 @@ def admm(op, lam: float, penalty: str = "l1", beta: float = 0.1, u: float = 1e-4
             dd = float(dv @ dv)
             if dd == 0.0 or float(dv @ op.gv(dv)) <= dd / (2.0 * u):
                 break
-            u /= scale
+            u /= shrink
             trials += 1
-            if trials >= buffer_num:
+            if trials >= max_trials:
                 break
         if line_search and k % 10 == 0:
             u *= 2.0
@@ -222,34 +232,3 @@ def admm(op, lam: float, penalty: str = "l1", beta: float = 0.1, u: float = 1e-4
         if _converged(x, x_old, tol):
             break
     return SolverResult(x, z, u, k, hist, _final_residual(op, x), op.passes)
-
-
-def power_lipschitz(op, iters: int = 50, seed: int = 0) -> float:
-    """Largest eigenvalue of A^T A by power iteration on the operator (n-dim, driver)."""
-    rng = np.random.default_rng(seed)
-    v = rng.standard_normal(op.n)
-    v /= np.linalg.norm(v)
-    lam = 0.0
-    for _ in range(iters):
-        w = op.gv(v)
-        lam = float(np.linalg.norm(w))
-        if lam == 0:
-            return 0.0
-        v = w / lam
-    return lam
-
-
-def solve(df: DataFrame, solver: str = "fista", layout: str = "rows", method: str = "auto",
-          id_cols: list[str] | None = None, features: str = "features", label: str = "label",
-          n: int | None = None, **params) -> SolverResult:
-    """Convenience entry: build the operator for ``df`` and run one of the solvers."""
-    df = linalg.as_double_features(df, features)
-    if n is None:
-        n = linalg.shape(df, features).n
-    op = linalg.make_operator(df, n, layout=layout, method=method, id_cols=id_cols,
-                              features=features, label=label)
-    try:
-        fn = {"fista": fista, "apg": apg_restart, "admm": admm}[solver]
-        return fn(op, **params)
-    finally:
-        op.close()

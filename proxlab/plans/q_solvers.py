@@ -67,7 +67,7 @@ def q_fista_backtracking(spark, sf_dir):
     op = _op(spark, sf_dir)
     try:
         res = solvers.fista(op, lam=LAM_PER_ROW * op.m, penalty="l1", maxit=MAXIT, step=1.0,
-                            line_search=True, scalar=2.0, buffer_num=20)
+                            line_search=True, shrink=2.0, max_trials=20)
     finally:
         op.close()
     return _weights(spark, res)

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +44,8 @@ def prefix_sums(df: DataFrame, order_col: str, cols: list[str], descending: bool
     of the bucket totals (one row per bucket: a proven bound) is broadcast back as offsets.
     """
     spark = df.sparkSession
+    # the input (one row per distinct value) is scanned for its size, its cuts, its totals and the result
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     if num_partitions:
         P = num_partitions
     else:
@@ -79,11 +82,33 @@ def prefix_sums(df: DataFrame, order_col: str, cols: list[str], descending: bool
                       *[F.lit(run[c]).cast(types[c]).alias(f"tot_{c}") for c in cols])
 
 
-def binary_points(df: DataFrame, score, label, num_partitions: int | None = None) -> DataFrame:
+def unusable(score, label) -> Column:
+    """Rows that no curve can use: null or NaN score or label."""
+    s, y = _c(score).cast("double"), _c(label).cast("double")
+    return s.isNull() | F.isnan(s) | y.isNull() | F.isnan(y)
+
+
+def unusable_counts(df: DataFrame, score, label) -> DataFrame:
+    """``[n_rows, n_bad_score, n_bad_label, n_used]``: what ``invalid="skip"`` leaves out."""
+    s, y = _c(score).cast("double"), _c(label).cast("double")
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), n(s.isNull() | F.isnan(s)).alias("n_bad_score"),
+                  n(y.isNull() | F.isnan(y)).alias("n_bad_label"), n(~unusable(score, label)).alias("n_used"))
+
+
+def binary_points(df: DataFrame, score, label, num_partitions: int | None = None, invalid: str = "raise") -> DataFrame:
     """One row per distinct score: ``[threshold, pos, neg, tp, fp, P, N]``
-    (tp/fp = counts with score >= t; P/N = class totals)."""
-    agg = (df.select(_c(score).cast("double").alias("threshold"), _c(label).cast("double").alias("y"))
-           .filter(F.col("threshold").isNotNull() & ~F.isnan("threshold"))
+    (tp/fp = counts with score >= t; P/N = class totals).
+
+    Null or NaN scores and labels raise; with ``invalid="skip"`` they are left out, and
+    :func:`unusable_counts` says how many."""
+    if invalid not in ("raise", "skip"):
+        raise ValueError(f"unknown invalid={invalid!r}")
+    s, bad = _c(score).cast("double"), unusable(score, label)
+    rows = df.filter(~bad) if invalid == "skip" else df
+    if invalid == "raise":
+        s = F.when(bad, F.raise_error(F.lit("null or NaN score or label"))).otherwise(s)
+    agg = (rows.select(s.alias("threshold"), _c(label).cast("double").alias("y"))
            .groupBy("threshold")
            .agg(F.sum(F.when(F.col("y") > 0.5, 1).otherwise(0)).cast("long").alias("pos"),
                 F.sum(F.when(F.col("y") > 0.5, 0).otherwise(1)).cast("long").alias("neg")))

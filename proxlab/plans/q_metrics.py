@@ -58,6 +58,24 @@ def q_auc_scores(spark, sf_dir):
     return _areas(_scored(spark, sf_dir))
 
 
+_NULL_SCORE = f"CASE WHEN l_linenumber = 3 THEN NULL WHEN l_linenumber = 4 THEN CAST('NaN' AS DOUBLE) ELSE {_S} END"
+_NULL_LABEL = "CASE WHEN l_linenumber = 5 THEN NULL ELSE label END"
+
+
+@register("auc_with_nulls", f"WITH S AS (SELECT {_NULL_SCORE} AS s, {_NULL_LABEL} AS y FROM ({D_BIN}) A) SELECT count(*) AS n_rows, "
+          "count(*) FILTER (WHERE s IS NULL OR isnan(s)) AS n_bad_score, count(*) FILTER (WHERE y IS NULL) AS n_bad_label, "
+          "count(*) FILTER (WHERE s IS NOT NULL AND NOT isnan(s) AND y = 1) AS n_pos, "
+          "count(*) FILTER (WHERE s IS NOT NULL AND NOT isnan(s) AND y = 0) AS n_neg FROM S")
+def q_auc_with_nulls(spark, sf_dir):
+    """Null and NaN scores and null labels are counted, not taken for negatives."""
+    df = fx.lineitem_design(spark, sf_dir, "binary")
+    n = F.col("l_linenumber")
+    df = df.select(F.when(n == 3, F.lit(None)).when(n == 4, F.lit(float("nan"))).otherwise(dot_lit("features", SCORE_W)).alias("score"),
+                   F.when(n == 5, F.lit(None)).otherwise(F.col("label")).alias("label"))
+    areas = M.binary_areas(M.binary_points(df, "score", "label", invalid="skip")).select("n_pos", "n_neg")
+    return M.unusable_counts(df, "score", "label").drop("n_used").join(F.broadcast(areas))
+
+
 @register("auc_hard", _areas_sql(f"CASE WHEN ({_S}) > 0 THEN {sg.d(1.0)} ELSE {sg.d(0.0)} END"))
 def q_auc_hard(spark, sf_dir):
     """The same areas computed from hard 0/1 predictions (two thresholds)."""

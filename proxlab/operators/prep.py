@@ -177,7 +177,12 @@ def split_weights(w) -> tuple[list[float], float]:
 # ---------------------------------------------------------------- P15-P17
 def hash_split_col(key: str, train_pct: int, seed: int, mul: int = 7919) -> Column:
     """Deterministic split independent of partitioning: pmod(key*mul + seed, 100) < pct."""
-    return F.pmod(F.col(key) * mul + seed, F.lit(100)) < train_pct
+    return key_hash(key, 100, seed, mul) < train_pct
+
+
+def key_hash(key: str, modulus: int, seed: int, mul: int = 7919) -> Column:
+    """pmod(key*mul + seed, modulus); the key is reduced first, so that no key overflows."""
+    return F.pmod(F.pmod(F.col(key).cast("long"), F.lit(modulus)) * mul + seed, F.lit(modulus))
 
 
 def hash_split(df: DataFrame, key: str, weights=(0.6, 0.4), seed: int = 11) -> tuple[DataFrame, DataFrame]:

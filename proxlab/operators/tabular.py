@@ -1,7 +1,7 @@
 """Tabular learning (T1-T19, S8, S9): one parameterized pipeline for every dataset x learner.
 
 train -> [label indexer] ++ category indexers ++ one-hot ++ assembler ++ learner
-      -> CrossValidator(3 folds from a key-hash fold column, grid fits in parallel)
+      -> 3 folds by key hash: preparation fitted once per fold, learner per grid point, in parallel
       -> best model saved (overwrite) and reloaded -> held-out predictions (cached once)
       -> every metric from one aggregation over those predictions.
 """
@@ -9,14 +9,15 @@ train -> [label indexer] ++ category indexers ++ one-hot ++ assembler ++ learner
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, RandomForestClassifier)
 from pyspark.ml.evaluation import (BinaryClassificationEvaluator, MulticlassClassificationEvaluator,
                                    RegressionEvaluator)
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,21 +90,22 @@ def train_tabular(df: DataFrame, label: str, kind: str, task: str, grid: dict, k
         if label != "label":
             data = data.drop(label)
     est = learner(kind, task, **(learner_params or {}))
-    pipe = Pipeline(stages=stages + [est])
     param_grid = build_grid(est, grid)
-    fold = F.pmod(F.col(key) * 7919 + fold_seed + 17, F.lit(num_folds)).cast("int")
-    data = data.withColumn(FOLD_COL, fold)
-    train = spread(data.filter(prep.hash_split_col(key, 80, split_seed))).persist(StorageLevel.MEMORY_AND_DISK)
-    test = data.filter(~prep.hash_split_col(key, 80, split_seed))
-    # fold x grid fits are independent jobs: run them concurrently (latency-bound at small sizes)
-    parallelism = parallelism or max(1, min(8, len(param_grid) * num_folds))
+    data = data.withColumn(FOLD_COL, prep.key_hash(key, num_folds, fold_seed + 17).cast("int"))
+    is_train = prep.hash_split_col(key, 80, split_seed)
+    train = spread(data.filter(is_train)).persist(StorageLevel.MEMORY_AND_DISK)
+    test = data.filter(~is_train)
+    parallelism = parallelism or max(1, min(8, len(param_grid)))
     try:
-        cv = CrossValidator(estimator=pipe, estimatorParamMaps=param_grid, evaluator=evaluator(task),
-                            numFolds=num_folds, foldCol=FOLD_COL, seed=fold_seed, parallelism=parallelism)
-        cv_model = cv.fit(train)
+        avg = cross_validate(train, Pipeline(stages=stages), est, param_grid, evaluator(task), num_folds, parallelism)
+        prefix, features = prepared(Pipeline(stages=stages), train, [train])
+        try:
+            model = est.copy(param_grid[_argbest(avg, task)]).fit(features[0])
+        finally:
+            features[0].unpersist()
     finally:
         train.unpersist()
-    best = cv_model.bestModel
+    best = PipelineModel([*prefix.stages, model])
     path = model_path or scratch_path(spark, f"model-{kind}-{task}")
     best.write().overwrite().save(path)                       # S8
     loaded = PipelineModel.load(path)                         # S9
@@ -111,11 +113,36 @@ def train_tabular(df: DataFrame, label: str, kind: str, task: str, grid: dict, k
                                          F.col("prediction").cast("double").alias("prediction"))
     pred = pred.persist(StorageLevel.MEMORY_AND_DISK)
     m = evaluate(pred, task)
-    best_params = {p.name: v for p, v in param_grid[_argbest(cv_model.avgMetrics, task)].items()}
-    return TabularResult(m, list(cv_model.avgMetrics), [{p.name: v for p, v in g.items()} for g in param_grid],
+    best_params = {p.name: v for p, v in param_grid[_argbest(avg, task)].items()}
+    return TabularResult(m, avg, [{p.name: v for p, v in g.items()} for g in param_grid],
                          best_params, path), pred
 
 
+def prepared(pipe: Pipeline, fit_on: DataFrame, frames: list[DataFrame]) -> tuple[PipelineModel, list[DataFrame]]:
+    """The fitted preparation stages, and the frames through them as persisted ``[label, features]``."""
+    model = pipe.fit(fit_on)
+    return model, [model.transform(f).select("label", "features").persist(StorageLevel.MEMORY_AND_DISK) for f in frames]
+
+
+def cross_validate(train: DataFrame, pipe: Pipeline, est, param_grid: list, judge, num_folds: int, parallelism: int) -> list[float]:
+    """Mean metric of every grid point (T16).  The preparation is fitted once per fold and its features are
+    persisted; only the learner is fitted for each grid point, several at a time."""
+    sums = [0.0] * len(param_grid)
+    for fold in range(num_folds):
+        inside = F.col(FOLD_COL) != fold
+        rest = train.filter(inside)
+        _, frames = prepared(pipe, rest, [rest, train.filter(~inside)])
+        try:
+            with ThreadPool(parallelism) as pool:
+                scores = pool.map(inheritable_thread_target(train.sparkSession)(
+                    lambda p, f=frames: judge.evaluate(est.copy(p).fit(f[0]).transform(f[1]))), param_grid)
+        finally:
+            for f in frames:
+                f.unpersist()
+        sums = [a + b for a, b in zip(sums, scores, strict=True)]
+    return [s / num_folds for s in sums]
+
+
 def _argbest(vals, task):
     return min(range(len(vals)), key=vals.__getitem__) if task == "regression" else \
         max(range(len(vals)), key=vals.__getitem__)

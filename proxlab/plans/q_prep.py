@@ -58,6 +58,19 @@ def q_vector_by_index(spark, sf_dir):
     return back.select(F.col("feat_id").cast("int").alias("feat_id"), rnd("value").alias("value"))
 
 
+@register("indexed_lines_parts", "SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS feat_id, o_totalprice AS value FROM orders")
+def q_indexed_lines_parts(spark, sf_dir):
+    """S3: a vector of length m written as several files of unequal size, read back by line number over all files."""
+    path = scratch_path(spark, "vector-parts")
+    v = fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    last = v.agg(F.max("o_orderkey").alias("n"))
+    # unequal ranges of the key, one file each, named in key order
+    part = v.join(F.broadcast(last)).select("o_orderkey", "o_totalprice", F.floor(5 * F.pow(F.col("o_orderkey") / (F.col("n") + 1), 3)).cast("int").alias("part"))
+    (part.repartition(5, "part").sortWithinPartitions("part", "o_orderkey")
+     .select("part", F.col("o_totalprice").cast("string").alias("value")).write.mode("overwrite").partitionBy("part").text(path))
+    return text.read_vector_lines(spark, path)
+
+
 @register("column_layout", " UNION ALL ".join(
     f"SELECT {IDS_SQL}, CAST({j} AS INTEGER) AS feat_id, f{j} AS value FROM ({D_PLANT}) A WHERE f{j} <> 0"
     for j in range(4)))
@@ -98,10 +111,10 @@ def q_preview_schema(spark, sf_dir):
     return inspect.schema_df(spark, fx.table(spark, sf_dir, "part"))
 
 
-@register("preview_rows")
+@register("preview_rows", "SELECT * FROM part ORDER BY p_partkey LIMIT 10")
 def q_preview_rows(spark, sf_dir):
-    """First 10 rows (order undefined -> rows-only check)."""
-    return inspect.preview(fx.table(spark, sf_dir, "part"), 10)
+    """First 10 rows in key order (a preview without an order may be any rows)."""
+    return inspect.preview(fx.table(spark, sf_dir, "part").orderBy("p_partkey"), 10)
 
 
 # ---------------------------------------------------------------- P1-P5
@@ -304,10 +317,23 @@ def q_n_classes(spark, sf_dir):
     return a.unionByName(b)
 
 
-@register("random_split_60_40")
+@register("random_split_60_40", "SELECT count(*) AS n_rows, true AS disjoint, true AS near_share FROM lineitem")
 def q_random_split(spark, sf_dir):
-    """P15 with Spark's randomSplit (seed 11); sizes depend on partitioning -> rows-only check."""
-    parts = prep.random_split(fx.lineitem_design(spark, sf_dir), (0.6, 0.4), seed=11)
-    a = parts[0].agg(F.lit("train").alias("split"), F.count(F.lit(1)).alias("n_rows"))
-    b = parts[1].agg(F.lit("test").alias("split"), F.count(F.lit(1)).alias("n_rows"))
-    return a.unionByName(b)
+    """P15 with Spark's randomSplit (seed 11): sizes depend on partitioning, but the parts make up the
+    table, share no row and have nearly the asked shares."""
+    train, test = prep.random_split(fx.lineitem_design(spark, sf_dir).select(*IDS), (0.6, 0.4), seed=11)
+    both = train.withColumn("t", F.lit(1)).unionByName(test.withColumn("t", F.lit(0)))
+    per = both.groupBy(*IDS).agg(F.sum("t").alias("t"), F.count(F.lit(1)).alias("n"))
+    return per.agg(F.sum("n").alias("n_rows"), F.max((F.col("t") > 0) & (F.col("t") < F.col("n"))).alias("mixed"), (F.sum("t") / F.sum("n")).alias("share")).select(
+        "n_rows", (~F.col("mixed")).alias("disjoint"), (F.abs(F.col("share") - 0.6) < 0.05).alias("near_share"))
+
+
+_KEY_BIG = 2 * 10 ** 15
+
+
+@register("hash_split_keys", f"SELECT o_orderkey, (CAST(o_orderkey AS INTEGER)::BIGINT * 7919 + 11) % 100 < 60 AS by_int, "
+          f"CAST((CAST(o_orderkey AS HUGEINT) + {_KEY_BIG}) * 7919 + 11 AS HUGEINT) % 100 < 60 AS by_big FROM orders")
+def q_hash_split_keys(spark, sf_dir):
+    """P15/P16 on int keys and on long keys whose product with the multiplier would overflow."""
+    o = fx.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("int").alias("i"), (F.col("o_orderkey").cast("long") + _KEY_BIG).alias("b"))
+    return o.select("o_orderkey", prep.hash_split_col("i", 60, 11).alias("by_int"), prep.hash_split_col("b", 60, 11).alias("by_big"))

@@ -2,15 +2,14 @@
 
 S1  ``label,a_1,...,a_n`` per line  ->  ``[label: double, features: array<double>]``
 S2/S3  one value (or one delimited vector) per line, where the *line number* is the key
-        ->  ``[feat_id: long, value | features]``.  Line order only exists in the file, so the
-        index comes from ``zipWithIndex`` on the text RDD (a distributed two-pass numbering).
+        ->  ``[feat_id: long, value | features]``.  Line order only exists in the files: lines are
+        numbered by file name, place of the split in its file, and place in the split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def parse_dense(lines: DataFrame, value: str = "value", sep: str = ",", strict: bool = True,
@@ -56,12 +55,24 @@ def read_dense_text(spark: SparkSession, path: str, sep: str = ",", min_partitio
 
 
 def read_indexed_lines(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """``[feat_id, features]`` with feat_id = 0-based line number of the file."""
-    lines = spark.read.text(path)
-    schema = T.StructType([T.StructField("value", T.StringType()), T.StructField("feat_id", T.LongType())])
-    indexed = spark.createDataFrame(lines.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1])), schema)
-    return indexed.select("feat_id", F.transform(F.split(F.trim("value"), sep),
-                                                  lambda t: F.trim(t).cast("double")).alias("features"))
+    """``[feat_id, features]`` with feat_id = 0-based line number over the files in name order."""
+    return numbered_lines(spark, path).select("feat_id", F.transform(F.split(F.trim("value"), sep),
+                                                                     lambda t: F.trim(t).cast("double")).alias("features"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``[feat_id, value]``: lines numbered over all files in name order.
+
+    Spark deals splits to tasks by size, so neither partition order nor ``zipWithIndex`` follows the
+    files.  One pass counts the lines of every split; the running sum over the splits (one row per
+    split, not per line) is joined back, and the place within the split is added.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"),
+                                         F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"))
+    splits = lines.groupBy("_file", "_at").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = Window.orderBy("_file", "_at").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("_file", "_at", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return lines.join(offsets, ["_file", "_at"]).select((F.col("_before") + F.col("_id") - F.col("_first")).alias("feat_id"), "value")
 
 
 def read_vector_lines(spark: SparkSession, path: str) -> DataFrame:

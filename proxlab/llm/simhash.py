@@ -190,7 +190,7 @@ def near_links(fps: DataFrame, col: str = "fp", max_bits: int = MAX_BITS, segmen
     prepare(fps)
     spark = fps.sparkSession
     distinct = held(fps.select(F.col(col).alias("fp")).where("fp is not null").distinct())
-    some = distinct.orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    some = distinct.orderBy(F.xxhash64("fp"), "fp").limit(sample).toArrow()["fp"].to_numpy().astype(np.int64).view(np.uint64)
     if not len(some):
         return spark.createDataFrame([], "a long, b long")
     forest = spark.sparkContext.broadcast(Forest(some, max_bits, segments or max_bits + 1))

@@ -1,17 +1,19 @@
 """Toxicity by class-conditional Kneser-Ney models (operator 1).
 
 Two interpolated Kneser-Ney bigram models, one of toxic and one of ordinary documents.  A class's
-bigram counts back off to its own continuation counts (in how many contexts a word occurs), and those
-back off to continuation counts shared by both classes, so that rare expressions are smoothed by the
-whole sample and weigh little in the comparison.  A document's evidence is the difference of its
+bigram counts back off to its own continuation counts (in how many contexts a word occurs), first of the
+word, then of its beginnings of 6 and 4 bytes, and those back off to counts shared by both classes (in how
+many of the classes a beginning occurs; likewise, how a beginning's share is dealt among its words).  So a
+rare word speaks through its relatives, and an expression that either class has seen once or twice weighs
+little in the comparison, however often the frequent ones occur.  A document's evidence is the difference of its
 length-normalized log-likelihoods under the two models, over the whole document and over its most toxic
 short windows (a few insults in a long text would drown in its mean).  A logistic calibration, fitted on
 labelled rows kept out of the counts, turns the evidence into a score in 0..1.
 
 Fitting reads a bounded sample of the labelled rows: at most ``max_rows`` documents per class, by hash
-order of their ids.  Counting is a Spark aggregation; what reaches the driver is bounded by
-``WORD_SLOTS`` words (hashed) and ``BIGRAMS`` bigrams (the most frequent).  Scoring is one narrow pass
-over whole texts.
+order of their ids.  Counting is a Spark aggregation; what reaches the driver, and every worker, is bounded
+by ``WORDS`` words, as many contexts and ``BIGRAMS`` bigrams (64-bit hashes; the most frequent that occur at
+least twice, others count as unseen).  Scoring is one narrow pass over whole texts.
 
 Words are runs of digits, a-z and non-ASCII characters after lowering A-Z.  Null or word-less texts have
 no evidence and score the base rate.  A document labelled more than once counts as toxic if any label says
@@ -29,12 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, column_array, held, prepare, span_hashes, text_buffer, text_slices, word_spans
+from .common import column_array, held, prepare, span_hashes, text_buffer, text_slices, word_spans
 from .decontaminate import FOLD
 
 MAX_ROWS = 10_000
-WORD_SLOTS, BIGRAMS = 1 << 22, 1 << 20
-WINDOWS = (2, 16)
+WORDS, BIGRAMS = 1 << 19, 1 << 18
+STEMS = (6, 4)  # bytes of a word's beginnings
+WINDOWS = (1, 4, 16)
 THRESHOLD = 0.3
 CALIBRATION_PARTS = 4  # one labelled document in so many calibrates instead of being counted
 FOLD_TABLE = np.frombuffer(FOLD, np.uint8)
@@ -44,94 +47,148 @@ WORD_BYTES = np.arange(256) != 32
 @dataclass
 class Model:
     base: float
-    word: np.ndarray | None = None      # log ratio of the continuation models, by word slot
-    context: np.ndarray | None = None   # log ratio of the back-off weights, by word slot
-    keys: np.ndarray | None = None      # sorted keys of the frequent bigrams
-    ratio: np.ndarray | None = None     # their log ratios
+    unseen: float = 0.0                 # log ratio of the continuation models for an unseen word
+    units: tuple | None = None          # for words, then each beginning: sorted hashes, log ratios of the continuation models
+    contexts: tuple | None = None       # sorted hashes of contexts, log ratios of their back-off weights
+    bigrams: tuple | None = None        # sorted keys of bigrams, their log ratios
     weights: np.ndarray | None = None   # calibration
 
 
-def words_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word slot of each word, words per row)."""
+def words_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """(hashes of each word and its beginnings as signed longs, words per row)."""
     low = FOLD_TABLE[buf]
     starts, ends, n = word_spans(low, offsets, WORD_BYTES)
-    return (span_hashes(low, starts, ends) >> U64(64 - 22)).astype(np.int64), n
+    return [span_hashes(low, starts, e).view(np.int64) for e in (ends, *(np.minimum(ends, starts + size) for size in STEMS))], n
 
 
-def pair_keys(slots: np.ndarray) -> np.ndarray:
-    return slots[:-1] * WORD_SLOTS + slots[1:]
+def pair_keys(words: np.ndarray) -> np.ndarray:
+    """Keys of neighbouring words; ``pair_key`` is the same over columns."""
+    return words[:-1] ^ (words[1:] << 1)
+
+
+def pair_key(h: str, w: str) -> Column:
+    return F.col(h).bitwiseXOR(F.shiftleft(w, 1))
+
+
+def look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(found, value) of each key in a sorted table."""
+    known, values = table
+    if not len(known):
+        return np.zeros(len(keys), bool), np.zeros(len(keys))
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return known[at] == keys, values[at]
 
 
 def count_pairs(sample: DataFrame, text_col: str) -> DataFrame:
-    """[h, w, toxic, plain]: bigram counts of the sample by class."""
+    """[h, w, s6, s4, toxic, plain]: bigram counts of the sample by class, with the second word's beginnings."""
+    names = ["h", "w", *(f"s{size}" for size in STEMS)]
 
     def run(batches):
         for batch in batches:
             label = np.asarray(column_array(batch, "toxic")).astype(np.int64)
             buf, offsets = text_buffer(column_array(batch, text_col))
             for lo, hi, b, off in text_slices(buf, offsets, 8 << 20):
-                slots, n = words_of(b, off)
-                if len(slots) < 2:
+                (words, *stems), n = words_of(b, off)
+                if len(words) < 2:
                     continue
                 row = np.repeat(np.arange(lo, hi), n)
                 same = row[1:] == row[:-1]
-                key = pair_keys(slots)[same] * 2 + label[row[1:][same]]
-                key, count = np.unique(key, return_counts=True)
-                toxic = (key & 1) == 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key // 2 // WORD_SLOTS), pa.array(key // 2 % WORD_SLOTS), pa.array(np.where(toxic, count, 0)),
-                     pa.array(np.where(toxic, 0, count))], names=["h", "w", "toxic", "plain"])
-
-    return (sample.mapInArrow(run, "h long, w long, toxic long, plain long").groupBy("h", "w")
+                toxic = label[row[1:][same]]
+                units = [words[:-1][same], words[1:][same], *(x[1:][same] for x in stems)]
+                _, at, where = np.unique(pair_keys(words)[same], return_index=True, return_inverse=True)
+                t, every = np.bincount(where, toxic).astype(np.int64), np.bincount(where)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in units), pa.array(t), pa.array(every - t)], names=[*names, "toxic", "plain"])
+
+    return (sample.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "toxic", "plain"])).groupBy(*names)
             .agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")))
 
 
+def counted(condition: Column) -> Column:
+    return F.sum(condition.cast("long"))
+
+
+def discounts(frame: DataFrame, columns: tuple[str, str]) -> list[float]:
+    """Kneser-Ney discounts n1 / (n1 + 2 n2) of two columns of counts."""
+    n = frame.agg(*[counted(F.col(c) == k) for c in columns for k in (1, 2)]).first()
+    return [max(0.1, (a or 0) / max(1, (a or 0) + 2 * (b or 0))) for a, b in ((n[0], n[1]), (n[2], n[3]))]
+
+
+def continuation(pairs: DataFrame) -> tuple[list[DataFrame], float]:
+    """Per unit size (word, then shorter beginnings) [unit, lt, lp, ratio, c]; and the ratio of what is wholly unknown.
+
+    lt and lp are the probabilities under the classes' continuation models, ``ratio`` the log ratio that a
+    word not seen itself, but with this as its longest known beginning, has.
+    """
+    t, p = F.col("toxic"), F.col("plain")
+    chain = ["w", *(f"s{size}" for size in STEMS)]
+    level = held(pairs.groupBy(*chain).agg(counted(t > 0).alias("ct"), counted(p > 0).alias("cp")))
+    n = level.agg(F.sum("ct"), F.sum("cp")).first()
+    nt, np_ = max(1, n[0] or 0), max(1, n[1] or 0)
+    classes = (F.col("ct") > 0).cast("int") + (F.col("cp") > 0).cast("int")
+    frames, weights = {}, {}
+    for i in reversed(range(len(chain))):  # the shortest beginning first
+        frame = level.groupBy(*chain[i:]).agg(F.sum("ct").alias("ct"), F.sum("cp").alias("cp")).withColumn("classes", classes)
+        dt, dp = discounts(frame, ("ct", "cp"))
+        size = frame.agg(F.sum("classes"), F.count("*"), counted(F.col("ct") > 0), counted(F.col("cp") > 0)).first()
+        total, units, t_units, p_units = (max(1, x or 0) for x in size)
+        weights[i] = (dt * t_units / nt, dp * p_units / np_)
+        if i == len(chain) - 1:
+            rest = 0.5 * units / total / (units + 1)  # kept for beginnings that neither class has seen
+            under = frame.withColumn("st", (F.col("classes") - 0.5) / total + rest).withColumn("sp", F.col("st"))
+        else:
+            parent = chain[i + 1]
+            dealt = frame.groupBy(parent).agg(F.sum("classes").alias("dealt"))
+            share = F.col("classes") / F.col("dealt")
+            under = (frame.join(dealt, parent).join(frames[i + 1].select(F.col("unit").alias(parent), "lt", "lp"), parent)
+                     .withColumn("st", F.col("lt") * share).withColumn("sp", F.col("lp") * share).drop("lt", "lp"))
+        own = lambda c, d, whole: F.greatest(F.col(c) - d, F.lit(0.0)) / whole
+        frames[i] = held(under.select(F.col(chain[i]).alias("unit"), (own("ct", dt, nt) + weights[i][0] * F.col("st")).alias("lt"),
+                                      (own("cp", dp, np_) + weights[i][1] * F.col("sp")).alias("lp"), (F.col("ct") + F.col("cp")).alias("c")))
+    back = 0.0  # log ratio of the weights on the way down to a unit
+    out = []
+    for i in range(len(chain)):
+        out.append(frames[i].withColumn("ratio", F.log(F.col("lt") / F.col("lp")) + F.lit(back)))
+        back += float(np.log(weights[i][0] / weights[i][1]))
+    return out, back
+
+
 def count_models(pairs: DataFrame) -> tuple:
-    """The tables of the two Kneser-Ney models from bigram counts; see the module's text."""
-    one = lambda c: F.sum(c.cast("long"))
+    """(continuation tables, context table, bigram table, ratio of the unknown) of the two models."""
+    units, unknown = continuation(pairs)
     t, p = F.col("toxic"), F.col("plain")
-    stats = pairs.agg(one(t == 1), one(t == 2), one(p == 1), one(p == 2), one(t > 0), one(p > 0), F.count("*")).first()
-    t1, t2, p1, p2, t_types, p_types, types = (int(x or 0) for x in stats)
-    dt, dp = (max(0.1, a / max(1, a + 2 * b)) for a, b in ((t1, t2), (p1, p2)))
-    # continuation models: a class's counts of contexts, discounted, over the shared ones, over a uniform share
-    cont = pairs.groupBy("w").agg(one(t > 0).alias("ct"), one(p > 0).alias("cp"), F.count("*").alias("c"))
-    size = cont.agg(F.count("*"), one(F.col("ct") > 0), one(F.col("cp") > 0)).first()
-    vocabulary, t_words, p_words = (max(1, int(x or 0)) for x in size)
-    unseen = 0.5 * vocabulary / types / (vocabulary + 1)
-    shared = (F.col("c") - 0.5) / types + unseen
-
-    def lower(c, d, n, seen):
-        return F.greatest(F.col(c) - d, F.lit(0.0)) / n + (d * seen / n) * shared
-
-    cont = cont.select("w", lower("ct", dt, max(1, t_types), t_words).alias("lt"), lower("cp", dp, max(1, p_types), p_words).alias("lp"))
-    new_t, new_p = (d * seen / max(1, n) * unseen for d, seen, n in ((dt, t_words, t_types), (dp, p_words, p_types)))
+    dt, dp = discounts(pairs, ("toxic", "plain"))
     # back-off weights of the contexts
-    ctx = pairs.groupBy("h").agg(F.sum("toxic").alias("ht"), F.sum("plain").alias("hp"), one(t > 0).alias("nt"), one(p > 0).alias("np"))
+    ctx = pairs.groupBy("h").agg(F.sum("toxic").alias("ht"), F.sum("plain").alias("hp"), counted(t > 0).alias("nt"), counted(p > 0).alias("np"))
     back = lambda n, d, h: F.when(F.col(h) > 0, d * F.col(n) / F.col(h)).otherwise(F.lit(1.0))
     ctx = ctx.select("h", "ht", "hp", back("nt", dt, "ht").alias("bt"), back("np", dp, "hp").alias("bp"))
     top = pairs.where("toxic + plain > 1").orderBy(F.desc(t + p), "h", "w").limit(BIGRAMS)
     own = lambda c, d, h: F.when(F.col(h) > 0, F.greatest(c - d, F.lit(0.0)) / F.col(h)).otherwise(F.lit(0.0))
-    seen = top.join(cont, "w").join(ctx, "h").select(
-        (F.col("h") * WORD_SLOTS + F.col("w")).alias("key"),
+    bigrams = top.join(units[0].withColumnRenamed("unit", "w"), "w").join(ctx, "h").select(
+        pair_key("h", "w").alias("key"),
         (F.log(own(t, dt, "ht") + F.col("bt") * F.col("lt")) - F.log(own(p, dp, "hp") + F.col("bp") * F.col("lp"))).alias("ratio"))
-    return (cont.select("w", F.log(F.col("lt") / F.col("lp")).cast("float").alias("r")),
-            ctx.select("h", F.log(F.col("bt") / F.col("bp")).cast("float").alias("r")), seen, float(np.log(new_t / new_p)) if new_t and new_p else 0.0)
+    tables = [u.where("c > 1").orderBy(F.desc("c"), "unit").limit(WORDS).select(F.col("unit").alias("key"), "ratio") for u in units]
+    contexts = (ctx.where("ht + hp > 1").orderBy(F.desc(F.col("ht") + F.col("hp")), "h").limit(WORDS)
+                .select(F.col("h").alias("key"), F.log(F.col("bt") / F.col("bp")).alias("ratio")))
+    return tables, contexts, bigrams, unknown
 
 
 def evidence(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Per row: 1, mean log ratio of the document, of its most toxic window of each size, log length."""
-    slots, n = words_of(buf, offsets)
+    (words, *stems), n = words_of(buf, offsets)
     out = np.zeros((len(n), 3 + len(WINDOWS)))
     out[:, 0], out[:, -1] = 1, np.log1p(n)
-    if not len(slots):
+    if not len(words):
         return out
-    ratio = model.word[slots].astype(np.float64)
+    ratio, open_ = np.full(len(words), model.unseen), np.arange(len(words))
+    for table, unit in zip(model.units, (words, *stems), strict=True):  # the longest known beginning decides
+        known, value = look_up(table, unit[open_])
+        ratio[open_[known]] = value[known]
+        open_ = open_[~known]
     row = np.repeat(np.arange(len(n)), n)
-    if len(slots) > 1:
-        key = pair_keys(slots)
-        at = np.minimum(np.searchsorted(model.keys, key), max(0, len(model.keys) - 1))
-        known = model.keys[at] == key if len(model.keys) else np.zeros(len(key), bool)
-        better = np.where(known, model.ratio[at] if len(model.keys) else 0.0, ratio[1:] + model.context[slots[:-1]])
+    if len(words) > 1:
+        known, value = look_up(model.bigrams, pair_keys(words))
+        met, back = look_up(model.contexts, words[:-1])
+        better = np.where(known, value, ratio[1:] + np.where(met, back, 0.0))
         ratio[1:] = np.where(row[1:] == row[:-1], better, ratio[1:])
     total = np.r_[0.0, np.cumsum(ratio)]
     last = np.cumsum(n)
@@ -140,7 +197,7 @@ def evidence(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out[full, 1] = (total[last] - total[first])[full] / n[full]
     for k, size in enumerate(WINDOWS):
         # a window that starts at each word; near the end of a document the last whole window again
-        start = np.arange(len(slots))
+        start = np.arange(len(words))
         start = np.maximum(np.minimum(start, last[row] - size), first[row])
         end = np.minimum(start + size, last[row])
         out[full, 2 + k] = np.maximum.reduceat((total[end] - total[start]) / (end - start), first[full])
@@ -161,6 +218,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
     return w / scale
 
 
+def sorted_table(frame: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    table = frame.toArrow().sort_by("key")
+    return table["key"].to_numpy(), table["ratio"].to_numpy().astype(np.float32)
+
+
 def with_evidence(rows: DataFrame, shared, text_col: str, keep: list[str]) -> DataFrame:
     fields = [rows.schema[n] for n in keep]
     schema = T.StructType([*fields, T.StructField("x", T.ArrayType(T.DoubleType()))])
@@ -195,22 +257,17 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, key: s
     picked = held(picked[0].unionAll(picked[1]).withColumn("counted", part != 0))
     texts = held(docs.select(F.col(key).alias("k"), F.col(text_col).alias("text")).join(F.broadcast(picked), "k"))
     pairs = held(count_pairs(texts.where("counted"), "text"))
-    cont, ctx, seen, new = count_models(pairs)
-    word, context = np.full(WORD_SLOTS, new, np.float32), np.zeros(WORD_SLOTS, np.float32)
-    for array, frame in ((word, cont), (context, ctx)):
-        pdf = frame.toPandas()
-        array[pdf.iloc[:, 0].to_numpy()] = pdf["r"].to_numpy(np.float32)
-    pdf = seen.toPandas().sort_values("key")
-    model = Model(base, word, context, pdf["key"].to_numpy(np.int64), pdf["ratio"].to_numpy(np.float64))
+    units, contexts, bigrams, unknown = count_models(pairs)
+    model = Model(base, unknown, tuple(sorted_table(u) for u in units), sorted_table(contexts), sorted_table(bigrams))
     shared = spark.sparkContext.broadcast(model)
-    rest = with_evidence(texts.where("NOT counted"), shared, "text", ["toxic"]).toPandas()
-    y = rest["toxic"].to_numpy(np.float64)
+    rest = with_evidence(texts.where("NOT counted"), shared, "text", ["toxic"]).toArrow()
+    y = rest["toxic"].to_numpy().astype(np.float64)
     for frame in (one, picked, texts, pairs):
         frame.unpersist()
     if not 0 < y.sum() < len(y):
         return spark.sparkContext.broadcast(Model(base))
     # the sample holds up to max_rows of either class: weigh the intercept back to the base rate
-    model.weights = logistic(np.array(rest["x"].tolist()), y)
+    model.weights = logistic(np.array(rest["x"].to_pylist()), y)
     drawn = y.mean()
     model.weights[0] += np.log(base / (1 - base)) - np.log(drawn / (1 - drawn))
     return spark.sparkContext.broadcast(model)

@@ -2,30 +2,33 @@
 
 Published method (Chen & Guestrin 2016; Ke et al. 2017), expressed as Spark jobs:
 
-* bin edges per feature from ``approxQuantile`` (one distributed sketch pass, <= max_bins edges);
-* per tree level, one ``mapInArrow`` pass: every row recomputes its margin from the trees grown
-  so far (broadcast; so no per-round state and no lineage growth), takes its gradient and
-  hessian, finds its node in the tree being grown and adds (g, h) into a per-partition
-  histogram ``[class-node, feature, bin]``; partial histograms are summed across partitions
-  (collected directly when partitions x histogram size is small, else by a grouped shuffle);
+* bin edges per feature from one aggregation (exact for few distinct values, else quantiles);
+* every value is binned once; the persisted state of a row is its bins (small integers), its label and
+  its margins.  A pass adds the trees that the stored margins lack, at most ``UPDATE_ROUNDS`` a class;
+  then the margins are updated and written as a reliable checkpoint.  So a round costs the same whether
+  it is the first or the hundredth, and no chain of plans grows;
+* per pass, one ``mapInArrow`` job: rows find their node in the growing trees and add gradient, hessian
+  and count into a per-partition histogram ``[node, feature, bin]``; partial histograms are summed across
+  partitions (collected directly when partitions x histogram size is small, else by a grouped shuffle).
+  Only the smaller child's histogram is built, the other is the parent's less it;
 * the driver picks splits with
   gain = 1/2 [s(G_L)^2/(H_L+lambda) + s(G_R)^2/(H_R+lambda) - s(G)^2/(H+lambda)] - gamma,
   s = soft threshold by alpha, ``min_child_weight`` on H, and a learned default direction for
   missing values (bin 0: null/NaN, and 0.0 when ``zeroAsMissing``);
-* ``growth="depth"`` splits every splittable node per level (max_depth); ``growth="leaf"``
-  splits, per pass, the frontier nodes with the largest gains until ``num_leaves`` is reached
-  (best-first in batches: one pass per frontier, not one pass per split).
+* ``growth="depth"`` splits every splittable node per level (max_depth); ``growth="leaf"`` commits
+  splits strictly by gain until ``num_leaves`` is reached; children of open leaves are histogrammed
+  ahead, so one pass serves many splits.
 
 Objectives: ``binary:logistic``, ``multi:softprob`` (K trees per round, grown in the same
 passes) and ``reg:squarederror``.  The fitted model scores with an Arrow-batched pandas UDF
-(vectorized tree traversal); ``tree_columns`` gives the same trees as Column expressions for
-small ensembles.
+(vectorized tree traversal).
 """
 
 from __future__ import annotations
 
 import json
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -36,10 +39,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import checkpoint_dir, spread
 from .linalg import DIRECT_COLLECT_MAX, _batch_matrix, _batch_vector
 
 OBJECTIVES = ("binary:logistic", "multi:softprob", "reg:squarederror")
@@ -147,9 +150,11 @@ class _BoostParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):
     numClass = Param(Params._dummy(), "numClass", "classes for multi:softprob (0: from data)",
                      typeConverter=TypeConverters.toInt)
 
+    minDataInLeaf = Param(Params._dummy(), "minDataInLeaf", "minimum rows per child", typeConverter=TypeConverters.toInt)
+
     def __init__(self):
         super().__init__()
-        self._setDefault(objective="binary:logistic", numRound=20, maxDepth=6, eta=0.3, gamma=0.0,
+        self._setDefault(minDataInLeaf=0, objective="binary:logistic", numRound=20, maxDepth=6, eta=0.3, gamma=0.0,
                          minChildWeight=1.0, regLambda=1.0, regAlpha=0.0, zeroAsMissing=False, maxBins=64,
                          growth="depth", numLeaves=31, boostFromAverage=False, numClass=0)
 
@@ -159,7 +164,7 @@ class HistBoost(Estimator, _BoostParams, DefaultParamsReadable, DefaultParamsWri
     def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction",
                  objective="binary:logistic", numRound=20, maxDepth=6, eta=0.3, gamma=0.0, minChildWeight=1.0,
                  regLambda=1.0, regAlpha=0.0, zeroAsMissing=False, maxBins=64, growth="depth", numLeaves=31,
-                 boostFromAverage=False, numClass=0):
+                 boostFromAverage=False, numClass=0, minDataInLeaf=0):
         super().__init__()
         self._set(**self._input_kwargs)
 
@@ -203,13 +208,24 @@ class HistBoost(Estimator, _BoostParams, DefaultParamsReadable, DefaultParamsWri
             elif objective == "reg:squarederror":
                 base[:] = float(stats["mean"])
         edges = self._edges(data, n, zero_missing)
-        self._nparts = data.rdd.getNumPartitions()
         nb = max(len(e) for e in edges) + 2            # bin 0 missing, 1..len(e)+1 values
         trees: list[list[dict]] = [[] for _ in range(K)]
-        for _ in range(g(self.numRound)):
-            new = self._grow_round(spark, data, n, K, nb, edges, trees, base, objective, zero_missing)
-            for k in range(K):
-                trees[k].append(new[k])
+        state = binned(data, n, edges, base, zero_missing).persist(StorageLevel.MEMORY_AND_DISK)
+        self._nparts = state.rdd.getNumPartitions()
+        recent: list[list[dict]] = [[] for _ in range(K)]  # trees that the stored margins lack
+        try:
+            for r in range(1, g(self.numRound) + 1):
+                new = self._grow_round(spark, state, n, K, nb, edges, objective, recent)
+                for k in range(K):
+                    trees[k].append(new[k])
+                    recent[k].append(new[k])
+                if r % UPDATE_ROUNDS == 0 and r < g(self.numRound):
+                    checkpoint_dir(spark)
+                    old, state = state, with_margins(state, recent, n).checkpoint().persist(StorageLevel.MEMORY_AND_DISK)
+                    old.unpersist()
+                    recent = [[] for _ in range(K)]
+        finally:
+            state.unpersist()
         model = HistBoostModel(featuresCol=g(self.featuresCol), predictionCol=g(self.predictionCol),
                                objective=objective, zeroAsMissing=zero_missing,
                                treesJson=json.dumps({"base": base.tolist(), "trees": trees}))
@@ -241,124 +257,252 @@ class HistBoost(Estimator, _BoostParams, DefaultParamsReadable, DefaultParamsWri
                     edges[j] = np.asarray(vals, dtype=float)
         return edges
 
-    def _grow_round(self, spark, data, n, K, nb, edges, trees, base, objective, zero_missing):
+    def _grow_round(self, spark, state, n, K, nb, edges, objective, recent):
+        """One tree per class.  Every pass builds the histograms that the growing trees ask for."""
         g = self.getOrDefault
-        lam, alpha, gamma = g(self.regLambda), g(self.regAlpha), g(self.gamma)
-        mcw, eta = g(self.minChildWeight), g(self.eta)
-        leafwise = g(self.growth) == "leaf"
-        max_depth = g(self.maxDepth)
-        if max_depth < 0:
-            max_depth = 64
-        budget = g(self.numLeaves)
-        growing = [_new_tree() for _ in range(K)]
-        stats = [{0: None} for _ in range(K)]            # node -> (G, H)
-        frontier = [[0] for _ in range(K)]
-        n_leaves = [1] * K
-        while any(frontier):
-            slots = [(k, node) for k in range(K) for node in frontier[k]]
-            G, H = self._histograms(spark, data, n, K, nb, edges, trees, growing, slots, base, objective,
-                                    zero_missing)
-            new_frontier = [[] for _ in range(K)]
-            cands = [[] for _ in range(K)]
+        rule = _SplitRule(g(self.regLambda), g(self.regAlpha), g(self.gamma), g(self.minChildWeight), g(self.minDataInLeaf),
+                          g(self.maxDepth) if g(self.maxDepth) >= 0 else 64, g(self.numLeaves) if g(self.growth) == "leaf" else None)
+        growers = [_Grower(rule, edges) for _ in range(K)]
+        while True:
+            slots = [(k, node) for k in range(K) for node in growers[k].wanted()]
+            if not slots:
+                break
+            stats = self._histograms(spark, state, n, nb, [t.arrays() for t in growers], slots, objective, recent)
             for s, (k, node) in enumerate(slots):
-                Gt, Ht = float(G[s, 0].sum()), float(H[s, 0].sum())
-                stats[k][node] = (Gt, Ht)
-                depth = growing[k]["depth"][node]
-                if depth >= max_depth:
-                    continue
-                best = _best_split(G[s], H[s], Gt, Ht, lam, alpha, gamma, mcw)
-                if best is not None:
-                    cands[k].append((best[0], node, best))
-            for k in range(K):
-                cands[k].sort(key=lambda c: -c[0])
-                for gain, node, best in cands[k]:
-                    if leafwise and n_leaves[k] >= budget:
-                        break
-                    _, j, b, dleft, (GL, HL), (GR, HR) = best
-                    t = growing[k]
-                    thr = float(edges[j][b - 1]) if b - 1 < len(edges[j]) else float("inf")
-                    li, ri = len(t["feature"]), len(t["feature"]) + 1
-                    for key, val in (("feature", j), ("bin", b), ("thr", thr), ("default_left", dleft),
-                                     ("left", li), ("right", ri)):
-                        t[key][node] = val
-                    for _child in (li, ri):
-                        for key, val in (("feature", -1), ("bin", 0), ("thr", 0.0), ("default_left", True),
-                                         ("left", -1), ("right", -1), ("value", 0.0),
-                                         ("depth", t["depth"][node] + 1)):
-                            t[key].append(val)
-                    stats[k][li], stats[k][ri] = (GL, HL), (GR, HR)
-                    if t["depth"][li] < max_depth:
-                        new_frontier[k] += [li, ri]
-                    n_leaves[k] += 1
-                if leafwise and n_leaves[k] >= budget:
-                    new_frontier[k] = []
-            frontier = new_frontier
-        for k in range(K):
-            t = growing[k]
-            for node in range(len(t["feature"])):
-                if t["feature"][node] < 0:
-                    Gt, Ht = stats[k][node]
-                    t["value"][node] = float(-eta * _soft(Gt, alpha) / (Ht + lam))
-            t["default_left"] = [bool(v) for v in t["default_left"]]
-        return growing
-
-    def _histograms(self, spark, data, n, K, nb, edges, trees, growing, slots, base, objective, zero_missing):
-        S = len(slots)
-        payload = {"edges": edges, "trees": [[_tree_np(t) for t in ts] for ts in trees],
-                   "growing": [_tree_np(t) for t in growing], "slots": slots, "base": base}
-        bc = spark.sparkContext.broadcast(payload)
+                growers[k].receive(node, *(x[s] for x in stats))
+            for t in growers:
+                t.commit()
+        return [t.finish(g(self.eta)) for t in growers]
+
+    def _histograms(self, spark, state, n, nb, growing, slots, objective, recent):
+        """Sums of gradient, hessian and rows by (slot, feature, bin), one pass over the binned rows."""
+        S, K = len(slots), len(growing)
+        bc = spark.sparkContext.broadcast({"growing": growing, "slots": slots, "recent": [[_tree_np(t) for t in ts] for ts in recent]})
         size = S * n * nb
 
         def kernel(batches):
             p = bc.value
-            slot_of = {(k, node): s for s, (k, node) in enumerate(p["slots"])}
-            Gh = np.zeros(size)
-            Hh = np.zeros(size)
+            maps = []
+            for k, t in enumerate(p["growing"]):
+                m = np.full(len(t["feature"]), -1, dtype=np.int64)
+                for s, (kk, node) in enumerate(p["slots"]):
+                    if kk == k:
+                        m[node] = s
+                maps.append(m)
+            sums = np.zeros((3, size))
             for b in batches:
                 if b.num_rows == 0:
                     continue
-                A = _batch_matrix(b, "features", n)
-                y = _batch_vector(b, "label")
-                miss = _missing_mask(A, zero_missing)
-                Bn = np.zeros(A.shape, dtype=np.int64)
-                for j in range(n):
-                    Bn[:, j] = np.searchsorted(p["edges"][j], np.where(miss[:, j], 0.0, A[:, j]), "left") + 1
-                Bn[miss] = 0
-                Fm = np.tile(p["base"], (A.shape[0], 1))
-                for k in range(K):
-                    for t in p["trees"][k]:
-                        Fm[:, k] += _predict_tree(t, A, miss)
-                gr, he = _grad_hess(objective, Fm, y, K)
-                for k in range(K):
-                    node = _node_of(p["growing"][k], Bn)
-                    smap = np.full(int(node.max()) + 1, -1, dtype=np.int64)
-                    for (kk, nd), s in slot_of.items():
-                        if kk == k and nd < len(smap):
-                            smap[nd] = s
-                    sl = smap[node]
+                Bn = _bins(b, n)
+                gr, he = _grad_hess(objective, _add_trees(_batch_matrix(b, "margins", K), Bn, p["recent"]), _batch_vector(b, "label"), K)
+                for k, t in enumerate(p["growing"]):
+                    sl = maps[k][_node_of(t, Bn)]
                     keep = sl >= 0
                     if not keep.any():
                         continue
                     idx = ((sl[keep, None] * n + np.arange(n)[None, :]) * nb + Bn[keep]).ravel()
-                    Gh += np.bincount(idx, weights=np.repeat(gr[keep, k], n), minlength=size)
-                    Hh += np.bincount(idx, weights=np.repeat(he[keep, k], n), minlength=size)
-            nz = np.nonzero(Hh)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(nz.astype(np.int64)), pa.array(Gh[nz]), pa.array(Hh[nz])],
-                                             names=["k", "g", "h"])
+                    sums[0] += np.bincount(idx, weights=np.repeat(gr[keep, k], n), minlength=size)
+                    sums[1] += np.bincount(idx, weights=np.repeat(he[keep, k], n), minlength=size)
+                    sums[2] += np.bincount(idx, minlength=size)
+            nz = np.nonzero(sums[2])[0]
+            yield pa.RecordBatch.from_arrays([pa.array(nz.astype(np.int64)), *(pa.array(x[nz]) for x in sums)], names=["k", "g", "h", "c"])
         try:
-            parts = data.mapInArrow(kernel, "k long, g double, h double")
+            parts = state.mapInArrow(kernel, "k long, g double, h double, c double")
             if self._nparts * size > DIRECT_COLLECT_MAX:
-                parts = parts.groupBy("k").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+                parts = parts.groupBy("k").agg(*[F.sum(c).alias(c) for c in "ghc"])
             tbl = parts.toArrow()
         finally:
             bc.destroy()
         k = tbl.column("k").to_numpy()
-        G = np.bincount(k, weights=tbl.column("g").to_numpy(), minlength=size)
-        H = np.bincount(k, weights=tbl.column("h").to_numpy(), minlength=size)
-        return G.reshape(S, n, nb), H.reshape(S, n, nb)
+        return [np.bincount(k, weights=tbl.column(c).to_numpy(), minlength=size).reshape(S, n, nb) for c in "ghc"]
+
+
+#: rounds between two updates (and reliable checkpoints) of the stored margins
+UPDATE_ROUNDS = 10
+
+
+def _add_trees(margins: np.ndarray, Bn: np.ndarray, trees: list[list[dict]]) -> np.ndarray:
+    out = margins.copy()
+    for k, ts in enumerate(trees):
+        for t in ts:
+            out[:, k] += t["value"][_node_of(t, Bn)]
+    return out
 
 
-def _best_split(G, H, Gt, Ht, lam, alpha, gamma, mcw):
+def binned(data: DataFrame, n: int, edges: list[np.ndarray], base: np.ndarray, zero_missing: bool) -> DataFrame:
+    """``[bins: array<short>, label, margins: array<double>]``: every value is binned once."""
+    bc = data.sparkSession.sparkContext.broadcast((edges, base))
+
+    def run(batches):
+        cuts, start = bc.value
+        for b in batches:
+            A = _batch_matrix(b, "features", n)
+            miss = _missing_mask(A, zero_missing)
+            Bn = np.zeros(A.shape, dtype=np.int16)
+            for j in range(n):
+                Bn[:, j] = np.searchsorted(cuts[j], np.where(miss[:, j], 0.0, A[:, j]), "left") + 1
+            Bn[miss] = 0
+            yield _state_batch(Bn, b.column(b.schema.get_field_index("label")), np.tile(start, (len(A), 1)))
+
+    return data.select("features", "label").mapInArrow(run, STATE_SCHEMA)
+
+
+STATE_SCHEMA = "bins array<short>, label double, margins array<double>"
+
+
+def _state_batch(Bn: np.ndarray, label: pa.Array, margins: np.ndarray) -> pa.RecordBatch:
+    rows = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (Bn, margins)]
+    return pa.RecordBatch.from_arrays([rows[0], label, rows[1]], names=["bins", "label", "margins"])
+
+
+def _bins(batch: pa.RecordBatch, n: int) -> np.ndarray:
+    flat = batch.column(batch.schema.get_field_index("bins")).flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(-1, n).astype(np.int64)
+
+
+def with_margins(state: DataFrame, recent: list[list[dict]], n: int) -> DataFrame:
+    """The state with the recent trees' values added to the stored margins."""
+    bc = state.sparkSession.sparkContext.broadcast([[_tree_np(t) for t in ts] for ts in recent])
+
+    def run(batches):
+        for b in batches:
+            Bn = _bins(b, n)
+            margins = _add_trees(_batch_matrix(b, "margins", len(bc.value)), Bn, bc.value)
+            yield _state_batch(Bn.astype(np.int16), b.column(b.schema.get_field_index("label")), margins)
+
+    return state.mapInArrow(run, STATE_SCHEMA)
+
+
+@dataclass(frozen=True)
+class _SplitRule:
+    lam: float
+    alpha: float
+    gamma: float
+    min_child_weight: float
+    min_rows: int
+    max_depth: int
+    leaves: int | None  # leaf budget of best-first growth; None: level by level
+
+    def best(self, G, H, C):
+        return _best_split(G, H, float(G[0].sum()), float(H[0].sum()), self.lam, self.alpha, self.gamma, self.min_child_weight, C, self.min_rows)
+
+
+class _Grower:
+    """One tree while it grows.
+
+    A leaf's best split is known once its histogram is.  To spare a pass per split, open leaves get
+    tentative children, whose histograms the next pass builds ahead (the smaller child's; the other is
+    the parent's less it); splits are committed strictly by gain (best-first) or all at once (by level),
+    and tentative children of leaves that never split are dropped in the end.
+    """
+
+    def __init__(self, rule: _SplitRule, edges: list[np.ndarray]):
+        self.rule, self.edges = rule, edges
+        self.tree = _new_tree()
+        self.sums: dict[int, tuple] = {}       # node -> (G, H, C) by feature and bin
+        self.best: dict[int, tuple | None] = {}
+        self.open = {0}                        # leaves of the committed tree that may still split
+        self.inner: set[int] = set()
+        self.sibling: dict[int, tuple[int, int]] = {}
+
+    def arrays(self) -> dict:
+        return _tree_np(self.tree)
+
+    def wanted(self) -> list[int]:
+        if 0 not in self.sums:
+            return [0]
+        if self.rule.leaves is not None and len(self.inner) + 1 >= self.rule.leaves:
+            return []
+        asked = []
+        for leaf in sorted(self.open):
+            if leaf in self.sums and self.best[leaf] is not None and self.tree["left"][leaf] < 0:
+                asked += self._split(leaf)
+            elif leaf not in self.sums and leaf in self.sibling:
+                asked += [leaf]
+        return asked
+
+    def _split(self, node: int) -> list[int]:
+        """Tentative children of a leaf; returns the child whose histogram must be built, if either may split."""
+        _, j, b, dleft, (_, HL), (_, HR) = self.best[node]
+        t = self.tree
+        left = len(t["feature"])
+        values = {"feature": j, "bin": b, "thr": float(self.edges[j][b - 1]) if b - 1 < len(self.edges[j]) else float("inf"),
+                  "default_left": dleft, "left": left, "right": left + 1}
+        for key, val in values.items():
+            t[key][node] = val
+        depth = t["depth"][node] + 1
+        for _ in range(2):
+            for key, val in _new_tree().items():
+                t[key].append(depth if key == "depth" else val[0])
+        if depth >= self.rule.max_depth:
+            return []
+        small, large = (left, left + 1) if HL <= HR else (left + 1, left)
+        self.sibling[small] = (large, node)
+        return [small]
+
+    def receive(self, node: int, G, H, C) -> None:
+        self._know(node, (G, H, C))
+        if node in self.sibling:
+            other, parent = self.sibling[node]
+            self._know(other, tuple(a - b for a, b in zip(self.sums[parent], (G, H, C), strict=True)))
+
+    def _know(self, node: int, sums: tuple) -> None:
+        self.sums[node] = sums
+        self.best[node] = self.rule.best(*sums) if self.tree["depth"][node] < self.rule.max_depth else None
+
+    def commit(self) -> None:
+        while True:
+            ready = [(self.best[x][0], -x) for x in self.open if x in self.sums and self.best[x] is not None and self.tree["left"][x] >= 0]
+            if not ready:
+                return
+            if self.rule.leaves is None:
+                chosen = [-x for _, x in ready]
+            else:
+                if len(self.inner) + 1 >= self.rule.leaves or any(x not in self.sums and self.tree["depth"][x] < self.rule.max_depth for x in self.open):
+                    return
+                gains = [(self.best[x][0], -x) for x in self.open if self.best.get(x) is not None]
+                if max(gains) not in ready:
+                    return  # the best leaf's children are not there yet
+                chosen = [-max(ready)[1]]
+            for x in chosen:
+                self.open.remove(x)
+                self.inner.add(x)
+                self.open |= {self.tree["left"][x], self.tree["right"][x]}
+
+    def finish(self, eta: float) -> dict:
+        """The committed tree, renumbered, with leaf values."""
+        kept, todo = [], [0]
+        while todo:
+            node = todo.pop(0)
+            kept.append(node)
+            if node in self.inner:
+                todo += [self.tree["left"][node], self.tree["right"][node]]
+        number = {node: i for i, node in enumerate(kept)}
+        totals = self._totals()
+        out = {key: [] for key in self.tree}
+        for node in kept:
+            split = node in self.inner
+            blank = _new_tree()
+            for key in out:
+                out[key].append(self.tree[key][node] if split or key == "depth" else blank[key][0])
+            if split:
+                out["left"][-1], out["right"][-1] = number[self.tree["left"][node]], number[self.tree["right"][node]]
+            else:
+                G, H = totals[node]
+                out["value"][-1] = float(-eta * _soft(G, self.rule.alpha) / (H + self.rule.lam)) if H + self.rule.lam > 0 else 0.0
+        out["default_left"] = [bool(v) for v in out["default_left"]]
+        return out
+
+    def _totals(self) -> dict[int, tuple[float, float]]:
+        out = {x: (float(s[0][0].sum()), float(s[1][0].sum())) for x, s in self.sums.items()}
+        for node in self.inner:
+            _, _, _, _, left, right = self.best[node]
+            out.setdefault(self.tree["left"][node], left)
+            out.setdefault(self.tree["right"][node], right)
+        return out
+
+
+def _best_split(G, H, Gt, Ht, lam, alpha, gamma, mcw, C=None, min_rows=0):
     """Best (gain, feature, bin, default_left, left stats, right stats) over features x bins x
     missing direction; split "bin <= b" goes left.  None when no split has positive gain."""
     Gm, Hm = G[:, 0], H[:, 0]                        # missing bin per feature
@@ -371,6 +515,10 @@ def _best_split(G, H, Gt, Ht, lam, alpha, gamma, mcw):
         HL = ch + (Hm[:, None] if dleft else 0.0)
         GR, HR = Gt - GL, Ht - HL
         ok = (HL >= mcw) & (HR >= mcw) & (HL > 0) & (HR > 0)
+        if C is not None:
+            CL = np.cumsum(C[:, 1:], axis=1)[:, :-1] + (C[:, :1] if dleft else 0.0)
+            least = max(1, min_rows) - 0.5           # subtracted counts are whole up to rounding
+            ok &= (CL > least) & (C.sum(axis=1, keepdims=True) - CL > least)
         gain = 0.5 * (_score(GL, HL, lam, alpha) + _score(GR, HR, lam, alpha) - parent) - gamma
         gain = np.where(ok, gain, -np.inf)
         if gain.size == 0:
@@ -398,17 +546,6 @@ class HistBoostModel(Model, HasFeaturesCol, HasPredictionCol, DefaultParamsReada
         self._setDefault(objective="binary:logistic", zeroAsMissing=False, treesJson="{}")
         self._set(**self._input_kwargs)
 
-    def margins(self, xs: list[Column]) -> list[Column]:
-        spec = json.loads(self.getOrDefault(self.treesJson))
-        zm = self.getOrDefault(self.zeroAsMissing)
-        out = []
-        for k, ts in enumerate(spec["trees"]):
-            m = F.lit(float(spec["base"][k]))
-            for t in ts:
-                m = m + tree_col(t, xs, zm)
-            out.append(m)
-        return out
-
     def _transform(self, dataset: DataFrame) -> DataFrame:
         fc = self.getOrDefault(self.featuresCol)
         dt = dataset.schema[fc].dataType
@@ -464,21 +601,6 @@ def _margin_udf(spec_json: str, zero_missing: bool):
     return margins
 
 
-def tree_col(t, xs, zero_missing) -> Column:
-    """One fitted tree as a nested Column expression (for small ensembles)."""
-    def rec(i):
-        f = t["feature"][i]
-        if f < 0:
-            return F.lit(float(t["value"][i]))
-        x = xs[f]
-        miss = x.isNull() | F.isnan(x)
-        if zero_missing:
-            miss = miss | (x == 0.0)
-        go_left = F.when(miss, F.lit(bool(t["default_left"][i]))).otherwise(x <= F.lit(float(t["thr"][i])))
-        return F.when(go_left, rec(t["left"][i])).otherwise(rec(t["right"][i]))
-    return rec(0)
-
-
 def xgboost_like(objective: str, max_depth: int = 6, **kw) -> HistBoost:
     """T9-T11 defaults: zero is missing, depth-wise growth."""
     params = dict(objective=objective, maxDepth=max_depth, zeroAsMissing=True, growth="depth")
@@ -487,8 +609,8 @@ def xgboost_like(objective: str, max_depth: int = 6, **kw) -> HistBoost:
 
 
 def lightgbm_like(objective: str, **kw) -> HistBoost:
-    """T12-T14 defaults: leaf-wise growth, 31 leaves, rate 0.1, no start from the average."""
+    """T12-T14 defaults: leaf-wise growth, 31 leaves of 20 rows at least, rate 0.1, no start from the average."""
     params = dict(objective=objective, growth="leaf", numLeaves=31, maxDepth=-1, eta=0.1,
-                  minChildWeight=1e-3, regLambda=0.0, boostFromAverage=False)
+                  minChildWeight=1e-3, regLambda=0.0, boostFromAverage=False, minDataInLeaf=20)
     params.update(kw)
     return HistBoost(**params)

@@ -95,7 +95,7 @@ def train_tabular(df: DataFrame, label: str, kind: str, task: str, grid: dict, k
     is_train = prep.hash_split_col(key, 80, split_seed)
     train = spread(data.filter(is_train)).persist(StorageLevel.MEMORY_AND_DISK)
     test = data.filter(~is_train)
-    parallelism = parallelism or max(1, min(8, len(param_grid)))
+    parallelism = parallelism or max(1, min(8, len(param_grid) * num_folds))
     try:
         avg = cross_validate(train, Pipeline(stages=stages), est, param_grid, evaluator(task), num_folds, parallelism)
         prefix, features = prepared(Pipeline(stages=stages), train, [train])
@@ -126,21 +126,22 @@ def prepared(pipe: Pipeline, fit_on: DataFrame, frames: list[DataFrame]) -> tupl
 
 def cross_validate(train: DataFrame, pipe: Pipeline, est, param_grid: list, judge, num_folds: int, parallelism: int) -> list[float]:
     """Mean metric of every grid point (T16).  The preparation is fitted once per fold and its features are
-    persisted; only the learner is fitted for each grid point, several at a time."""
-    sums = [0.0] * len(param_grid)
-    for fold in range(num_folds):
-        inside = F.col(FOLD_COL) != fold
-        rest = train.filter(inside)
-        _, frames = prepared(pipe, rest, [rest, train.filter(~inside)])
-        try:
-            with ThreadPool(parallelism) as pool:
-                scores = pool.map(inheritable_thread_target(train.sparkSession)(
-                    lambda p, f=frames: judge.evaluate(est.copy(p).fit(f[0]).transform(f[1]))), param_grid)
-        finally:
+    persisted; only the learner is fitted for each fold and grid point, several at a time."""
+    folds = []
+    try:
+        for fold in range(num_folds):
+            inside = F.col(FOLD_COL) != fold
+            rest = train.filter(inside)
+            folds.append(prepared(pipe, rest, [rest, train.filter(~inside)])[1])
+        fits = [(frames, p) for p in param_grid for frames in folds]
+        with ThreadPool(parallelism) as pool:
+            scores = pool.map(inheritable_thread_target(train.sparkSession)(
+                lambda fit: judge.evaluate(est.copy(fit[1]).fit(fit[0][0]).transform(fit[0][1]))), fits)
+    finally:
+        for frames in folds:
             for f in frames:
                 f.unpersist()
-        sums = [a + b for a, b in zip(sums, scores, strict=True)]
-    return [s / num_folds for s in sums]
+    return [sum(scores[i * num_folds:(i + 1) * num_folds]) / num_folds for i in range(len(param_grid))]
 
 
 def _argbest(vals, task):

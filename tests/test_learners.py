@@ -1,6 +1,7 @@
 """Gradient learners and boosting: optimality, planted signal, beats constant, save/load."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -53,3 +54,81 @@ def test_booster_beats_constant_and_roundtrips(spark):
     rt = q["model_roundtrip"](spark, SF_SMALL).first()
     n = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").count()
     assert rt["rows"] == n and rt["mismatches"] == 0          # one pair per row: the key is unique
+
+
+def _best_first_sse(X, y, leaves):
+    """Exact best-first regression tree by plain loops."""
+    def best(idx):
+        out = None
+        for j in range(X.shape[1]):
+            for t in np.unique(X[idx, j])[:-1]:
+                a, c = y[idx][X[idx, j] <= t], y[idx][X[idx, j] > t]
+                gain = a.sum() ** 2 / len(a) + c.sum() ** 2 / len(c) - y[idx].sum() ** 2 / len(idx)
+                if out is None or gain > out[0]:
+                    out = (gain, j, t)
+        return out
+
+    parts = [np.arange(len(y))]
+    while len(parts) < leaves:
+        splits = [best(p) for p in parts]
+        i = max(range(len(parts)), key=lambda k: splits[k][0] if splits[k] else -1.0)
+        idx, (_, j, t) = parts.pop(i), splits[i]
+        parts += [idx[X[idx, j] <= t], idx[X[idx, j] > t]]
+    return sum(((y[p] - y[p].mean()) ** 2).sum() for p in parts)
+
+
+def test_leaf_growth_is_best_first(spark):
+    from proxlab.operators import boost
+    rng = np.random.default_rng(0)
+    X = rng.integers(0, 30, (1500, 3)).astype(float)
+    y = 10 * (X[:, 0] > 15) + 5 * np.sin(X[:, 1]) * (X[:, 0] > 20) + X[:, 2] * (X[:, 1] < 5) + 0.1 * rng.normal(size=1500)
+    df = spark.createDataFrame([(x.tolist(), float(v)) for x, v in zip(X, y)], "features array<double>, label double").repartition(3)
+    for leaves in (2, 8):
+        model = boost.HistBoost(objective="reg:squarederror", numRound=1, eta=1.0, growth="leaf", numLeaves=leaves, maxDepth=-1,
+                                regLambda=0.0, minChildWeight=0.5).fit(df)
+        pred = model.transform(df).toPandas()
+        assert abs(((pred.prediction - pred.label) ** 2).sum() - _best_first_sse(X, y, leaves)) < 1e-6
+
+
+def test_stored_margins_do_not_change_the_model(spark, monkeypatch):
+    """Updating the stored margins every few rounds gives the trees of a fit that never does."""
+    from proxlab.operators import boost
+    rng = np.random.default_rng(1)
+    X = rng.normal(size=(400, 2))
+    y = X[:, 0] * X[:, 1] + 0.01 * rng.normal(size=400)
+    df = spark.createDataFrame([(x.tolist(), float(v)) for x, v in zip(X, y)], "features array<double>, label double")
+    preds = []
+    for every in (3, 1000):
+        monkeypatch.setattr(boost, "UPDATE_ROUNDS", every)
+        preds.append(boost.xgboost_like("reg:squarederror", numRound=8, maxDepth=3).fit(df).transform(df).toPandas().prediction)
+    assert np.allclose(*preds) and ((preds[0] - y) ** 2).mean() < 0.6 * y.var()
+
+
+def test_min_data_in_leaf(spark):
+    from proxlab.operators import boost
+    rows = [([float(i)], float(i < 3)) for i in range(100)]
+    df = spark.createDataFrame(rows, "features array<double>, label double")
+    model = boost.HistBoost(objective="reg:squarederror", numRound=1, growth="leaf", minChildWeight=0.0, minDataInLeaf=10).fit(df)
+    sizes = model.transform(df).groupBy("prediction").count().toPandas()["count"]
+    assert sizes.min() >= 10
+
+
+@pytest.mark.parametrize("labels", [[-1.0, 1.0], [1.0, 2.0], [0.0, 0.5], [0.0, float("nan")]])
+def test_logistic_fits_reject_other_labels(spark, labels):
+    df = spark.createDataFrame([([1.0, float(i)], labels[i % 2]) for i in range(8)], "features array<double>, label double")
+    for fit in (lambda: logistic.fit_lbfgs(df, 2), lambda: logistic.fit_minibatch_sgd(df, 2, 2, iters=1, fraction=1.0), lambda: logistic.fit_parallel_sgd(df, 2, epochs=1)):
+        with pytest.raises(Exception, match="labels must be"):
+            fit()
+
+
+def test_parallel_sgd_does_not_depend_on_layout(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(a), 1.0], float(a + 0.3 * b > 0)) for i, (a, b) in enumerate(rng.normal(size=(300, 2)))]
+    df = spark.createDataFrame(rows, "id long, features array<double>, label double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        a = logistic.fit_parallel_sgd(df.repartition(5), 2, epochs=3, key="id", workers=4).weights
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    b = logistic.fit_parallel_sgd(df.coalesce(1), 2, epochs=3, key="id", workers=4).weights
+    assert np.allclose(a, b)

@@ -1,4 +1,4 @@
-"""Array-column algebra: dot products, norms, bias and axpy on ``array<double>`` columns.
+"""Array-column algebra: dot products, norms and bias on ``array<double>`` columns.
 
 For a fixed, small weight vector the dot product is unrolled into ``f[i] * w_i``
 terms so it compiles into whole-stage codegen; above ``UNROLL_LIMIT`` it falls
@@ -39,11 +39,6 @@ def dot_lit(features, weights: Sequence[float], skip_zeros: bool = False) -> Col
     return F.aggregate(F.zip_with(f, warr, term), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def dot_cols(a, b) -> Column:
-    """Row-wise dot product of two array columns."""
-    return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
-
-
 def sq_norm(features) -> Column:
     return F.aggregate(_c(features), F.lit(0.0), lambda acc, v: acc + v * v)
 
@@ -54,17 +49,3 @@ def l2_norm(features) -> Column:
 
 def append_bias(features, value: float = 1.0) -> Column:
     return F.concat(_c(features), F.array(F.lit(float(value))))
-
-
-def scale(features, factor) -> Column:
-    fac = factor if isinstance(factor, Column) else F.lit(float(factor))
-    return F.transform(_c(features), lambda v: v * fac)
-
-
-def axpy(alpha: float, x, y) -> Column:
-    """alpha * x + y elementwise on two array columns."""
-    return F.zip_with(_c(x), _c(y), lambda a, b: F.lit(float(alpha)) * a + b)
-
-
-def to_double_array(features) -> Column:
-    return F.transform(_c(features), lambda v: v.cast("double"))

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,11 +30,6 @@ def clean(df: DataFrame, drop: list[str] = (), label: str | None = None, how: st
     return out
 
 
-def null_counts(df: DataFrame) -> DataFrame:
-    """Nulls per column in one aggregation (reported before P2 drops rows)."""
-    return df.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in df.columns])
-
-
 # ---------------------------------------------------------------- P4-P5
 @dataclass(frozen=True)
 class ColumnRoles:
@@ -185,17 +179,6 @@ def key_hash(key: str, modulus: int, seed: int, mul: int = 7919) -> Column:
     return F.pmod(F.pmod(F.col(key).cast("long"), F.lit(modulus)) * mul + seed, F.lit(modulus))
 
 
-def hash_split(df: DataFrame, key: str, weights=(0.6, 0.4), seed: int = 11) -> tuple[DataFrame, DataFrame]:
-    pct = int(round(weights[0] / sum(weights) * 100))
-    c = hash_split_col(key, pct, seed)
-    return df.filter(c), df.filter(~c)
-
-
 def random_split(df: DataFrame, weights=(0.6, 0.4), seed: int = 11) -> list[DataFrame]:
-    """Spark's randomSplit (depends on partitioning; use hash_split for reproducible splits)."""
+    """Spark's randomSplit (depends on partitioning; hash_split_col gives reproducible splits)."""
     return df.randomSplit(list(weights), seed)
-
-
-def persist(df: DataFrame) -> DataFrame:
-    """Spill-safe persistence; pair with ``unpersist`` in a finally block."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -36,6 +36,14 @@ def q_parse_dense_text(spark, sf_dir):
     return parsed.select(*IDS, "label", *_feats(), F.size("features").alias("n_features"))
 
 
+@register("dense_text_files", f"SELECT label, f0, f1, f2, f3 FROM ({D_PLANT}) A")
+def q_dense_text_files(spark, sf_dir):
+    """S1 from files: the design written as ``label,a1,..,an`` text files and read from them."""
+    path = scratch_path(spark, "dense")
+    text.to_dense_lines(fx.lineitem_design(spark, sf_dir).select("label", "features"), n=4).write.text(path)
+    return text.read_dense_text(spark, path).select("label", *_feats())
+
+
 @register("design_shape", f"SELECT count(*) AS m, CAST(4 AS INTEGER) AS n_min, CAST(4 AS INTEGER) AS n_max "
                           f"FROM lineitem")
 def q_design_shape(spark, sf_dir):
@@ -103,12 +111,23 @@ _TYPE_CASE = ("CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'i
               "ELSE lower(data_type) END")
 
 
+def _stats_sql(table: str, columns: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_distinct FROM {table}" for c in columns)
+
+
+_PART = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+_CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+_CUSTOMER_NULLS = ("(SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal, "
+                   "CASE WHEN c_custkey % 11 = 3 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer) c")
+
+
 @register("preview_schema",
-          f"SELECT CAST(ordinal_position - 1 AS INTEGER) AS position, column_name AS name, {_TYPE_CASE} AS type "
-          f"FROM information_schema.columns WHERE table_name = 'part'")
+          f"SELECT CAST(ordinal_position - 1 AS INTEGER) AS position, s.name, {_TYPE_CASE} AS type, n_null, n_distinct "
+          f"FROM information_schema.columns i JOIN ({_stats_sql('part', _PART)}) s ON i.column_name = s.name WHERE table_name = 'part'")
 def q_preview_schema(spark, sf_dir):
-    """The schema as rows."""
-    return inspect.schema_df(spark, fx.table(spark, sf_dir, "part"))
+    """The schema as rows, with each column's nulls and distinct values."""
+    part = fx.table(spark, sf_dir, "part").select(*_PART)
+    return inspect.schema_df(spark, fx.table(spark, sf_dir, "part")).join(inspect.column_stats(part), "name")
 
 
 @register("preview_rows", "SELECT * FROM part ORDER BY p_partkey LIMIT 10")
@@ -136,13 +155,15 @@ def q_clean_rename(spark, sf_dir):
 
 @register("column_roles",
           "SELECT column_name AS column, CASE WHEN column_name = 'c_acctbal' THEN 'label' "
-          "WHEN data_type = 'VARCHAR' THEN 'categorical' ELSE 'numeric' END AS role "
-          "FROM information_schema.columns WHERE table_name = 'customer'")
+          "WHEN data_type = 'VARCHAR' THEN 'categorical' ELSE 'numeric' END AS role, n_null, n_distinct "
+          f"FROM information_schema.columns i JOIN ({_stats_sql(_CUSTOMER_NULLS, _CUSTOMER)}) s ON i.column_name = s.name WHERE table_name = 'customer'")
 def q_column_roles(spark, sf_dir):
-    """Roles from the schema; the label is excluded by exact name."""
+    """Roles from the schema (the label is excluded by exact name), with nulls and distinct values."""
+    table = _customer_with_nulls(spark, sf_dir)
     roles = prep.column_roles(fx.table(spark, sf_dir, "customer").schema, "c_acctbal")
     schema = T.StructType([T.StructField("column", T.StringType()), T.StructField("role", T.StringType())])
-    return spark.createDataFrame(prep.roles_rows(roles), schema)
+    stats = inspect.column_stats(table).withColumnRenamed("name", "column")
+    return spark.createDataFrame(prep.roles_rows(roles), schema).join(stats, "column")
 
 
 # ---------------------------------------------------------------- P6-P9

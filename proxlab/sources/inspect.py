@@ -20,5 +20,16 @@ def schema_df(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def column_stats(df: DataFrame) -> DataFrame:
+    """``[name, n_null, n_distinct]`` of every column, from one pass.
+
+    Each value becomes a (name, value) row, counted by value and then by name, so partial counts are
+    made before the shuffle and no column's values meet in one task.
+    """
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("v")) for c in df.columns])).alias("s")).select("s.*")
+    return cells.groupBy("name", "v").agg(F.count(F.lit(1)).alias("n")).groupBy("name").agg(
+        F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("n_null"), F.count("v").alias("n_distinct"))
+
+
 def preview(df: DataFrame, n: int = 10) -> DataFrame:
     return df.limit(n)

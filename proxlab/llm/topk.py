@@ -147,7 +147,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
              .withColumn("part", F.pmod(spread, F.col("parts")).cast("int"))
              .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1)))))
     queries = rows.where(is_query).withColumn("qb", F.pmod(spread, F.lit(n_query_blocks)).cast("int")).select("id", "v", "norm", "dim", "qb")
-    places = F.broadcast(blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
     on = ["dim", "bucket", "part", "qb"]
 
     def run(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
@@ -158,7 +157,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     def phase(head: int, with_floor: DataFrame) -> DataFrame:
-        asked = with_floor.join(places.where(F.col("head") == head), "dim")
+        # at most BUCKETS + 1 rows a dimension are broadcast; a bucket's parts are counted out afterwards
+        asked = (with_floor.join(F.broadcast(blocks.where(F.col("head") == head)), "dim")
+                 .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
         # new names for the queries' columns: both sides come from the same rows
         asked = asked.select(*[F.col(c).alias(c) for c in ("id", "v", "norm", "floor", *on)])
         return (cands.where(F.col("head") == head).select("id", "v", "norm", *on).groupBy(*on)

@@ -95,6 +95,47 @@ def _en_query(family):
 register("logit_elastic_net")(_en_query("binomial"))
 register("logit_elastic_net_multinomial")(_en_query("multinomial"))
 
+_HOLDOUT_MODELS = ("lbfgs", "minibatch_sgd", "parallel_sgd", "elastic_net")
+
+
+@register("logit_holdout", "SELECT model, count(*) FILTER (WHERE tr) AS n_train, count(*) FILTER (WHERE NOT tr) AS n_test, "
+          "count(*) FILTER (WHERE NOT tr AND label = 1) AS n_pos_test, true AS auc_beats_chance, true AS accuracy_beats_constant "
+          f"FROM (SELECT label, (l_orderkey * 7919 + 11) % 100 < 60 AS tr FROM ({fx.sql_lineitem_design('binary')}) A) s, "
+          f"(VALUES {', '.join(f'({m!r})' for m in _HOLDOUT_MODELS)}) v(model) GROUP BY model")
+def q_logit_holdout(spark, sf_dir):
+    """C1, C3, C6, C7 with E1-E4: fitted on the 60 % split, scored on the rest, held against chance and the constant class."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import types as T
+    from ..operators import metrics
+    from ..operators.prep import hash_split_col
+    df = fx.lineitem_design(spark, sf_dir, "binary")
+    is_train = hash_split_col("l_orderkey", 60, 11)
+    train, test = df.filter(is_train).persist(), df.filter(~is_train).persist()
+    try:
+        key = train.withColumn("_k", F.xxhash64(*IDS))
+        plain = train.select(F.slice("features", 1, 3).alias("features"), "label").withColumn("features", array_to_vector("features"))
+        net = logistic.elastic_net(reg=0.01).fit(plain)
+        weights = {"lbfgs": logistic.fit_lbfgs(train, 4, 2, reg=0.1, tol=1e-5).weights,
+                   "minibatch_sgd": logistic.fit_minibatch_sgd(key, 4, 2, iters=50, key="_k").weights,
+                   "parallel_sgd": logistic.fit_parallel_sgd(key, 4, 2, epochs=20, key="_k").weights,
+                   "elastic_net": [*net.coefficients.toArray(), net.intercept]}
+        n_train = train.count()
+        rows = []
+        for model in _HOLDOUT_MODELS:
+            pred = test.select(logistic.predict_score("features", weights[model]).alias("score"), "label")
+            area = metrics.binary_areas(metrics.binary_points(pred, "score", "label")).first()
+            hard = metrics.multiclass_metrics(pred.withColumn("prediction", F.when(F.col("score") < 0.5, 0.0).otherwise(1.0))).first()
+            n_test = area["n_pos"] + area["n_neg"]
+            rows.append((model, n_train, n_test, area["n_pos"], area["auc_roc"] > 0.5,
+                         hard["accuracy"] > max(area["n_pos"], area["n_neg"]) / n_test))
+    finally:
+        train.unpersist()
+        test.unpersist()
+    schema = T.StructType([T.StructField("model", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("n_train", "n_test", "n_pos_test")],
+                           T.StructField("auc_beats_chance", T.BooleanType()), T.StructField("accuracy_beats_constant", T.BooleanType())])
+    return spark.createDataFrame(rows, schema)
+
+
 # fixed values: the scoring weights used by the prediction operators
 PRED_W = [4.0, -3.0, 2.0, -1.5]
 PRED_W3 = [[4.0, -3.0, 2.0, -1.5], [8.0, -6.0, 4.0, -3.0]]
@@ -197,7 +238,7 @@ def q_cv_select(spark, sf_dir):
     return tabular.cv_df(spark, res).select("grid_index", "params", rnd("avg_metric").alias("avg_metric"))
 
 
-@register("model_roundtrip")
+@register("model_roundtrip", "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS mismatches FROM lineitem")
 def q_model_roundtrip(spark, sf_dir):
     """Predictions of the saved-and-reloaded booster pipeline equal the in-memory model's,
     compared row by row on the unique lineitem key."""

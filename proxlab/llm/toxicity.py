@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_array, held, prepare, span_hashes, text_buffer, text_slices, word_spans
+from .common import column_array, held, prepare, saved, span_hashes, text_buffer, text_slices, word_spans
 from .decontaminate import FOLD
 
 MAX_ROWS = 10_000
@@ -107,10 +107,10 @@ def counted(condition: Column) -> Column:
     return F.sum(condition.cast("long"))
 
 
-def discounts(frame: DataFrame, columns: tuple[str, str]) -> list[float]:
-    """Kneser-Ney discounts n1 / (n1 + 2 n2) of two columns of counts."""
-    n = frame.agg(*[counted(F.col(c) == k) for c in columns for k in (1, 2)]).first()
-    return [max(0.1, (a or 0) / max(1, (a or 0) + 2 * (b or 0))) for a, b in ((n[0], n[1]), (n[2], n[3]))]
+def discounts(frame: DataFrame, columns: tuple[str, str], *more: Column) -> tuple[list[float], list]:
+    """Kneser-Ney discounts n1 / (n1 + 2 n2) of two columns of counts, and further aggregates of the same pass."""
+    n = list(frame.agg(*[counted(F.col(c) == k) for c in columns for k in (1, 2)], *more).first())
+    return [max(0.1, (a or 0) / max(1, (a or 0) + 2 * (b or 0))) for a, b in (n[0:2], n[2:4])], n[4:]
 
 
 def continuation(pairs: DataFrame) -> tuple[list[DataFrame], float]:
@@ -121,15 +121,15 @@ def continuation(pairs: DataFrame) -> tuple[list[DataFrame], float]:
     """
     t, p = F.col("toxic"), F.col("plain")
     chain = ["w", *(f"s{size}" for size in STEMS)]
-    level = held(pairs.groupBy(*chain).agg(counted(t > 0).alias("ct"), counted(p > 0).alias("cp")))
+    # written, not cached: the tables below are built from it again and again, and their plans stay short
+    level = saved(pairs.groupBy(*chain).agg(counted(t > 0).alias("ct"), counted(p > 0).alias("cp")), "word-contexts")
     n = level.agg(F.sum("ct"), F.sum("cp")).first()
     nt, np_ = max(1, n[0] or 0), max(1, n[1] or 0)
     classes = (F.col("ct") > 0).cast("int") + (F.col("cp") > 0).cast("int")
     frames, weights = {}, {}
     for i in reversed(range(len(chain))):  # the shortest beginning first
         frame = level.groupBy(*chain[i:]).agg(F.sum("ct").alias("ct"), F.sum("cp").alias("cp")).withColumn("classes", classes)
-        dt, dp = discounts(frame, ("ct", "cp"))
-        size = frame.agg(F.sum("classes"), F.count("*"), counted(F.col("ct") > 0), counted(F.col("cp") > 0)).first()
+        (dt, dp), size = discounts(frame, ("ct", "cp"), F.sum("classes"), F.count("*"), counted(F.col("ct") > 0), counted(F.col("cp") > 0))
         total, units, t_units, p_units = (max(1, x or 0) for x in size)
         weights[i] = (dt * t_units / nt, dp * p_units / np_)
         if i == len(chain) - 1:
@@ -142,8 +142,8 @@ def continuation(pairs: DataFrame) -> tuple[list[DataFrame], float]:
             under = (frame.join(dealt, parent).join(frames[i + 1].select(F.col("unit").alias(parent), "lt", "lp"), parent)
                      .withColumn("st", F.col("lt") * share).withColumn("sp", F.col("lp") * share).drop("lt", "lp"))
         own = lambda c, d, whole: F.greatest(F.col(c) - d, F.lit(0.0)) / whole
-        frames[i] = held(under.select(F.col(chain[i]).alias("unit"), (own("ct", dt, nt) + weights[i][0] * F.col("st")).alias("lt"),
-                                      (own("cp", dp, np_) + weights[i][1] * F.col("sp")).alias("lp"), (F.col("ct") + F.col("cp")).alias("c")))
+        frames[i] = under.select(F.col(chain[i]).alias("unit"), (own("ct", dt, nt) + weights[i][0] * F.col("st")).alias("lt"),
+                                      (own("cp", dp, np_) + weights[i][1] * F.col("sp")).alias("lp"), (F.col("ct") + F.col("cp")).alias("c"))
     back = 0.0  # log ratio of the weights on the way down to a unit
     out = []
     for i in range(len(chain)):
@@ -156,7 +156,7 @@ def count_models(pairs: DataFrame) -> tuple:
     """(continuation tables, context table, bigram table, ratio of the unknown) of the two models."""
     units, unknown = continuation(pairs)
     t, p = F.col("toxic"), F.col("plain")
-    dt, dp = discounts(pairs, ("toxic", "plain"))
+    (dt, dp), _ = discounts(pairs, ("toxic", "plain"))
     # back-off weights of the contexts
     ctx = pairs.groupBy("h").agg(F.sum("toxic").alias("ht"), F.sum("plain").alias("hp"), counted(t > 0).alias("nt"), counted(p > 0).alias("np"))
     back = lambda n, d, h: F.when(F.col(h) > 0, d * F.col(n) / F.col(h)).otherwise(F.lit(1.0))
@@ -261,6 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, key: s
     model = Model(base, unknown, tuple(sorted_table(u) for u in units), sorted_table(contexts), sorted_table(bigrams))
     shared = spark.sparkContext.broadcast(model)
     rest = with_evidence(texts.where("NOT counted"), shared, "text", ["toxic"]).toArrow()
+    shared.destroy()
     y = rest["toxic"].to_numpy().astype(np.float64)
     for frame in (one, picked, texts, pairs):
         frame.unpersist()

@@ -14,8 +14,8 @@ of a document have shorter contexts.
 Relations: documents are dealt into blocks of about ``block_bytes`` of text.  A block explodes its
 n-grams and pre-aggregates them, and sends its (n-gram, count) rows, packed per hash range, to the count
 tables, which are partitioned by ranges of the n-gram hash.  A range adds the blocks' counts and joins the
-totals back to the blocks in which the n-gram occurs; an n-gram that occurs in one block only need not be
-sent back.  Each block then joins the totals to its n-grams and sums by document.  Work and memory per
+totals back to the blocks in which the n-gram occurs, as a bit per n-gram that the block sent (set where
+other blocks have it too) and the totals of those.  Each block then joins the totals to its n-grams and sums by document.  Work and memory per
 task are bounded by block and range sizes, and a frequent n-gram is one row per block.
 
 N-grams are compared by 64-bit hashes.  Words are runs of anything but blanks, tabs and line ends.  A null or
@@ -37,14 +37,22 @@ BLOCK_BYTES, RANGE_BYTES = 12 << 20, 12 << 20
 PACKED = "block long, part long, keys binary, counts binary"
 
 
+def to_planes(numbers: np.ndarray) -> bytes:
+    """64-bit numbers as byte planes: the high planes of small numbers are zeros, which compress well."""
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
 def pack(keys: np.ndarray) -> bytes:
-    """Sorted distinct 64-bit keys as byte planes of their differences (high planes are zeros, mostly)."""
-    return np.diff(keys, prepend=U64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Sorted distinct 64-bit keys, as planes of their differences."""
+    return to_planes(np.diff(keys, prepend=U64(0)))
 
 
 def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=U64)
+    return np.cumsum(from_planes(data), dtype=U64)
 
 
 def grams(texts: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -115,11 +123,14 @@ def score(docs: DataFrame, key: str = "doc_id", text_col: str = "text", order: i
     width = min(MASK, (1 << 64) // n_ranges + 1)
     dealt = whole.withColumn("block", F.pmod(F.xxhash64("k", "text"), F.lit(n_blocks)))
 
+    def range_cuts(keys: np.ndarray) -> np.ndarray:
+        """Where each hash range begins in sorted keys."""
+        return np.searchsorted((keys // U64(width)).astype(np.int64), np.arange(n_ranges + 1))
+
     def explode(table: pa.Table) -> pa.Table:
         hashes, _ = grams(table["text"].combine_chunks(), order)
         keys, counts = block_counts(hashes)
-        part = (keys // U64(width)).astype(np.int64)
-        cut = np.searchsorted(part, np.arange(n_ranges + 1))
+        cut = range_cuts(keys)
         rows = [(p, pack(keys[a:b]), counts[a:b].astype("<u4").tobytes()) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
         block = table["block"][0].as_py()
         return pa.table({"block": pa.array([block] * len(rows), pa.int64()), "part": pa.array([r[0] for r in rows], pa.int64()),
@@ -142,15 +153,17 @@ def score(docs: DataFrame, key: str = "doc_id", text_col: str = "text", order: i
             a, z = size[i], size[i + 1]
             back = summed[a:z] > mine[a:z]
             if back.any():
-                out.append((b, table["part"][0].as_py(), pack(keys[i][back]), summed[a:z][back].astype("<u8").tobytes()))
+                out.append((b, table["part"][0].as_py(), np.packbits(back).tobytes(), to_planes(summed[a:z][back])))
         return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(
             (("block", pa.int64()), ("part", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())))})
 
     def join(docs_: pa.Table, totals: pa.Table) -> pa.Table:
         hashes, n = grams(docs_["text"].combine_chunks(), order)
         keys, counts = block_counts(hashes)
-        for k, c in zip(totals["keys"].to_pylist(), totals["counts"].to_pylist(), strict=True):
-            counts[np.searchsorted(keys, unpack(k))] = np.frombuffer(c, "<u8").astype(np.int64)
+        cut = range_cuts(keys)
+        for p, bits, c in zip(*(totals[n].to_pylist() for n in ("part", "keys", "counts")), strict=True):
+            mine = counts[cut[p]:cut[p + 1]]
+            mine[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(mine)).astype(bool)] = from_planes(c).astype(np.int64)
 
         def lookup(h: np.ndarray) -> np.ndarray:
             if not len(keys):

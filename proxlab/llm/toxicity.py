@@ -11,9 +11,9 @@ short windows (a few insults in a long text would drown in its mean).  A logisti
 labelled rows kept out of the counts, turns the evidence into a score in 0..1.
 
 Fitting reads a bounded sample of the labelled rows: at most ``max_rows`` documents per class, by hash
-order of their ids.  Counting is a Spark aggregation; what reaches the driver, and every worker, is bounded
-by ``WORDS`` words, as many contexts and ``BIGRAMS`` bigrams (64-bit hashes; the most frequent that occur at
-least twice, others count as unseen).  Scoring is one narrow pass over whole texts.
+order of their ids.  Counting is a Spark aggregation; every word, beginning, context and bigram of the counted
+documents reaches the driver, and every worker, as sorted 64-bit hashes with a 32-bit ratio (12 bytes each),
+so the sample alone bounds them.  Scoring is one narrow pass over whole texts.
 
 Words are runs of digits, a-z and non-ASCII characters after lowering A-Z.  Null or word-less texts have
 no evidence and score the base rate.  A document labelled more than once counts as toxic if any label says
@@ -35,7 +35,6 @@ from .common import column_array, held, prepare, saved, span_hashes, text_buffer
 from .decontaminate import FOLD
 
 MAX_ROWS = 10_000
-WORDS, BIGRAMS = 1 << 19, 1 << 18
 STEMS = (6, 4)  # bytes of a word's beginnings
 WINDOWS = (1, 4, 16)
 THRESHOLD = 0.3
@@ -61,13 +60,9 @@ def words_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np
     return [span_hashes(low, starts, e).view(np.int64) for e in (ends, *(np.minimum(ends, starts + size) for size in STEMS))], n
 
 
-def pair_keys(words: np.ndarray) -> np.ndarray:
-    """Keys of neighbouring words; ``pair_key`` is the same over columns."""
-    return words[:-1] ^ (words[1:] << 1)
-
-
-def pair_key(h: str, w: str) -> Column:
-    return F.col(h).bitwiseXOR(F.shiftleft(w, 1))
+def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Keys of neighbouring words."""
+    return h ^ (w << 1)
 
 
 def look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +90,7 @@ def count_pairs(sample: DataFrame, text_col: str) -> DataFrame:
                 same = row[1:] == row[:-1]
                 toxic = label[row[1:][same]]
                 units = [words[:-1][same], words[1:][same], *(x[1:][same] for x in stems)]
-                _, at, where = np.unique(pair_keys(words)[same], return_index=True, return_inverse=True)
+                _, at, where = np.unique(pair_keys(*units[:2]), return_index=True, return_inverse=True)
                 t, every = np.bincount(where, toxic).astype(np.int64), np.bincount(where)
                 yield pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in units), pa.array(t), pa.array(every - t)], names=[*names, "toxic", "plain"])
 
@@ -114,7 +109,7 @@ def discounts(frame: DataFrame, columns: tuple[str, str], *more: Column) -> tupl
 
 
 def continuation(pairs: DataFrame) -> tuple[list[DataFrame], float]:
-    """Per unit size (word, then shorter beginnings) [unit, lt, lp, ratio, c]; and the ratio of what is wholly unknown.
+    """Per unit size (word, then shorter beginnings) [unit, lt, lp, ratio]; and the ratio of what is wholly unknown.
 
     lt and lp are the probabilities under the classes' continuation models, ``ratio`` the log ratio that a
     word not seen itself, but with this as its longest known beginning, has.
@@ -143,7 +138,7 @@ def continuation(pairs: DataFrame) -> tuple[list[DataFrame], float]:
                      .withColumn("st", F.col("lt") * share).withColumn("sp", F.col("lp") * share).drop("lt", "lp"))
         own = lambda c, d, whole: F.greatest(F.col(c) - d, F.lit(0.0)) / whole
         frames[i] = under.select(F.col(chain[i]).alias("unit"), (own("ct", dt, nt) + weights[i][0] * F.col("st")).alias("lt"),
-                                      (own("cp", dp, np_) + weights[i][1] * F.col("sp")).alias("lp"), (F.col("ct") + F.col("cp")).alias("c"))
+                                      (own("cp", dp, np_) + weights[i][1] * F.col("sp")).alias("lp"))
     back = 0.0  # log ratio of the weights on the way down to a unit
     out = []
     for i in range(len(chain)):
@@ -153,7 +148,7 @@ def continuation(pairs: DataFrame) -> tuple[list[DataFrame], float]:
 
 
 def count_models(pairs: DataFrame) -> tuple:
-    """(continuation tables, context table, bigram table, ratio of the unknown) of the two models."""
+    """(tables of words and beginnings, of contexts, of bigrams, ratio of the unknown) of the two models; tables as in ``Model``."""
     units, unknown = continuation(pairs)
     t, p = F.col("toxic"), F.col("plain")
     (dt, dp), _ = discounts(pairs, ("toxic", "plain"))
@@ -161,15 +156,24 @@ def count_models(pairs: DataFrame) -> tuple:
     ctx = pairs.groupBy("h").agg(F.sum("toxic").alias("ht"), F.sum("plain").alias("hp"), counted(t > 0).alias("nt"), counted(p > 0).alias("np"))
     back = lambda n, d, h: F.when(F.col(h) > 0, d * F.col(n) / F.col(h)).otherwise(F.lit(1.0))
     ctx = ctx.select("h", "ht", "hp", back("nt", dt, "ht").alias("bt"), back("np", dp, "hp").alias("bp"))
-    top = pairs.where("toxic + plain > 1").orderBy(F.desc(t + p), "h", "w").limit(BIGRAMS)
-    own = lambda c, d, h: F.when(F.col(h) > 0, F.greatest(c - d, F.lit(0.0)) / F.col(h)).otherwise(F.lit(0.0))
-    bigrams = top.join(units[0].withColumnRenamed("unit", "w"), "w").join(ctx, "h").select(
-        pair_key("h", "w").alias("key"),
-        (F.log(own(t, dt, "ht") + F.col("bt") * F.col("lt")) - F.log(own(p, dp, "hp") + F.col("bp") * F.col("lp"))).alias("ratio"))
-    tables = [u.where("c > 1").orderBy(F.desc("c"), "unit").limit(WORDS).select(F.col("unit").alias("key"), "ratio") for u in units]
-    contexts = (ctx.where("ht + hp > 1").orderBy(F.desc(F.col("ht") + F.col("hp")), "h").limit(WORDS)
-                .select(F.col("h").alias("key"), F.log(F.col("bt") / F.col("bp")).alias("ratio")))
-    return tables, contexts, bigrams, unknown
+    words, *lt_lp, ratio = sorted_columns(units[0].select("unit", "lt", "lp", "ratio"))
+    heads, *of_heads = sorted_columns(ctx)
+    # every pair meets its word and context in a narrow pass: joins would shuffle the pairs twice
+    shared = pairs.sparkSession.sparkContext.broadcast((words, lt_lp, heads, of_heads))
+
+    def run(batches):
+        words, (lt, lp), heads, (ht, hp, bt, bp) = shared.value
+        own = lambda c, d, h: np.maximum(c - d, 0.0) / np.maximum(h, 1)
+        for batch in batches:
+            h, w, toxic, plain = (column_array(batch, n).to_numpy() for n in ("h", "w", "toxic", "plain"))
+            i, j = np.searchsorted(words, w), np.searchsorted(heads, h)
+            seen = np.log(own(toxic, dt, ht[j]) + bt[j] * lt[i]) - np.log(own(plain, dp, hp[j]) + bp[j] * lp[i])
+            yield pa.RecordBatch.from_arrays([pa.array(pair_keys(h, w)), pa.array(seen)], names=["key", "ratio"])
+
+    bigrams = sorted_table(pairs.select("h", "w", "toxic", "plain").mapInArrow(run, "key long, ratio double"))
+    shared.destroy()
+    tables = [(words, ratio.astype(np.float32)), *(sorted_table(u.select("unit", "ratio")) for u in units[1:])]
+    return tables, (heads, np.log(of_heads[2] / of_heads[3]).astype(np.float32)), bigrams, unknown
 
 
 def evidence(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -186,7 +190,7 @@ def evidence(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         open_ = open_[~known]
     row = np.repeat(np.arange(len(n)), n)
     if len(words) > 1:
-        known, value = look_up(model.bigrams, pair_keys(words))
+        known, value = look_up(model.bigrams, pair_keys(words[:-1], words[1:]))
         met, back = look_up(model.contexts, words[:-1])
         better = np.where(known, value, ratio[1:] + np.where(met, back, 0.0))
         ratio[1:] = np.where(row[1:] == row[:-1], better, ratio[1:])
@@ -218,9 +222,19 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
     return w / scale
 
 
+def sorted_columns(frame: DataFrame) -> list[np.ndarray]:
+    """The columns of a frame, sorted by the first."""
+    table = frame.toArrow()
+    columns = [c.to_numpy() for c in table.columns]
+    del table
+    order = np.argsort(columns[0])
+    return [c[order] for c in columns]
+
+
 def sorted_table(frame: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    table = frame.toArrow().sort_by("key")
-    return table["key"].to_numpy(), table["ratio"].to_numpy().astype(np.float32)
+    key, ratio = frame.columns
+    keys, ratios = sorted_columns(frame.select(key, F.col(ratio).cast("float")))
+    return keys, ratios
 
 
 def with_evidence(rows: DataFrame, shared, text_col: str, keep: list[str]) -> DataFrame:
@@ -258,7 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, key: s
     texts = held(docs.select(F.col(key).alias("k"), F.col(text_col).alias("text")).join(F.broadcast(picked), "k"))
     pairs = held(count_pairs(texts.where("counted"), "text"))
     units, contexts, bigrams, unknown = count_models(pairs)
-    model = Model(base, unknown, tuple(sorted_table(u) for u in units), sorted_table(contexts), sorted_table(bigrams))
+    model = Model(base, unknown, tuple(units), contexts, bigrams)
     shared = spark.sparkContext.broadcast(model)
     rest = with_evidence(texts.where("NOT counted"), shared, "text", ["toxic"]).toArrow()
     shared.destroy()

@@ -70,6 +70,21 @@ def test_toxicity_small(spark):
     assert toxicity.fit(d.limit(0), lab).value.weights is None
 
 
+def test_toxicity_tables_hold_every_count(spark):
+    # "rare" always follows "very" in one class; most bigrams and contexts occur once
+    rows = [("very rare", 1)] * 5 + [(f"a{i} b{i} a c{i}", i % 2) for i in range(20)]
+    pairs = toxicity.count_pairs(spark.createDataFrame(rows, "text string, toxic int"), "text")
+    units, contexts, bigrams, _ = toxicity.count_models(pairs)
+    firsts, seconds, both = set(), set(), set()
+    for t, _ in rows:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        (words, *_), _ = toxicity.words_of(raw, np.array([0, len(raw)]))
+        firsts |= set(words[:-1].tolist())
+        seconds |= set(words[1:].tolist())
+        both |= set(toxicity.pair_keys(words[:-1], words[1:]).tolist())
+    assert [set(x[0].tolist()) for x in (units[0], contexts, bigrams)] == [seconds, firsts, both]
+
+
 # ---- op 2 ---------------------------------------------------------------------------------------
 
 def brute_repeats(rows, window):

@@ -22,8 +22,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that recur across a source's documents go; a document stays, with n_chars of what is left."""
-    out = lines.drop_boilerplate(docs, "source", counts=False)
+    """Lines that recur across a source's documents go; a document stays, with n_chars of what is left.
+
+    Copies count as one document here: near-duplicate removal, which follows, keeps one of them with its text.
+    """
+    out = lines.drop_boilerplate(docs, "source", counts=False, once=True)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -12,8 +12,9 @@ in a join by host.  Their number is checked: up to ``BROADCAST_KEYS`` they are b
 not shuffled; beyond that the join is by host, with skewed hosts split by adaptive execution.
 
 Lines are compared by a pair of hashes (64 and 32 bits) within their host.  A null host is a host of its
-own; a null text has no lines and stays null.  Repeated rows are pages of their own.  Input columns are
-kept; ``n_lines``, ``n_dropped`` replace columns of those names.
+own; a null text has no lines and stays null.  Repeated rows are pages of their own, unless ``once`` counts
+pages of a host with the same lines as one (else many copies of one text would make its lines boilerplate
+and empty every copy).  Input columns are kept; ``n_lines``, ``n_dropped`` replace columns of those names.
 """
 
 from __future__ import annotations
@@ -40,11 +41,13 @@ def bare(line: Column) -> Column:
     return F.trim(line, F.lit(BLANKS))
 
 
-def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float, min_pages: int) -> DataFrame:
+def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float, min_pages: int, once: bool = False) -> DataFrame:
     """[site, drop: array of line keys] of the hosts that have boilerplate."""
     site = F.coalesce(F.struct(host.cast("string").alias("h")), F.struct(F.lit(None).cast("string").alias("h")))
     flat = pages.select(site.alias("site"), F.array_distinct(
         F.transform(F.filter(F.transform(lines_of(text), bare), lambda s: s != ""), line_key)).alias("keys"))
+    if once:
+        flat = flat.distinct()
     seen = flat.select("site", F.explode("keys").alias("key")).groupBy("site", "key").agg(F.count("*").alias("pages"))
     total = flat.groupBy("site").agg(F.count("*").alias("all_pages"))
     return (seen.where(F.col("pages") >= min_pages).join(total, "site")
@@ -53,15 +56,16 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float, min_
 
 
 def drop_boilerplate(pages: DataFrame, host_col: str | Column = "host", text_col: str = "text", ratio: float = RATIO,
-                     min_pages: int = MIN_PAGES, counts: bool = True) -> DataFrame:
+                     min_pages: int = MIN_PAGES, counts: bool = True, once: bool = False) -> DataFrame:
     """``pages`` with boilerplate lines removed from ``text_col``; with ``counts`` also n_lines, n_dropped.
 
-    n_lines counts lines with content, n_dropped those that went.
+    n_lines counts lines with content, n_dropped those that went.  With ``once`` pages of a host with the same
+    lines count as one page.
     """
     prepare(pages)
     host = pages[f"`{host_col}`"] if isinstance(host_col, str) else host_col
     text = pages[f"`{text_col}`"].cast("string")
-    drops = held(boilerplate(pages, host, text, ratio, min_pages))
+    drops = held(boilerplate(pages, host, text, ratio, min_pages, once))
     if (drops.agg(F.sum(F.size("drop") + 4)).first()[0] or 0) <= BROADCAST_KEYS:
         drops = F.broadcast(drops)
     names = ("n_lines", "n_dropped") if counts else ()

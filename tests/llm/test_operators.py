@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from proxlab.llm import bpe, common, decontaminate, langid, lines, lmscore, pii, queries, simhash, substring, topk, toxicity
 from test_corpus_queries import brute_components, brute_fingerprint
 
@@ -234,6 +235,18 @@ def test_line_dedup_without_broadcast(spark, monkeypatch):
     assert a[0][2] == "body 0"
 
 
+@pytest.mark.parametrize("others, copies", [(60, 30), (0, 4)])
+def test_pipeline_keeps_one_of_a_large_copy_group(spark, others, copies):
+    rng = random.Random(9)
+    copied = text(rng, 30, [f"c{i}" for i in range(99)]) + "\n" + text(rng, 30, [f"d{i}" for i in range(99)])
+    rows = [(i, "Menu\n" + text(rng, 40, [f"o{i}x{j}" for j in range(99)]), "s", 0) for i in range(others)]
+    rows += [(1000 + i, copied, "s", 0) for i in range(copies)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    left = corpus_pipeline.drop_boilerplate_lines(spark, docs, "")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_near_duplicates(spark, left, "").collect()}
+    assert got == {**{i: t.removeprefix("Menu\n") for i, t, *_ in rows[:others]}, 1000: copied}
+
+
 # ---- op 7 ---------------------------------------------------------------------------------------
 
 def test_language_small(spark):

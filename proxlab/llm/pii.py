@@ -6,7 +6,8 @@ lower case, digits as 0).  Strings of looser form (a telephone number without a
 misread digit, an address written "name at host dot org") are candidates; so the pattern-instance graph has
 an edge wherever a pattern precedes a seed or a candidate.  Spark scores it iteratively: an instance's
 confidence is 1 for seeds and otherwise 1 - product(1 - confidence of its patterns); a pattern's confidence for a kind is the
-mean confidence, as that kind, of its distinct instances, and 0 under ``min_seeds`` distinct seeds.  After ``rounds``
+mean confidence, as that kind, of its distinct instances scored so far, where seeds of other kinds count as 0 and candidates
+not yet scored do not count, and it is 0 under ``min_seeds`` distinct seeds.  After ``rounds``
 rounds, candidates that follow a pattern of at least ``min_confidence`` are found.  Seeds always stay; what is
 found never overlaps them, and of overlapping finds the earlier, then longer one stays.
 
@@ -102,11 +103,12 @@ def left_patterns(text: str, start: int) -> list[str]:
 
 def loose_emails(text: str) -> list[tuple[int, int]]:
     """Addresses with spelled-out signs, or with a host of one part; a spelled-out sign needs a dot in the host."""
-    out, floor = [], 0
+    out, floor, after = [], 0, 0
     for m in LOOSE_AT.finditer(text):
+        before, after = after, m.end()  # no name reaches over an earlier sign
         if m.start() <= floor:
             continue
-        name = text[max(floor, m.start() - 64):m.start()]
+        name = text[max(floor, before):m.start()]
         start = m.start() - (len(name) - len(name.rstrip(EMAIL_NAME)))
         host = LOOSE_HOST.match(text, m.end()) if start < m.start() else None
         if host and (m.group() == "@" or re.search(r"\.|dot", host.group(), re.IGNORECASE)):
@@ -163,7 +165,7 @@ def mentions(docs: DataFrame, key: str, text_col: str) -> DataFrame:
 
 
 def normal_instance(text: str) -> str:
-    return re.sub(r"[\s().-]+", "", text.lower())[:200]
+    return re.sub(r"[\s().-]+", "", text.lower())
 
 
 def trusted_patterns(found: DataFrame, rounds: int, min_confidence: float, min_seeds: int) -> DataFrame:
@@ -171,21 +173,20 @@ def trusted_patterns(found: DataFrame, rounds: int, min_confidence: float, min_s
     flat = lambda col, seed: (found.select(F.explode(col).alias("m"))
                               .select(F.explode("m.patterns").alias("pattern"), F.col("m.kind").alias("kind"), F.col("m.instance").alias("instance"), F.lit(seed).alias("seed")))
     edges = (flat("seeds", 1).unionAll(flat("others", 0)).groupBy("pattern", "kind", "instance").agg(F.max("seed").alias("seed")))
-    # a pattern without enough seeds of a kind never gains confidence in it: its edges only weigh on others' means
-    strong = edges.groupBy("pattern", "kind").agg(F.sum("seed").alias("seeds"), F.count("*").alias("n"))
-    whole = strong.groupBy("pattern").agg(F.sum("n").alias("all"))
-    able = strong.where(F.col("seeds") >= min_seeds).join(whole, "pattern")
+    # a pattern without enough seeds of a kind never gains confidence in it
+    strong = edges.groupBy("pattern", "kind").agg(F.sum("seed").alias("seeds"))
+    whole = strong.groupBy("pattern").agg(F.sum("seeds").alias("all_seeds"))
+    able = strong.where(F.col("seeds") >= min_seeds).join(whole, "pattern").select("pattern", "kind", (F.col("all_seeds") - F.col("seeds")).alias("against"))
     edges = saved(edges.join(able, ["pattern", "kind"]), "pattern-instances")
-    scored = edges.withColumn("belief", F.col("seed").cast("double"))
+    scored = edges.withColumn("belief", F.when(F.col("seed") == 1, F.lit(1.0)))
     for i in range(rounds):
-        patterns = (scored.groupBy("pattern", "kind").agg((F.sum("belief") / F.max("all")).alias("confidence")))
+        # sums and counts leave out candidates without a belief
+        patterns = scored.groupBy("pattern", "kind").agg((F.sum("belief") / (F.count("belief") + F.max("against"))).alias("confidence"))
         if i == rounds - 1:
             return patterns.where(F.col("confidence") >= min_confidence).select("pattern", "kind")
-        # unsure patterns say nothing about their instances
-        told = edges.join(patterns.where(F.col("confidence") >= min_confidence), ["pattern", "kind"]).groupBy("kind", "instance").agg(
+        told = edges.where("seed = 0").join(patterns, ["pattern", "kind"]).groupBy("kind", "instance").agg(
             (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("told"))
-        scored = edges.join(told, ["kind", "instance"], "left").withColumn(
-            "belief", F.when(F.col("seed") == 1, F.lit(1.0)).otherwise(F.coalesce("told", F.lit(0.0))))
+        scored = edges.join(told, ["kind", "instance"], "left").withColumn("belief", F.when(F.col("seed") == 1, F.lit(1.0)).otherwise(F.col("told")))
     return edges.select("pattern", "kind").limit(0)
 
 

@@ -182,6 +182,21 @@ def test_pii_learns_contexts(spark):
     assert pii.extract(df.limit(0)).count() == 0
 
 
+def test_pii_finds_in_a_context_of_few_seeds(spark):
+    rows = [(i, f"q{i} ring us on +1 (212) 555-{1000 + i} now") for i in range(8)] + [(100 + i, f"q{i} ring us on 212 555 {7000 + i} now") for i in range(8)]
+    # as many addresses as numbers follow "via": it says nothing
+    rows += [(200 + i, f"r{i} sent via +1 (212) 555-{2000 + i} or") for i in range(6)] + [(300 + i, f"r{i} sent via me{i}@host.org or") for i in range(6)]
+    rows += [(400, "r sent via 212 555 8000 or")]
+    got = pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", F.size("found").alias("n")).collect()
+    assert {r.doc_id for r in got if r.n} == {100 + i for i in range(8)}
+
+
+def test_pii_long_names_and_instances_stay_whole():
+    name = "a" * 100
+    assert pii.loose_emails(f"x {name} at host dot org {name}@b") == [(2, 118), (119, 221)]
+    assert pii.normal_instance("a" * 300) != pii.normal_instance("a" * 301)
+
+
 @pytest.mark.parametrize("t", ["a@b.c@d.e x_y@z.w", "1.2.3.4.5.6.7.8 300.1.1.1 001.002.003.004", "4111 1111 1111 1111 4111-1111-1111-1111-1", "+1 234 567 89() +12",
                                "9" * 5000, "a" * 50_000 + "@", "@.@a@b.cc@", "x@y.z.", "+" * 2000 + "1" * 9])
 def test_pii_base_forms(t):

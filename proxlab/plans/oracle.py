@@ -22,6 +22,8 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def _norm(v):
     if v is None:
         return None
+    if v is pd.NA:  # a null in a column of whole numbers; Spark's side holds NaN there
+        return "nan"
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, scratch_path, ship_package
@@ -172,3 +172,28 @@ def components(edges: DataFrame, hi: str = "a", lo: str = "b") -> DataFrame:
         e = new
         if state["most"] == 1 and not new.select("v").join(tops.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").take(1):
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def numbered(df: DataFrame, order: list[Column], out: str, name: str) -> tuple[DataFrame, int]:
+    """(``df`` with ``out``, its rows' gapless numbers from 0 in ascending ``order``, nulls first; number of rows).
+
+    Rows are ranged over partitions by the order, with a running number as the last key, so that equal rows, however
+    many, spread over partitions; the ranged rows are written with their place, so that lost executors change no
+    number.  Only the row counts of the written partitions reach the driver.
+    """
+    spark = df.sparkSession
+    prepare(df)
+    kept = df.columns
+    row = df.select(F.struct(*[df[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(kept)]).alias("row"),
+                    *[c.alias(f"k{i}") for i, c in enumerate(order)]).withColumn("tie", F.monotonically_increasing_id())
+    keys = [*[f"k{i}" for i in range(len(order))], "tie"]
+    ranged = row.repartitionByRange(*keys).sortWithinPartitions(*keys).select("row", F.monotonically_increasing_id().alias("place"))
+    placed = saved(ranged, name).select("row", F.shiftright("place", 33).alias("part"), F.col("place").bitwiseAND((1 << 33) - 1).alias("at"))
+    sizes = sorted((r["part"], r["count"]) for r in placed.groupBy("part").count().collect())
+    before, total = [], 0
+    for part, n in sizes:
+        before.append((part, total))
+        total += n
+    starts = spark.createDataFrame(before, "part long, start long")
+    out_rows = placed.join(F.broadcast(starts), "part")
+    return out_rows.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(kept)], (F.col("start") + F.col("at")).alias(out)), total

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, lines, lmscore, pii, simhash, substring, topk, toxicity
+from . import bpe, decontaminate, langid, lines, lmscore, periods, pii, resample, shards, simhash, substring, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -188,3 +188,99 @@ FROM z LEFT JOIN x ON z.doc_id = x.doc_id
 def op10_lm_score(spark, sf_dir):
     out = lmscore.score(table(spark, sf_dir, "documents"), order=2)
     return out.withColumn("logprob", F.round("logprob", 4)).withColumn("score", F.round("score", 6))
+
+
+#: crc32 of a list of bytes in SQL: a table of 256 remainders by its rule, then one step a byte
+CRC_TABLE = """
+crc AS (SELECT list(c ORDER BY i) AS tab FROM (
+  SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+  FROM (SELECT unnest(range(256)) AS i)))"""
+
+
+def crc_sql(text: str) -> str:
+    """crc32 of a text column, beside the table's one row."""
+    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), "
+            f"lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)")
+
+
+OP11_SQL = rf"""
+WITH {CRC_TABLE.strip()},
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS w FROM d),
+qw AS (SELECT unnest(w) AS w FROM q),
+b AS (SELECT w, {crc_sql("w")} % 10000 AS bucket FROM (SELECT DISTINCT w FROM (SELECT w FROM dw UNION ALL SELECT w FROM qw)), crc),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN b USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM qw JOIN b USING (w) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM dw) AS all_s, (SELECT count(*) FROM qw) AS all_t),
+g AS (SELECT s.bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000)::DOUBLE) / ((s.s + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS gain
+      FROM s LEFT JOIN t ON s.bucket = t.bucket, n),
+x AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM dw JOIN b USING (w) JOIN g USING (bucket) GROUP BY doc_id),
+y AS (SELECT d.doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+             ('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN x ON d.doc_id = x.doc_id),
+z AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM y),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM z WHERE n_features >= 20)
+SELECT z.*, CASE WHEN rank <= floor(10 * n / 100) THEN rank END AS rank FROM z LEFT JOIN r ON z.doc_id = r.doc_id
+"""
+
+
+@register("op11_resample", OP11_SQL)
+def op11_resample(spark, sf_dir):
+    out = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+SHARDS = 40
+
+OP12_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE.strip()},
+d AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS size, {crc_sql("coalesce(text, '')")} AS text_crc32 FROM documents, crc),
+o AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS n FROM d),
+c AS (SELECT total, a, greatest(1, ((total + a - 1) // a))::BIGINT AS b FROM (
+  SELECT total, greatest(1, ceil(sqrt(total)))::BIGINT AS a FROM (SELECT count(*)::BIGINT AS total FROM d))),
+f AS (
+  SELECT n, n // b AS l, n % b AS r, 0 AS turn FROM o, c
+  UNION ALL
+  SELECT n, CASE WHEN turn = {shards.ROUNDS} THEN l ELSE r END,
+         CASE WHEN turn = {shards.ROUNDS} THEN r ELSE (l + ('0x' || substr(md5('{shards.SEED}:' || turn || ':' || r), 1, 15))::BIGINT
+              % (CASE WHEN turn % 2 = 0 THEN a ELSE b END)) % (CASE WHEN turn % 2 = 0 THEN a ELSE b END) END,
+         CASE WHEN turn = {shards.ROUNDS} THEN 0 ELSE turn + 1 END
+  FROM f, c WHERE turn < {shards.ROUNDS} OR l * b + r >= total),
+p AS (SELECT n, l * b + r AS p FROM f, c WHERE turn = {shards.ROUNDS} AND l * b + r < total)
+SELECT doc_id, size + 16 AS size, text_crc32, 'rows' AS law, (p % {SHARDS})::INTEGER AS shard, (p // {SHARDS})::BIGINT AS slot, NULL::INTEGER AS grown_shard
+FROM o JOIN p ON o.n = p.n
+"""
+
+
+@register("op12_shards", OP12_SQL)
+def op12_shards(spark, sf_dir):
+    """The law is `rows`: the permuted row number decides, so that counts differ by one at most."""
+    docs = table(spark, sf_dir, "documents")
+    narrow = docs.select("doc_id", shards.text_bytes(docs["text"]).alias("bytes"), shards.text_crc32(docs["text"]).alias("text_crc32"))
+    out = shards.assign(narrow, SHARDS, order=(narrow["text_crc32"], narrow["bytes"]))
+    return out.select("doc_id", (F.col("bytes") + 16).alias("size"), "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
+def made_periodic(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Some texts as the contract alters them: where crc32(key) % 10 = 0, words from one on repeat the words after it."""
+    h = F.crc32(F.col(key).cast("string").cast("binary"))
+    staged = docs.withColumn("_words", F.when(h % 10 == 0, F.filter(F.split(text_col, r"[\x20\x09-\x0D]+"), lambda w: w != "")))
+    staged = staged.withColumn("_n", F.size("_words")).withColumn("_g", F.floor(h / 10).cast("long"))
+    staged = staged.withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")))
+    staged = staged.withColumn("_p", 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8)).cast("long"))
+    word = lambda i: F.get("_words", F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int"))
+    changed = F.array_join(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), word), " ")
+    return staged.withColumn(text_col, F.when(F.col("_a").isNotNull(), changed).otherwise(F.col(text_col))).drop("_words", "_n", "_g", "_a", "_p")
+
+
+@register("op13_periodic_runs")
+def op13_periodic_runs(spark, sf_dir):
+    out = periods.detect(made_periodic(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.element_at(F.sort_array(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p")))), 1)
+    out = out.withColumn("_best", F.when(F.size("runs") > 0, best))
+    length = -F.col("_best.l")
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("_best.s").alias("start"), length.alias("length"),
+                      F.col("_best.p").alias("period"), F.floor(1000 * length / F.col("_best.p")).cast("long").alias("exponent_milli"),
+                      F.sha2(periods.as_lines("runs"), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_array, components, held, prepare
+from .common import column_array, components, prepare, saved
 
 SHINGLE_WORDS, MAX_BITS = 4, 4
 SEED = 42
@@ -189,7 +189,7 @@ def near_links(fps: DataFrame, col: str = "fp", max_bits: int = MAX_BITS, segmen
     """
     prepare(fps)
     spark = fps.sparkSession
-    distinct = held(fps.select(F.col(col).alias("fp")).where("fp is not null").distinct())
+    distinct = saved(fps.select(F.col(col).alias("fp")).where("fp is not null").distinct(), "fingerprints")
     some = distinct.orderBy(F.xxhash64("fp"), "fp").limit(sample).toArrow()["fp"].to_numpy().astype(np.int64).view(np.uint64)
     if not len(some):
         return spark.createDataFrame([], "a long, b long")
@@ -233,7 +233,7 @@ def near_links(fps: DataFrame, col: str = "fp", max_bits: int = MAX_BITS, segmen
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS,
                     max_bits: int = MAX_BITS, segments: int | None = None) -> DataFrame:
     """[key, fp, component_id] for every row of ``docs``; component_id is the smallest key that links reach."""
-    rows = held(fingerprints(docs.select(F.col(key).alias("k"), F.col(text_col).alias("text")), shingle_words))
+    rows = saved(fingerprints(docs.select(F.col(key).alias("k"), F.col(text_col).alias("text")), shingle_words), "document-fingerprints")
     roots = components(near_links(rows.where("k is not null"), "fp", max_bits, segments), "a", "b")
     groups = (rows.where("k is not null").groupBy("fp").agg(F.min("k").alias("low"))
               .join(roots, F.col("fp") == F.col("node"), "left")

@@ -10,8 +10,8 @@ length-normalized log-likelihoods under the two models, over the whole document
 short windows (a few insults in a long text would drown in its mean).  A logistic calibration, fitted on
 labelled rows kept out of the counts, turns the evidence into a score in 0..1.
 
-Fitting reads a bounded sample of the labelled rows: at most ``max_rows`` documents per class, by hash
-order of their ids.  Counting is a Spark aggregation; every word, beginning, context and bigram of the counted
+Fitting reads a bounded sample of the labelled rows: at most ``max_rows`` documents and ``max_bytes`` of text per
+class, by hash order of their ids; single texts over a sixteenth of ``max_bytes`` are not learned from.  Counting is a Spark aggregation; every word, beginning, context and bigram of the counted
 documents reaches the driver, and every worker, as sorted 64-bit hashes with a 32-bit ratio (12 bytes each),
 so the sample alone bounds them.  Scoring is one narrow pass over whole texts.
 
@@ -27,14 +27,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import column_array, held, prepare, saved, span_hashes, text_buffer, text_slices, word_spans
 from .decontaminate import FOLD
 
-MAX_ROWS = 10_000
+MAX_ROWS, MAX_BYTES = 10_000, 32 << 20
 STEMS = (6, 4)  # bytes of a word's beginnings
 WINDOWS = (1, 4, 16)
 THRESHOLD = 0.3
@@ -82,7 +82,7 @@ def count_pairs(sample: DataFrame, text_col: str) -> DataFrame:
         for batch in batches:
             label = np.asarray(column_array(batch, "toxic")).astype(np.int64)
             buf, offsets = text_buffer(column_array(batch, text_col))
-            for lo, hi, b, off in text_slices(buf, offsets, 8 << 20):
+            for lo, hi, b, off in text_slices(buf, offsets):
                 (words, *stems), n = words_of(b, off)
                 if len(words) < 2:
                     continue
@@ -252,8 +252,8 @@ def with_evidence(rows: DataFrame, shared, text_col: str, keep: list[str]) -> Da
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, key: str = "doc_id", text_col: str = "text",
-        label_col: str = "toxic", max_rows: int = MAX_ROWS):
-    """A broadcast ``Model`` learned from at most ``max_rows`` labelled documents per class.
+        label_col: str = "toxic", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES):
+    """A broadcast ``Model`` learned from at most ``max_rows`` labelled documents and ``max_bytes`` of text per class.
 
     ``usable`` (over the labels' columns) says which labels may be learned from.
     """
@@ -269,7 +269,14 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, key: s
     part = F.pmod(F.xxhash64("k"), F.lit(CALIBRATION_PARTS))
     picked = [one.where(F.col("toxic") == c).orderBy(F.xxhash64("k", F.lit(1)), "k").limit(max_rows) for c in (0, 1)]
     picked = held(picked[0].unionAll(picked[1]).withColumn("counted", part != 0))
-    texts = held(docs.select(F.col(key).alias("k"), F.col(text_col).alias("text")).join(F.broadcast(picked), "k"))
+    named = docs.select(F.col(key).alias("k"), F.col(text_col).alias("text"))
+    # at most 2 max_rows sizes; the texts of what fits are then read and kept
+    size = F.coalesce(F.sum(F.octet_length("text")), F.lit(0))
+    sizes = named.join(F.broadcast(picked), "k").groupBy("k", "toxic").agg(size.alias("size")).where(F.col("size") <= max_bytes // 16)
+    upto = Window.partitionBy("toxic").orderBy(F.xxhash64("k", F.lit(1)), "k").rowsBetween(Window.unboundedPreceding, 0)
+    fits = sizes.withColumn("upto", F.sum("size").over(upto)).where(F.col("upto") <= max_bytes)
+    picked_fit = held(picked.join(F.broadcast(fits.select("k")), "k"))
+    texts = held(named.join(F.broadcast(picked_fit), "k"))
     pairs = held(count_pairs(texts.where("counted"), "text"))
     units, contexts, bigrams, unknown = count_models(pairs)
     model = Model(base, unknown, tuple(units), contexts, bigrams)
@@ -277,7 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, key: s
     rest = with_evidence(texts.where("NOT counted"), shared, "text", ["toxic"]).toArrow()
     shared.destroy()
     y = rest["toxic"].to_numpy().astype(np.float64)
-    for frame in (one, picked, texts, pairs):
+    for frame in (one, picked, picked_fit, texts, pairs):
         frame.unpersist()
     if not 0 < y.sum() < len(y):
         return spark.sparkContext.broadcast(Model(base))

@@ -181,13 +181,14 @@ def test_pipeline_against_brute_force(spark, documents):
     docs = documents[documents.doc_id.isin(scored[scored.predicted == 0].doc_id)].copy()
     # line dedup by source
     bare = lambda s: s.strip(" \t\r")
-    pages = docs.groupby("source").size()
-    seen = {}
-    for t, s in zip(docs.text, docs.source):
-        for line in {bare(x) for x in t.split("\n")} - {""}:
-            seen[s, line] = seen.get((s, line), 0) + 1
-    drop = {k for k, n in seen.items() if n >= 4 and n > pages[k[0]] * 0.05}
-    docs["text"] = ["\n".join(x for x in t.split("\n") if (s, bare(x)) not in drop) for t, s in zip(docs.text, docs.source)]
+    content = lambda t: tuple(dict.fromkeys(bare(x) for x in t.split("\n") if bare(x)))
+    pages = {s: len({content(t) for t in g}) for s, g in docs.groupby("source").text}
+    bearers = {}
+    for i, t, s in sorted(zip(docs.doc_id, docs.text, docs.source)):
+        for line in content(t):
+            bearers.setdefault((s, line), {}).setdefault(content(t), i)
+    drop = {k: next(iter(b)) for k, b in bearers.items() if len(b) >= 4 and len(b) > pages[k[0]] * 0.05}
+    docs["text"] = ["\n".join(x for x in t.split("\n") if drop.get((s, bare(x)), content(t)) == content(t)) for t, s in zip(docs.text, docs.source)]
     comp = brute_components([brute_fingerprint(t) for t in docs.text], docs.doc_id.tolist())
     docs = docs[docs.doc_id == comp]
     items = pd.read_parquet(f"{SF}/benchmark.parquet")

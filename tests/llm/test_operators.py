@@ -259,7 +259,57 @@ def test_pipeline_keeps_one_of_a_large_copy_group(spark, others, copies):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
     left = corpus_pipeline.drop_boilerplate_lines(spark, docs, "")
     got = {r.doc_id: r.text for r in corpus_pipeline.drop_near_duplicates(spark, left, "").collect()}
-    assert got == {**{i: t.removeprefix("Menu\n") for i, t, *_ in rows[:others]}, 1000: copied}
+    # the first bearer keeps the line
+    assert got == {**{i: t if i == 0 else t.removeprefix("Menu\n") for i, t, *_ in rows[:others]}, 1000: copied}
+
+
+def test_pipeline_keeps_the_text_that_near_copies_share(spark):
+    rng = random.Random(11)
+    shared = [text(rng, 12, [f"s{i}x{j}" for j in range(50)]) for i in range(10)]
+    rows = [(i, text(rng, 40, [f"o{i}x{j}" for j in range(99)]), "s", 0) for i in range(40)]
+    rows += [(100 + i, "\n".join([*shared, f"tail {i}"]), "s", 0) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    kept = corpus_pipeline.drop_near_duplicates(spark, corpus_pipeline.drop_boilerplate_lines(spark, docs, ""), "").collect()
+    whole = [r for r in kept if all(x in r.text for x in shared)]
+    assert [(r.doc_id, r.text, r.n_chars) for r in whole] == [(100, rows[40][1], len(rows[40][1]))]
+    assert {r.doc_id: r.text for r in kept if r.doc_id < 100} == {i: t for i, t, *_ in rows[:40]}
+
+
+def test_line_dedup_keeps_first_bearers(spark):
+    rows = [(5, "h", "Menu\nfive"), (3, "h", "Menu\nthree"), (3, "h", "Menu\nthree"), (8, "h", "three\nMenu"), (9, "h", "Menu\nnine"), (None, "h", "Menu\nnone"),
+            (7, None, "Menu"), (10, "h", None), (11, "h", "eleven")]
+    df = spark.createDataFrame(rows, "page_id long, host string, text string").withColumn("page", F.lit(0)).withColumn("first", F.lit("x"))
+    got = lines.drop_boilerplate(df, ratio=0.2, min_pages=2, once=True, keep_first="page_id")
+    assert got.columns == [*df.columns, "n_lines", "n_dropped"]
+    assert sorted(((r.page_id, r.text, r.n_dropped) for r in got.collect()), key=str) == sorted([
+        (5, "five", 1), (3, "Menu\nthree", 0), (3, "Menu\nthree", 0), (8, "", 2), (9, "nine", 1), (None, "none", 1), (7, "Menu", 0), (10, None, 0), (11, "eleven", 0)], key=str)
+
+
+STAGE_ROWS = [(1, "plain words of no harm", "s"), (1, "plain words of no harm", "s"), (2, None, None), (3, "", "s"), (None, "no id here at all", "s"),
+              (4, "w " * 40_000 + "end", "t"), (5, "plain words of no harm", "s"), (1, "another text under one id", "s")]
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES])
+def test_pipeline_stages_on_hostile_rows(spark, stage):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.createDataFrame([(*r, "en", 7, 0.5, "p", 1) for r in STAGE_ROWS],
+                                 "doc_id long, text string, source string, lang string, n_chars long, score double, items string, rows int")
+    out = stage(spark, docs, sf).toPandas()
+    none = stage(spark, docs.limit(0), sf)
+    assert none.count() == 0 and none.columns == out.columns.tolist()
+    ids = sorted(-1 if pd.isna(i) else int(i) for i in out.doc_id)
+    if stage is corpus_pipeline.encode_tokens:
+        assert ids == [-1, 1, 1, 1, 2, 3, 4, 5]
+        assert (out[out.doc_id.isin([2, 3])].n_tokens == 0).all()
+        return
+    assert out.columns.tolist() == docs.columns
+    assert (out["score"] == 0.5).all() and (out["items"] == "p").all() and (out["rows"] == 1).all() and (out.lang == "en").all()
+    if stage is corpus_pipeline.drop_near_duplicates:
+        # 1 and 5 are copies, 2 and 3 both have no word; of the rows of doc_id 1 one stays
+        assert ids == [-1, 1, 2, 4]
+    else:
+        assert ids == [-1, 1, 1, 1, 2, 3, 4, 5]
+        assert out.set_index("doc_id").text[4.0].startswith("w w")
 
 
 # ---- op 7 ---------------------------------------------------------------------------------------

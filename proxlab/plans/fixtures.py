@@ -177,3 +177,10 @@ def embeddings_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
         b = t if b is None else b + t
     noise = (F.pmod(F.col("vec_id") * HASH_MUL[0], F.lit(NOISE_MOD)).cast("double") / 1000.0 - 1.0) * EMB_NOISE_AMP
     return e.select("vec_id", (b + noise).alias("label"), "features")
+
+
+def sql_embeddings_planted() -> str:
+    """[f: DOUBLE[], label] of :func:`embeddings_planted`."""
+    b = " + ".join(f"e[{j + 1}] * CAST({w!r} AS DOUBLE)" for j, w in EMB_SUPPORT.items())
+    noise = f"(CAST(((vec_id * {HASH_MUL[0]}) % {NOISE_MOD}) AS DOUBLE) / 1000.0 - 1.0) * CAST({EMB_NOISE_AMP!r} AS DOUBLE)"
+    return f"SELECT e AS f, {b} + {noise} AS label FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) q"

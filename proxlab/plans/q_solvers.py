@@ -61,7 +61,10 @@ for _name, _pen in (("fista_lasso", "l1"), ("fista_ridge", "l2"), ("fista_lhalf"
     register(_name, sg.fista_sql(DESIGN_SQL, N, _pen, LAM_SQL, STEP_SQL, MAXIT))(_fista_query(_pen))
 
 
-@register("fista_backtracking")
+LIST_DESIGN = sg.list_design(DESIGN_SQL, N)
+
+
+@register("fista_backtracking", sg.fista_search_sql(LIST_DESIGN, N, "l1", LAM_SQL, MAXIT))
 def q_fista_backtracking(spark, sf_dir):
     """V1 as in the reference: start at step 1, backtrack by 2 (<= 20 trials), double every 10th."""
     op = _op(spark, sf_dir)
@@ -101,8 +104,9 @@ for _layout, _it in (("rows", MAXIT), ("cols", MAXIT_COLS)):
         _nm = f"admm_{'momentum_' if _mom else ''}{_layout}"
         register(_nm, sg.admm_sql(DESIGN_SQL, N, "l1", LAM_SQL, ADMM_BETA, STEP_SQL, _it, _mom))(
             _admm_query(_layout, _mom, False, _it))
-    # V7/V8: momentum + step drawback; the line search is checked by tests (rows == cols)
-    register(f"admm_drawback_{_layout}")(_admm_query(_layout, True, True, _it))
+    # V7/V8: momentum + step drawback, one trial per step of the recursion
+    register(f"admm_drawback_{_layout}", sg.admm_search_sql(LIST_DESIGN, N, "l1", LAM_SQL, ADMM_BETA, STEP_SQL, _it))(
+        _admm_query(_layout, True, True, _it))
 
 
 @register("loss_history", sg.fista_sql(DESIGN_SQL, N, "l1", LAM_SQL, STEP_SQL, MAXIT, history=True))
@@ -182,13 +186,16 @@ register("fista_lasso_pass", sg.fista_sql(DESIGN_SQL, N, "l1", LAM_SQL, STEP_SQL
     lambda spark, sf_dir: _weights(spark, _run_fista(spark, sf_dir, "l1", method="pass")))
 
 
-@register("fista_lasso_embeddings")
+EMB_LAM, EMB_MAXIT = 1e-3, 300
+
+
+@register("fista_lasso_embeddings", sg.fista_search_sql(fx.sql_embeddings_planted(), 64, "l1", f"{sg.d(EMB_LAM)} * CAST(m AS DOUBLE)", EMB_MAXIT))
 def q_fista_lasso_embeddings(spark, sf_dir):
     """V1 on the 64-feature embeddings with a 6-sparse planted signal (Arrow Gram kernel, n > 24)."""
     df = fx.embeddings_planted(spark, sf_dir)
     op = linalg.make_operator(df, 64)
     try:
-        res = solvers.fista(op, lam=1e-3 * op.m, penalty="l1", maxit=300, step=1.0, line_search=True)
+        res = solvers.fista(op, lam=EMB_LAM * op.m, penalty="l1", maxit=EMB_MAXIT, step=1.0, line_search=True)
     finally:
         op.close()
     return _weights(spark, res)

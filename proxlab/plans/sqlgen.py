@@ -177,3 +177,94 @@ it AS (
                  {d(0.5)} * ({d(1.0)} + sqrt({d(1.0)} + {d(4.0)} * t * t)) AS tn FROM (
             SELECT it.*, {v}, {_cols_from_q(n)}, Q.lam, Q.u FROM it, Q WHERE it.k < {maxit}) q0) q1) q2) q3) q4)
 {_unpivot(n, f'(SELECT * FROM it WHERE k = {maxit})', {'weight': 'x', 'extrapolated': 'z'})}"""
+
+
+# ---------------------------------------------------------------- line searches, on lists
+
+def list_design(design: str, n: int) -> str:
+    """A design of scalar columns f0.. as one of [f: DOUBLE[], label]."""
+    return f"SELECT [{_cols('f', n)}] AS f, label FROM ({design}) q"
+
+
+def list_moments_cte(n: int) -> str:
+    """P: G (list of rows), c, bb, m, tr of A = [f, label]."""
+    return f"""P AS MATERIALIZED (SELECT
+  (SELECT list(r ORDER BY i) FROM (SELECT i, list(s ORDER BY j) AS r FROM (
+     SELECT i, j, sum(f[i] * f[j]) AS s FROM A, range(1, {n + 1}) a(i), range(1, {n + 1}) b(j) GROUP BY i, j) q GROUP BY i) q2) AS G,
+  (SELECT list(s ORDER BY j) FROM (SELECT j, sum(f[j] * label) AS s FROM A, range(1, {n + 1}) b(j) GROUP BY j) q) AS c,
+  sum(label * label) AS bb, count(*) AS m, sum(list_dot_product(f, f)) AS tr FROM A)"""
+
+
+def each(n: int, expr: str) -> str:
+    """List of ``expr`` over i = 1 .. n."""
+    return f"list_transform(range(1, {n + 1}), lambda i: {expr})"
+
+
+def image(v: str) -> str:
+    """G v of a list."""
+    return f"list_transform(G, lambda r: list_dot_product(r, {v}))"
+
+
+def _accepted(step: str, dd: str = "dd", dgd: str = "dgd") -> str:
+    return f"({dd} = {d(0.0)} OR {dgd} <= {dd} / ({d(2.0)} * {step}))"
+
+
+def _trial_end(step: str, shrink: float, max_trials: int) -> str:
+    """ok, the step and number of trials after this one, and whether the iteration ends: columns of a trial."""
+    ok = _accepted(step)
+    return (f"CASE WHEN {ok} THEN {step} ELSE {step} / {d(shrink)} END AS s1, CASE WHEN {ok} THEN trials ELSE trials + 1 END AS trials1, "
+            f"({ok} OR trials + 1 >= {max_trials}) AS done")
+
+
+def _lists_out(n: int, src: str, cols: dict[str, str]) -> str:
+    sel = ", ".join(f"{rnd(f'{p}[i]')} AS {name}" for name, p in cols.items())
+    return f"SELECT CAST(i - 1 AS INTEGER) AS feat_id, {sel} FROM {src} f, range(1, {n + 1}) r(i)"
+
+
+def fista_search_sql(design: str, n: int, penalty: str, lam: str, maxit: int, step: float = 1.0, shrink: float = 2.0, max_trials: int = 20) -> str:
+    """FISTA with backtracking, one recursion step per trial; ``design`` gives [f: list, label]."""
+    zero = each(n, d(0.0))
+    return f"""WITH RECURSIVE A AS ({design}), {list_moments_cte(n)},
+Q AS MATERIALIZED (SELECT *, {lam} AS lam FROM P),
+it AS (
+  SELECT 0 AS k, 0 AS trials, {d(step)} AS s, {d(1.0)} AS t, {zero} AS x, {zero} AS z
+  UNION ALL
+  SELECT CASE WHEN done THEN k + 1 ELSE k END AS k, CASE WHEN done THEN 0 ELSE trials1 END AS trials,
+         CASE WHEN done AND (k + 1) % 10 = 0 THEN s1 * {d(2.0)} ELSE s1 END AS s,
+         CASE WHEN done THEN tn ELSE t END AS t, CASE WHEN done THEN nx ELSE x END AS x,
+         CASE WHEN done THEN {each(n, f'nx[i] + (t - {d(1.0)}) / tn * (nx[i] - x[i])')} ELSE z END AS z
+  FROM (SELECT *, {_trial_end('s', shrink, max_trials)} FROM (
+    SELECT *, list_dot_product(e, e) AS dd, list_dot_product(e, {image('e')}) AS dgd FROM (
+      SELECT *, {each(n, 'nx[i] - z[i]')} AS e FROM (
+        SELECT *, {each(n, prox_sql(penalty, 'v[i]', '(lam * s)'))} AS nx FROM (
+          SELECT *, {each(n, 'z[i] - s * (gz[i] - c[i])')} AS v FROM (
+            SELECT it.*, Q.G, Q.c, Q.lam, {image('z')} AS gz, {d(0.5)} * ({d(1.0)} + sqrt({d(1.0)} + {d(4.0)} * t * t)) AS tn
+            FROM it, Q WHERE it.k < {maxit}) q1) q2) q3) q4) q5) q6)
+{_lists_out(n, f'(SELECT * FROM it WHERE k = {maxit})', {'weight': 'x', 'extrapolated': 'z'})}"""
+
+
+def admm_search_sql(design: str, n: int, penalty: str, lam: str, beta: float, u: str, maxit: int, shrink: float = 2.0, max_trials: int = 20) -> str:
+    """ADMM with momentum and step drawback, one recursion step per trial; ``design`` gives [f: list, label]."""
+    B, zero = d(beta), each(n, d(0.0))
+    return f"""WITH RECURSIVE A AS ({design}), {list_moments_cte(n)},
+Q AS MATERIALIZED (SELECT *, {lam} AS lam, {u} AS u0 FROM P),
+it AS (
+  SELECT 0 AS k, 0 AS trials, u0 AS u, {d(1.0)} AS t, {d(0.0)} AS gm, {d(0.0)} AS ep, {zero} AS x, {zero} AS z, {zero} AS a, {zero} AS dd_ FROM Q
+  UNION ALL
+  SELECT CASE WHEN done THEN k + 1 ELSE k END AS k, CASE WHEN done THEN 0 ELSE trials1 END AS trials,
+         CASE WHEN done AND (k + 1) % 10 = 0 THEN s1 * {d(2.0)} ELSE s1 END AS u,
+         CASE WHEN done THEN tn ELSE t END AS t, CASE WHEN done THEN gn ELSE gm END AS gm, CASE WHEN done THEN en ELSE ep END AS ep,
+         CASE WHEN done THEN nx ELSE x END AS x,
+         CASE WHEN done THEN {each(n, f'nx[i] + (t - {d(1.0)}) / tn * (nx[i] - x[i])')} ELSE z END AS z,
+         CASE WHEN done THEN an ELSE a END AS a, CASE WHEN done THEN dn ELSE dd_ END AS dd_
+  FROM (SELECT *, {_trial_end('u', shrink, max_trials)} FROM (
+    SELECT *, list_dot_product(e, e) AS dd, list_dot_product(e, {image('e')}) AS dgd FROM (
+      SELECT *, {each(n, 'nx[i] - z[i]')} AS e FROM (
+        SELECT *, {each(n, prox_sql(penalty, f'(z[i] - u * (gw[i] + (gn / {B} - en) * c[i]))', f'(lam * u / {B})'))} AS nx FROM (
+          SELECT *, {image('w')} AS gw FROM (
+            SELECT *, {each(n, f'z[i] - dn[i] + an[i] / {B}')} AS w FROM (
+              SELECT *, {each(n, f'({B} * z[i] + an[i]) / ({d(1.0)} + {B})')} AS dn, ({d(1.0)} + gn) / ({d(1.0)} + {B}) AS en FROM (
+                SELECT it.*, Q.G, Q.c, Q.lam, {each(n, f'a[i] + {B} * (z[i] - dd_[i])')} AS an, gm - {B} * ep AS gn,
+                       {d(0.5)} * ({d(1.0)} + sqrt({d(1.0)} + {d(4.0)} * t * t)) AS tn
+                FROM it, Q WHERE it.k < {maxit}) q1) q2) q3) q4) q5) q6) q7) q8)
+{_lists_out(n, f'(SELECT * FROM it WHERE k = {maxit})', {'weight': 'x', 'extrapolated': 'z'})}"""

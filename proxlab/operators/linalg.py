@@ -199,8 +199,24 @@ class Residual:
     """||A x - b||^2 as a sum of squares, in one pass (no cancellation)."""
 
     def residual_sq(self, x: np.ndarray) -> float:
-        r = dot_lit(self.features, x) - F.col(self.label)
-        return float(self.df.agg(F.sum(r * r).alias("r2")).first()["r2"] or 0.0)
+        if self.n <= JVM_UNROLL_MAX:
+            r = dot_lit(self.features, x) - F.col(self.label)
+            return float(self.df.agg(F.sum(r * r).alias("r2")).first()["r2"] or 0.0)
+        # one literal per feature would make the plan grow with n: the vector is broadcast instead
+        n, features, label = self.n, self.features, self.label
+        shared = self.df.sparkSession.sparkContext.broadcast(np.asarray(x, float))
+
+        def kernel(batches):
+            total = 0.0
+            for batch in batches:
+                if batch.num_rows:
+                    r = _batch_matrix(batch, features, n) @ shared.value - _batch_vector(batch, label)
+                    total += float(r @ r)
+            yield pa.RecordBatch.from_arrays([pa.array([total])], names=["r2"])
+
+        out = self.df.select(features, label).mapInArrow(kernel, "r2 double").agg(F.sum("r2")).first()[0]
+        shared.destroy()
+        return float(out or 0.0)
 
 
 class GramOperator(Residual):

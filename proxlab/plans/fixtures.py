@@ -13,6 +13,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.linalg import to_coo
+from ..operators.numbering import numbered
+from ..session import scratch_path
+from ..sources.text import write_column_lines
+
 LINEITEM_IDS = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
 
 # fixed values of the planted lineitem problem
@@ -82,6 +87,15 @@ def embeddings_design(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.transform("embedding", lambda v: v.cast("double")).alias("features"))
 
 
+def column_files(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Paths of the planted problem as text: A^T with one column per line, b with one number per line, rows in key order."""
+    rows, _ = numbered(lineitem_design(spark, sf_dir), [F.col(c) for c in LINEITEM_IDS], "row_id", "design-rows")
+    columns, b = scratch_path(spark, "columns"), scratch_path(spark, "right-hand-side")
+    write_column_lines(to_coo(rows, ["row_id"], keep_zeros=True), columns)
+    rows.orderBy("row_id").select(F.col("label").cast("string")).write.text(b)
+    return columns, b
+
+
 # ------------------------------------------------------------------ SQL side (DuckDB oracle)
 
 SQL_FEATS = ["l_quantity / 50.0", "l_discount * 10.0", "l_tax * 10.0", "CAST(1.0 AS DOUBLE)"]

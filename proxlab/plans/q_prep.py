@@ -87,6 +87,16 @@ def q_column_layout(spark, sf_dir):
     return linalg.to_coo(fx.lineitem_design(spark, sf_dir), IDS)
 
 
+_NUMBERED = f"SELECT row_number() OVER (ORDER BY {IDS_SQL}) - 1 AS row_id, f0, f1, f2, f3 FROM ({D_PLANT}) A"
+
+
+@register("column_text_entries", " UNION ALL ".join(
+    f"SELECT row_id, CAST({j} AS BIGINT) AS feat_id, f{j} AS value FROM ({_NUMBERED}) B WHERE f{j} <> 0" for j in range(4)))
+def q_column_text_entries(spark, sf_dir):
+    """A^T as text, one matrix column per line, read back as entries keyed by line number and place in the line."""
+    return text.read_column_entries(spark, fx.column_files(spark, sf_dir)[0])
+
+
 @register("libsvm_roundtrip", f"SELECT label, f0, f1, f2, f3 FROM ({D_BIN}) A")
 def q_libsvm_roundtrip(spark, sf_dir):
     """Write LibSVM (1-based indices), read back 0-based with a given width."""

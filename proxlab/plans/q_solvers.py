@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vec import dot_lit
-from ..operators import linalg, solvers
+from ..operators import blocks, linalg, solvers
+from ..sources import text
 from . import fixtures as fx
 from . import sqlgen as sg
 from .registry import register, rnd
@@ -87,9 +88,9 @@ def q_apg(spark, sf_dir):
     return _weights(spark, res)
 
 
-def _admm_query(layout, momentum, line_search, maxit):
+def _admm_query(momentum, line_search, maxit):
     def q(spark, sf_dir):
-        op = _op(spark, sf_dir, layout=layout)
+        op = _op(spark, sf_dir)
         try:
             res = solvers.admm(op, lam=LAM_PER_ROW * op.m, penalty="l1", beta=ADMM_BETA, u=1.0 / op.trace,
                                maxit=maxit, momentum=momentum, line_search=line_search, track=False)
@@ -99,14 +100,28 @@ def _admm_query(layout, momentum, line_search, maxit):
     return q
 
 
+def _admm_columns_query(momentum, line_search, maxit):
+    """V4/V6/V8 from the files of the column layout: A^T one column per line, b one number per line."""
+    def q(spark, sf_dir):
+        columns, b = fx.column_files(spark, sf_dir)
+        matrix = blocks.from_column_lines(text.read_indexed_lines(spark, columns))
+        rhs = blocks.row_vector(text.read_vector_lines(spark, b), matrix.m)
+        res = blocks.admm(matrix, rhs, lam=LAM_PER_ROW * matrix.m, penalty="l1", beta=ADMM_BETA, u=1.0 / matrix.trace,
+                          maxit=maxit, momentum=momentum, line_search=line_search)
+        matrix.close()
+        return res.weights().select("feat_id", rnd("weight").alias("weight"), rnd("extrapolated").alias("extrapolated"))
+    return q
+
+
 for _layout, _it in (("rows", MAXIT), ("cols", MAXIT_COLS)):
+    _make = _admm_columns_query if _layout == "cols" else _admm_query
     for _mom in (False, True):
         _nm = f"admm_{'momentum_' if _mom else ''}{_layout}"
         register(_nm, sg.admm_sql(DESIGN_SQL, N, "l1", LAM_SQL, ADMM_BETA, STEP_SQL, _it, _mom))(
-            _admm_query(_layout, _mom, False, _it))
+            _make(_mom, False, _it))
     # V7/V8: momentum + step drawback, one trial per step of the recursion
     register(f"admm_drawback_{_layout}", sg.admm_search_sql(LIST_DESIGN, N, "l1", LAM_SQL, ADMM_BETA, STEP_SQL, _it))(
-        _admm_query(_layout, True, True, _it))
+        _make(True, True, _it))
 
 
 @register("loss_history", sg.fista_sql(DESIGN_SQL, N, "l1", LAM_SQL, STEP_SQL, MAXIT, history=True))

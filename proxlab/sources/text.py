@@ -92,6 +92,22 @@ def to_dense_lines(df: DataFrame, label: str = "label", features: str = "feature
     return df.select(*keep, F.array_join(F.transform(arr, lambda v: v.cast("string")), sep).alias("value"))
 
 
+def read_column_entries(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """A matrix with one column per line -> its non-zero entries ``[row_id: long, feat_id: long, value]``.
+
+    The place in a line is the row, the line number the column.
+    """
+    lines = read_indexed_lines(spark, path, sep)
+    entries = lines.select("feat_id", F.posexplode("features").alias("row_id", "value"))
+    return entries.where(F.col("value") != 0.0).select(F.col("row_id").cast("long").alias("row_id"), "feat_id", "value")
+
+
+def write_column_lines(entries: DataFrame, path: str, sep: str = ",", row: str = "row_id") -> None:
+    """The inverse: all entries (zeros included) of ``[row, feat_id, value]``, one line per column, lines in column order."""
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(row, "value"))), lambda e: e["value"].cast("string")), sep)
+    entries.groupBy("feat_id").agg(line.alias("line")).orderBy("feat_id").select("line").write.mode("overwrite").text(path)
+
+
 def write_vector_lines(df: DataFrame, path: str, index: str = "feat_id", value: str = "value") -> None:
     """Write an n-vector one value per line in index order (one small file; n is bounded)."""
     (df.orderBy(index).select(F.col(value).cast("string").alias("value")).coalesce(1)

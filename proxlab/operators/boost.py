@@ -2,113 +2,104 @@
 
 Published method (Chen & Guestrin 2016; Ke et al. 2017), expressed as Spark jobs:
 
-* bin edges per feature from one aggregation (exact for few distinct values, else quantiles);
-* every value is binned once; the persisted state of a row is its bins (small integers), its label and
-  its margins.  A pass adds the trees that the stored margins lack, at most ``UPDATE_ROUNDS`` a class;
-  then the margins are updated and written as a reliable checkpoint.  So a round costs the same whether
-  it is the first or the hundredth, and no chain of plans grows;
+* features stay sparse; every value is binned once (``bins.py``: edges from a mergeable quantile summary, exclusive
+  features in bundles).  The persisted state of a row is one code per bundle, its label, its fold and its margins;
+* any number of models (folds, grid points) grow in the same passes: rows carry their fold, and a model reads the rows
+  of the other folds.  After each round all models' new trees are added to the margins in the pass that
+  builds the next round's first histograms; every ``CUT_ROUNDS`` rounds the state becomes a reliable checkpoint;
 * per pass, one ``mapInArrow`` job: rows find their node in the growing trees and add gradient, hessian
-  and count into a per-partition histogram ``[node, feature, bin]``; partial histograms are summed across
-  partitions (collected directly when partitions x histogram size is small, else by a grouped shuffle).
-  Only the smaller child's histogram is built, the other is the parent's less it;
-* the driver picks splits with
+  and count into sums by (model, node, code).  The sums of a feature's absent entries follow by difference;
+* splits maximize
   gain = 1/2 [s(G_L)^2/(H_L+lambda) + s(G_R)^2/(H_R+lambda) - s(G)^2/(H+lambda)] - gamma,
-  s = soft threshold by alpha, ``min_child_weight`` on H, and a learned default direction for
-  missing values (bin 0: null/NaN, and 0.0 when ``zeroAsMissing``);
+  s = soft threshold by alpha, ``min_child_weight`` on H, a row minimum, and a learned default direction for
+  missing values (null/NaN, and 0.0 when ``zeroAsMissing``).  They are chosen in Spark (a window per (model, node,
+  feature), then the best of each node), which sends one row per node to the driver; where a pass has at most
+  ``DRIVER_CELLS`` sums (a fixed bound), the sums are collected and searched there instead, which spares two stages,
+  and only the smaller child's are built, the other's being the parent's less it;
 * ``growth="depth"`` splits every splittable node per level (max_depth); ``growth="leaf"`` commits
-  splits strictly by gain until ``num_leaves`` is reached; children of open leaves are histogrammed
+  splits strictly by gain until ``num_leaves`` is reached; children of open leaves are looked at
   ahead, so one pass serves many splits.
 
 Objectives: ``binary:logistic``, ``multi:softprob`` (K trees per round, grown in the same
-passes) and ``reg:squarederror``.  The fitted model scores with an Arrow-batched pandas UDF
-(vectorized tree traversal).
+passes) and ``reg:squarederror``.  A fitted model is a table of tree nodes, saved as Parquet; it scores with an Arrow
+UDF over a broadcast of that table.
 """
 
 from __future__ import annotations
 
-import json
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReader, MLWriter
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import checkpoint_dir, spread
+from ..session import checkpoint_dir, ship_package, spread
+from .bins import FeatureBins, entries, find_bins
 from .linalg import DIRECT_COLLECT_MAX, _batch_matrix, _batch_vector
 
 OBJECTIVES = ("binary:logistic", "multi:softprob", "reg:squarederror")
+#: rounds between two reliable checkpoints of the state
+CUT_ROUNDS = 10
+#: sums of one pass that the driver may search; beyond, Spark does
+DRIVER_CELLS = 2_000_000
+#: codes up to which the driver keeps an open node's sums, so that only the smaller child's need be built
+KEPT_CODES = 1 << 14
+#: sums that a task holds densely; beyond, it sends the sums of each batch
+TASK_CELLS = 4_000_000
 
 
-# ---------------------------------------------------------------- tree arrays
+# ---------------------------------------------------------------- trees
 
-def _new_tree():
-    return {"feature": [-1], "bin": [0], "thr": [0.0], "default_left": [True], "left": [-1], "right": [-1],
-            "value": [0.0], "depth": [0]}
+NODE = {"feature": -1, "bin": 0, "thr": 0.0, "default_left": True, "left": -1, "right": -1, "value": 0.0, "depth": 0}
 
 
-def _tree_np(t):
+def _new_tree() -> dict[str, list]:
+    return {k: [v] for k, v in NODE.items()}
+
+
+def _tree_np(t: dict) -> dict[str, np.ndarray]:
     return {k: np.asarray(v) for k, v in t.items()}
 
 
-def _missing_mask(A: np.ndarray, zero_missing: bool) -> np.ndarray:
-    m = np.isnan(A)
-    if zero_missing:
-        m |= A == 0.0
-    return m
-
-
-def _predict_tree(t, A, miss):
-    """Raw-value traversal (thresholds); vectorized over rows."""
-    node = np.zeros(A.shape[0], dtype=np.int64)
-    feat, thr, dl, left, right = t["feature"], t["thr"], t["default_left"], t["left"], t["right"]
-    rows = np.arange(A.shape[0])
-    for _ in range(int(t["depth"].max()) + 1):
-        f = feat[node]
-        inner = f >= 0
-        if not inner.any():
-            break
-        fi = np.where(inner, f, 0)
-        x = A[rows, fi]
-        ms = miss[rows, fi]
-        go_left = np.where(ms, dl[node], x <= thr[node])
-        node = np.where(inner, np.where(go_left, left[node], right[node]), node)
-    return t["value"][node]
-
-
-def _node_of(t, Bn):
-    """Bin-space traversal of a partial tree (bins: 0 = missing)."""
-    node = np.zeros(Bn.shape[0], dtype=np.int64)
-    feat, b, dl, left, right = t["feature"], t["bin"], t["default_left"], t["left"], t["right"]
-    rows = np.arange(Bn.shape[0])
-    for _ in range(int(t["depth"].max()) + 1):
-        f = feat[node]
-        inner = f >= 0
-        if not inner.any():
-            break
-        fi = np.where(inner, f, 0)
-        x = Bn[rows, fi]
-        go_left = np.where(x == 0, dl[node], x <= b[node])
-        node = np.where(inner, np.where(go_left, left[node], right[node]), node)
+def _descend(t: dict, rows: int, goes_left) -> np.ndarray:
+    """The leaf of each row; ``goes_left(rows, nodes)`` decides at inner nodes."""
+    node = np.zeros(rows, np.int64)
+    live = np.arange(rows)
+    while len(live):
+        live = live[t["feature"][node[live]] >= 0]
+        at = node[live]
+        node[live] = np.where(goes_left(live, at), t["left"][at], t["right"][at])
     return node
 
 
-def _grad_hess(objective, F_, y, K):
+def _leaf_of(t: dict, codes: np.ndarray, bins: FeatureBins) -> np.ndarray:
+    """Leaves of binned rows in a (partial) tree."""
+
+    def goes_left(rows, at):
+        f = t["feature"][at]
+        place = codes[rows, bins.bundle[f]] - 1 - bins.start[f]
+        place = np.where((place >= 0) & (place < bins.start[f + 1] - bins.start[f]), place, bins.default[f])
+        return np.where(place == 0, t["default_left"][at], place <= t["bin"][at])
+
+    return _descend(t, len(codes), goes_left)
+
+
+def _grad_hess(objective, margins, y, K):
     if objective == "binary:logistic":
-        p = 1.0 / (1.0 + np.exp(-F_[:, 0]))
+        p = 1.0 / (1.0 + np.exp(-margins[:, 0]))
         return (p - y)[:, None], np.maximum(p * (1.0 - p), 1e-16)[:, None]
     if objective == "reg:squarederror":
-        return (F_[:, 0] - y)[:, None], np.ones((len(y), 1))
-    mx = F_.max(axis=1, keepdims=True)
-    e = np.exp(F_ - mx)
+        return (margins[:, 0] - y)[:, None], np.ones((len(y), 1))
+    e = np.exp(margins - margins.max(axis=1, keepdims=True))
     p = e / e.sum(axis=1, keepdims=True)
     onehot = np.zeros_like(p)
     onehot[np.arange(len(y)), y.astype(np.int64)] = 1.0
@@ -125,351 +116,232 @@ def _score(G, H, lam, alpha):
         return s * s / (H + lam)
 
 
-# ---------------------------------------------------------------- the estimator
-
-class _BoostParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):
-    objective = Param(Params._dummy(), "objective", "one of " + ", ".join(OBJECTIVES),
-                      typeConverter=TypeConverters.toString)
-    numRound = Param(Params._dummy(), "numRound", "boosting rounds", typeConverter=TypeConverters.toInt)
-    maxDepth = Param(Params._dummy(), "maxDepth", "max depth (-1: unlimited for leaf growth)",
-                     typeConverter=TypeConverters.toInt)
-    eta = Param(Params._dummy(), "eta", "learning rate", typeConverter=TypeConverters.toFloat)
-    gamma = Param(Params._dummy(), "gamma", "minimum split gain", typeConverter=TypeConverters.toFloat)
-    minChildWeight = Param(Params._dummy(), "minChildWeight", "minimum hessian per child",
-                           typeConverter=TypeConverters.toFloat)
-    regLambda = Param(Params._dummy(), "regLambda", "L2 on leaf weights", typeConverter=TypeConverters.toFloat)
-    regAlpha = Param(Params._dummy(), "regAlpha", "L1 on leaf weights", typeConverter=TypeConverters.toFloat)
-    zeroAsMissing = Param(Params._dummy(), "zeroAsMissing", "treat 0.0 as missing",
-                          typeConverter=TypeConverters.toBoolean)
-    maxBins = Param(Params._dummy(), "maxBins", "histogram bins per feature", typeConverter=TypeConverters.toInt)
-    growth = Param(Params._dummy(), "growth", "depth | leaf", typeConverter=TypeConverters.toString)
-    numLeaves = Param(Params._dummy(), "numLeaves", "leaves per tree (leaf growth)",
-                      typeConverter=TypeConverters.toInt)
-    boostFromAverage = Param(Params._dummy(), "boostFromAverage", "start from the label mean / log-odds",
-                             typeConverter=TypeConverters.toBoolean)
-    numClass = Param(Params._dummy(), "numClass", "classes for multi:softprob (0: from data)",
-                     typeConverter=TypeConverters.toInt)
+# ---------------------------------------------------------------- split search
 
-    minDataInLeaf = Param(Params._dummy(), "minDataInLeaf", "minimum rows per child", typeConverter=TypeConverters.toInt)
+@dataclass(frozen=True)
+class Split:
+    gain: float
+    feature: int
+    bin: int            # bins up to this one go left
+    default_left: bool
+    left: tuple         # (G, H) of the left child
+    right: tuple
 
-    def __init__(self):
-        super().__init__()
-        self._setDefault(minDataInLeaf=0, objective="binary:logistic", numRound=20, maxDepth=6, eta=0.3, gamma=0.0,
-                         minChildWeight=1.0, regLambda=1.0, regAlpha=0.0, zeroAsMissing=False, maxBins=64,
-                         growth="depth", numLeaves=31, boostFromAverage=False, numClass=0)
 
+@dataclass(frozen=True)
+class SplitRule:
+    lam: float
+    alpha: float
+    gamma: float
+    min_child_weight: float
+    min_rows: int
+    max_depth: int
+    leaves: int | None  # leaf budget of best-first growth; None: level by level
+    eta: float
 
-class HistBoost(Estimator, _BoostParams, DefaultParamsReadable, DefaultParamsWritable):
-    @keyword_only
-    def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction",
-                 objective="binary:logistic", numRound=20, maxDepth=6, eta=0.3, gamma=0.0, minChildWeight=1.0,
-                 regLambda=1.0, regAlpha=0.0, zeroAsMissing=False, maxBins=64, growth="depth", numLeaves=31,
-                 boostFromAverage=False, numClass=0, minDataInLeaf=0):
-        super().__init__()
-        self._set(**self._input_kwargs)
+    @property
+    def least_rows(self) -> float:
+        return max(1, self.min_rows) - 0.5  # subtracted counts are whole up to rounding
 
-    @keyword_only
-    def setParams(self, **kwargs):
-        return self._set(**kwargs)
 
-    # -------------------------------------------------------------- fit
-    def _fit(self, dataset: DataFrame) -> "HistBoostModel":
-        spark = dataset.sparkSession
-        g = self.getOrDefault
-        objective = g(self.objective)
-        if objective not in OBJECTIVES:
-            raise ValueError(f"objective {objective!r} not in {OBJECTIVES}")
-        zero_missing = g(self.zeroAsMissing)
-        fcol = dataset.schema[g(self.featuresCol)].dataType
-        feats = (vector_to_array(g(self.featuresCol), "float64") if not fcol.typeName().startswith("array")
-                 else F.col(g(self.featuresCol)).cast("array<double>"))
-        data = dataset.select(feats.alias("features"), F.col(g(self.labelCol)).cast("double").alias("label"))
-        data = spread(data).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            return self._fit_data(spark, data, objective, zero_missing)
-        finally:
-            data.unpersist()
-
-    def _fit_data(self, spark, data, objective, zero_missing):
-        g = self.getOrDefault
-        first = data.select(F.size("features").alias("n")).first()
-        if first is None:
-            raise ValueError("empty training data")
-        n = int(first["n"])
-        stats = data.agg(F.max("label").alias("mx"), F.avg("label").alias("mean")).first()
-        K = 1
-        if objective == "multi:softprob":
-            K = g(self.numClass) or int(stats["mx"]) + 1
-        base = np.zeros(K)
-        if g(self.boostFromAverage):
-            if objective == "binary:logistic":
-                p = min(max(float(stats["mean"]), 1e-6), 1 - 1e-6)
-                base[:] = math.log(p / (1 - p))
-            elif objective == "reg:squarederror":
-                base[:] = float(stats["mean"])
-        edges = self._edges(data, n, zero_missing)
-        nb = max(len(e) for e in edges) + 2            # bin 0 missing, 1..len(e)+1 values
-        trees: list[list[dict]] = [[] for _ in range(K)]
-        state = binned(data, n, edges, base, zero_missing).persist(StorageLevel.MEMORY_AND_DISK)
-        self._nparts = state.rdd.getNumPartitions()
-        recent: list[list[dict]] = [[] for _ in range(K)]  # trees that the stored margins lack
-        try:
-            for r in range(1, g(self.numRound) + 1):
-                new = self._grow_round(spark, state, n, K, nb, edges, objective, recent)
-                for k in range(K):
-                    trees[k].append(new[k])
-                    recent[k].append(new[k])
-                if r % UPDATE_ROUNDS == 0 and r < g(self.numRound):
-                    checkpoint_dir(spark)
-                    old, state = state, with_margins(state, recent, n).checkpoint().persist(StorageLevel.MEMORY_AND_DISK)
-                    old.unpersist()
-                    recent = [[] for _ in range(K)]
-        finally:
-            state.unpersist()
-        model = HistBoostModel(featuresCol=g(self.featuresCol), predictionCol=g(self.predictionCol),
-                               objective=objective, zeroAsMissing=zero_missing,
-                               treesJson=json.dumps({"base": base.tolist(), "trees": trees}))
-        return model
-
-    def _edges(self, data, n, zero_missing):
-        """Bin edges per feature: all distinct values when they fit in ``maxBins - 1`` (exact bins),
-        else quantiles from ``percentile_approx``; both from aggregations, nothing per row."""
-        maxb = self.getOrDefault(self.maxBins)
-        probs = F.array(*[F.lit(i / maxb) for i in range(1, maxb)])
-        xs = []
-        for j in range(n):
-            x = F.col("features")[j]
-            miss = F.isnan(x) | x.isNull()
-            if zero_missing:
-                miss = miss | (x == 0.0)
-            xs.append(F.when(~miss, x))
-        aggs = [F.percentile_approx(x, probs, 4 * maxb).alias(f"q{j}") for j, x in enumerate(xs)]
-        aggs += [F.approx_count_distinct(x).alias(f"d{j}") for j, x in enumerate(xs)]
-        row = data.agg(*aggs).first()
-        edges = [np.unique(np.asarray([v for v in (row[f"q{j}"] or []) if v is not None], dtype=float))
-                 for j in range(n)]
-        low = [j for j in range(n) if (row[f"d{j}"] or 0) <= maxb - 1]
-        if low:
-            exact = data.agg(*[F.array_sort(F.collect_set(xs[j])).alias(f"s{j}") for j in low]).first()
-            for j in low:
-                vals = exact[f"s{j}"] or []
-                if len(vals) <= maxb - 1:
-                    edges[j] = np.asarray(vals, dtype=float)
-        return edges
-
-    def _grow_round(self, spark, state, n, K, nb, edges, objective, recent):
-        """One tree per class.  Every pass builds the histograms that the growing trees ask for."""
-        g = self.getOrDefault
-        rule = _SplitRule(g(self.regLambda), g(self.regAlpha), g(self.gamma), g(self.minChildWeight), g(self.minDataInLeaf),
-                          g(self.maxDepth) if g(self.maxDepth) >= 0 else 64, g(self.numLeaves) if g(self.growth) == "leaf" else None)
-        growers = [_Grower(rule, edges) for _ in range(K)]
-        while True:
-            slots = [(k, node) for k in range(K) for node in growers[k].wanted()]
-            if not slots:
-                break
-            stats = self._histograms(spark, state, n, nb, [t.arrays() for t in growers], slots, objective, recent)
-            for s, (k, node) in enumerate(slots):
-                growers[k].receive(node, *(x[s] for x in stats))
-            for t in growers:
-                t.commit()
-        return [t.finish(g(self.eta)) for t in growers]
-
-    def _histograms(self, spark, state, n, nb, growing, slots, objective, recent):
-        """Sums of gradient, hessian and rows by (slot, feature, bin), one pass over the binned rows."""
-        S, K = len(slots), len(growing)
-        bc = spark.sparkContext.broadcast({"growing": growing, "slots": slots, "recent": [[_tree_np(t) for t in ts] for ts in recent]})
-        size = S * n * nb
-
-        def kernel(batches):
-            p = bc.value
-            maps = []
-            for k, t in enumerate(p["growing"]):
-                m = np.full(len(t["feature"]), -1, dtype=np.int64)
-                for s, (kk, node) in enumerate(p["slots"]):
-                    if kk == k:
-                        m[node] = s
-                maps.append(m)
-            sums = np.zeros((3, size))
-            for b in batches:
-                if b.num_rows == 0:
-                    continue
-                Bn = _bins(b, n)
-                gr, he = _grad_hess(objective, _add_trees(_batch_matrix(b, "margins", K), Bn, p["recent"]), _batch_vector(b, "label"), K)
-                for k, t in enumerate(p["growing"]):
-                    sl = maps[k][_node_of(t, Bn)]
-                    keep = sl >= 0
-                    if not keep.any():
-                        continue
-                    idx = ((sl[keep, None] * n + np.arange(n)[None, :]) * nb + Bn[keep]).ravel()
-                    sums[0] += np.bincount(idx, weights=np.repeat(gr[keep, k], n), minlength=size)
-                    sums[1] += np.bincount(idx, weights=np.repeat(he[keep, k], n), minlength=size)
-                    sums[2] += np.bincount(idx, minlength=size)
-            nz = np.nonzero(sums[2])[0]
-            yield pa.RecordBatch.from_arrays([pa.array(nz.astype(np.int64)), *(pa.array(x[nz]) for x in sums)], names=["k", "g", "h", "c"])
-        try:
-            parts = state.mapInArrow(kernel, "k long, g double, h double, c double")
-            if self._nparts * size > DIRECT_COLLECT_MAX:
-                parts = parts.groupBy("k").agg(*[F.sum(c).alias(c) for c in "ghc"])
-            tbl = parts.toArrow()
-        finally:
-            bc.destroy()
-        k = tbl.column("k").to_numpy()
-        return [np.bincount(k, weights=tbl.column(c).to_numpy(), minlength=size).reshape(S, n, nb) for c in "ghc"]
-
-
-#: rounds between two updates (and reliable checkpoints) of the stored margins
-UPDATE_ROUNDS = 10
-
-
-def _add_trees(margins: np.ndarray, Bn: np.ndarray, trees: list[list[dict]]) -> np.ndarray:
-    out = margins.copy()
-    for k, ts in enumerate(trees):
-        for t in ts:
-            out[:, k] += t["value"][_node_of(t, Bn)]
+def whole_sums(sums: np.ndarray, total: np.ndarray, bins: FeatureBins) -> np.ndarray:
+    """[G, H, C] by code with the absent entries' sums filled in: the node's total less the other bins'."""
+    out = sums.copy()
+    out[:, bins.start[:-1] + bins.default] += total[:, None] - np.add.reduceat(sums, bins.start[:-1], axis=1)
     return out
 
 
-def binned(data: DataFrame, n: int, edges: list[np.ndarray], base: np.ndarray, zero_missing: bool) -> DataFrame:
-    """``[bins: array<short>, label, margins: array<double>]``: every value is binned once."""
-    bc = data.sparkSession.sparkContext.broadcast((edges, base))
-
-    def run(batches):
-        cuts, start = bc.value
-        for b in batches:
-            A = _batch_matrix(b, "features", n)
-            miss = _missing_mask(A, zero_missing)
-            Bn = np.zeros(A.shape, dtype=np.int16)
-            for j in range(n):
-                Bn[:, j] = np.searchsorted(cuts[j], np.where(miss[:, j], 0.0, A[:, j]), "left") + 1
-            Bn[miss] = 0
-            yield _state_batch(Bn, b.column(b.schema.get_field_index("label")), np.tile(start, (len(A), 1)))
-
-    return data.select("features", "label").mapInArrow(run, STATE_SCHEMA)
-
-
-STATE_SCHEMA = "bins array<short>, label double, margins array<double>"
-
-
-def _state_batch(Bn: np.ndarray, label: pa.Array, margins: np.ndarray) -> pa.RecordBatch:
-    rows = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (Bn, margins)]
-    return pa.RecordBatch.from_arrays([rows[0], label, rows[1]], names=["bins", "label", "margins"])
-
-
-def _bins(batch: pa.RecordBatch, n: int) -> np.ndarray:
-    flat = batch.column(batch.schema.get_field_index("bins")).flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(-1, n).astype(np.int64)
-
-
-def with_margins(state: DataFrame, recent: list[list[dict]], n: int) -> DataFrame:
-    """The state with the recent trees' values added to the stored margins."""
-    bc = state.sparkSession.sparkContext.broadcast([[_tree_np(t) for t in ts] for ts in recent])
+def best_split(sums: np.ndarray, total: np.ndarray, bins: FeatureBins, rule: SplitRule) -> Split | None:
+    """Best split of one node from its whole sums; None when none has positive gain.
 
-    def run(batches):
-        for b in batches:
-            Bn = _bins(b, n)
-            margins = _add_trees(_batch_matrix(b, "margins", len(bc.value)), Bn, bc.value)
-            yield _state_batch(Bn.astype(np.int16), b.column(b.schema.get_field_index("label")), margins)
+    Of equal gains the first counts: missing values to the left, then the smaller feature, then the smaller bin.
+    """
+    size = np.diff(bins.start)
+    first = bins.start[:-1]
+    missing = sums[:, first]
+    values = sums.copy()
+    values[:, first] = 0.0
+    cum = np.cumsum(values, axis=1)
+    base = np.repeat(cum[:, first], size, axis=1)
+    cum -= base
+    last = np.zeros(bins.codes, bool)
+    last[first] = last[bins.start[1:] - 1] = True
+    at = np.flatnonzero(~last)
+    if not len(at):
+        return None
+    feat = np.repeat(np.arange(bins.n), size)[at]
+    parent = _score(total[0], total[1], rule.lam, rule.alpha)
+    best = None
+    for default_left in (True, False):
+        L = cum[:, at] + (missing[:, feat] if default_left else 0.0)
+        R = total[:, None] - L
+        ok = (L[1] >= rule.min_child_weight) & (R[1] >= rule.min_child_weight) & (L[1] > 0) & (R[1] > 0)
+        ok &= (L[2] > rule.least_rows) & (R[2] > rule.least_rows)
+        gain = 0.5 * (_score(L[0], L[1], rule.lam, rule.alpha) + _score(R[0], R[1], rule.lam, rule.alpha) - parent) - rule.gamma
+        gain = np.where(ok, gain, -np.inf)
+        i = int(np.argmax(gain))
+        if gain[i] > 0 and (best is None or gain[i] > best.gain):
+            j = int(feat[i])
+            best = Split(float(gain[i]), j, int(at[i] - first[j]), default_left, (float(L[0, i]), float(L[1, i])), (float(R[0, i]), float(R[1, i])))
+    return best
 
-    return state.mapInArrow(run, STATE_SCHEMA)
 
+def node_bins(sums: DataFrame, bins: FeatureBins) -> tuple[DataFrame, DataFrame]:
+    """([slot, feat, bin, size, g, h, c] with the absent entries' bins, [slot, G, H, C]) of [slot, code, g, h, c] summed over all rows."""
+    size = np.diff(bins.start)
+    codes = sums.sparkSession.createDataFrame(pa.table({"code": np.arange(bins.codes), "feat": np.repeat(np.arange(bins.n), size),
+                                                        "bin": np.arange(bins.codes) - np.repeat(bins.start[:-1], size), "absent": np.repeat(bins.default, size), "size": np.repeat(size, size)}))
+    total = sums.where(F.col("code") == bins.codes).select("slot", F.col("g").alias("G_all"), F.col("h").alias("H_all"), F.col("c").alias("C_all"))
+    cells = sums.where(F.col("code") < bins.codes).join(codes, "code").select("slot", "feat", "bin", "absent", "size", *"ghc")
+    # the bin that no row names: the node's total less the others
+    rest = (cells.groupBy("slot", "feat", "absent", "size").agg(*[F.sum(x).alias(x) for x in "ghc"]).join(F.broadcast(total), "slot")
+            .select("slot", "feat", F.col("absent").alias("bin"), "size", *[(F.col(f"{x.upper()}_all") - F.col(x)).alias(x) for x in "ghc"]))
+    return cells.drop("absent").unionByName(rest.where(F.col("c") > 0.5)), total
 
-@dataclass(frozen=True)
-class _SplitRule:
-    lam: float
-    alpha: float
-    gamma: float
-    min_child_weight: float
-    min_rows: int
-    max_depth: int
-    leaves: int | None  # leaf budget of best-first growth; None: level by level
-
-    def best(self, G, H, C):
-        return _best_split(G, H, float(G[0].sum()), float(H[0].sum()), self.lam, self.alpha, self.gamma, self.min_child_weight, C, self.min_rows)
 
+def searched(sums: DataFrame, bins: FeatureBins, rules: list[SplitRule]) -> DataFrame:
+    """Best split per slot, in Spark: [slot, G_all, H_all, split: struct or null]; ``rules`` gives each slot's rule.
 
-class _Grower:
+    A window per (slot, feature) runs over at most ``maxBins`` + 2 bins; the best candidate of a slot is an aggregation,
+    pre-aggregated in every task.  What is broadcast is a row per slot.
+    """
+    names = ("lam", "alpha", "gamma", "min_child_weight", "least_rows")
+    by_slot = sums.sparkSession.createDataFrame([(s, *(float(getattr(r, n)) for n in names)) for s, r in enumerate(rules)], "slot long, " + ", ".join(f"{n} double" for n in names))
+    every, total = node_bins(sums, bins)
+    total = total.join(F.broadcast(by_slot), "slot")
+    upto = Window.partitionBy("slot", "feat").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("slot", "feat")
+    valued = lambda x: F.when(F.col("bin") > 0, F.col(x)).otherwise(0.0)
+    cand = every.select("slot", "feat", "bin", "size",
+                        *[F.sum(valued(x)).over(upto).alias(f"{x}l") for x in "ghc"],
+                        *[F.sum(F.when(F.col("bin") == 0, F.col(x)).otherwise(0.0)).over(whole).alias(f"{x}m") for x in "ghc"])
+    cand = cand.where((F.col("bin") > 0) & (F.col("bin") < F.col("size") - 1)).join(F.broadcast(total), "slot")
+    cand = cand.withColumn("default_left", F.explode(F.array(F.lit(True), F.lit(False))))
+    for x in "ghc":
+        cand = cand.withColumn(f"{x}l", F.col(f"{x}l") + F.when(F.col("default_left"), F.col(f"{x}m")).otherwise(0.0))
+
+    def score(g: Column, h: Column) -> Column:
+        s = F.signum(g) * F.greatest(F.abs(g) - F.col("alpha"), F.lit(0.0))
+        return s * s / (h + F.col("lam"))
+
+    gl, hl, cl = (F.col(f"{x}l") for x in "ghc")
+    gr, hr, cr = F.col("G_all") - gl, F.col("H_all") - hl, F.col("C_all") - cl
+    ok = (hl >= F.col("min_child_weight")) & (hr >= F.col("min_child_weight")) & (hl > 0) & (hr > 0) & (cl > F.col("least_rows")) & (cr > F.col("least_rows"))
+    gain = 0.5 * (score(gl, hl) + score(gr, hr) - score(F.col("G_all"), F.col("H_all"))) - F.col("gamma")
+    cand = cand.where(ok).withColumn("gain", gain).where("gain > 0")
+    # descending gain, then missing to the left, then the smaller feature and bin
+    order = F.struct("gain", "default_left", (-F.col("feat")).alias("f"), (-F.col("bin")).alias("b"))
+    best = cand.groupBy("slot").agg(F.max_by(F.struct("gain", "feat", "bin", "default_left", gl.alias("gl"), hl.alias("hl"), gr.alias("gr"), hr.alias("hr")), order).alias("split"))
+    return total.select("slot", "G_all", "H_all").join(best, "slot", "left")
+
+
+# ---------------------------------------------------------------- growth
+
+class Grower:
     """One tree while it grows.
 
-    A leaf's best split is known once its histogram is.  To spare a pass per split, open leaves get
-    tentative children, whose histograms the next pass builds ahead (the smaller child's; the other is
-    the parent's less it); splits are committed strictly by gain (best-first) or all at once (by level),
-    and tentative children of leaves that never split are dropped in the end.
+    A leaf's best split is known once its sums have been searched.  To spare a pass per split, open leaves get
+    tentative children, which the next pass looks at ahead; splits are committed strictly by gain (best-first) or all at
+    once (by level), and tentative children of leaves that never split are dropped in the end.  Where the driver
+    has the sums, only the smaller child's are asked for.
     """
 
-    def __init__(self, rule: _SplitRule, edges: list[np.ndarray]):
-        self.rule, self.edges = rule, edges
+    def __init__(self, rule: SplitRule, bins: FeatureBins):
+        self.rule, self.bins = rule, bins
         self.tree = _new_tree()
-        self.sums: dict[int, tuple] = {}       # node -> (G, H, C) by feature and bin
-        self.best: dict[int, tuple | None] = {}
-        self.open = {0}                        # leaves of the committed tree that may still split
+        self.sums: dict[int, tuple] = {}        # node -> (sums, total) as long as children may need them
+        self.total: dict[int, tuple] = {}       # node -> (G, H)
+        self.best: dict[int, Split | None] = {}
+        self.open = {0}                         # leaves of the committed tree that may still split
         self.inner: set[int] = set()
-        self.sibling: dict[int, tuple[int, int]] = {}
+        self.children: dict[int, tuple[int, int]] = {}  # small child -> (large child, parent)
 
     def arrays(self) -> dict:
         return _tree_np(self.tree)
 
-    def wanted(self) -> list[int]:
-        if 0 not in self.sums:
+    def wanted(self, subtract: bool) -> list[int]:
+        if 0 not in self.best:
             return [0]
         if self.rule.leaves is not None and len(self.inner) + 1 >= self.rule.leaves:
             return []
         asked = []
         for leaf in sorted(self.open):
-            if leaf in self.sums and self.best[leaf] is not None and self.tree["left"][leaf] < 0:
-                asked += self._split(leaf)
-            elif leaf not in self.sums and leaf in self.sibling:
-                asked += [leaf]
+            if self.best.get(leaf) is not None and self.tree["left"][leaf] < 0:
+                asked += self._split(leaf, subtract)
         return asked
 
-    def _split(self, node: int) -> list[int]:
-        """Tentative children of a leaf; returns the child whose histogram must be built, if either may split."""
-        _, j, b, dleft, (_, HL), (_, HR) = self.best[node]
-        t = self.tree
+    def _split(self, node: int, subtract: bool) -> list[int]:
+        """Tentative children of a leaf; returns those whose sums must be built, if they may split."""
+        best, t = self.best[node], self.tree
+        edges = self.bins.edges[best.feature]
         left = len(t["feature"])
-        values = {"feature": j, "bin": b, "thr": float(self.edges[j][b - 1]) if b - 1 < len(self.edges[j]) else float("inf"),
-                  "default_left": dleft, "left": left, "right": left + 1}
-        for key, val in values.items():
+        made = {"feature": best.feature, "bin": best.bin, "thr": float(edges[best.bin - 1]) if best.bin - 1 < len(edges) else math.inf,
+                "default_left": best.default_left, "left": left, "right": left + 1}
+        for key, val in made.items():
             t[key][node] = val
         depth = t["depth"][node] + 1
-        for _ in range(2):
-            for key, val in _new_tree().items():
-                t[key].append(depth if key == "depth" else val[0])
+        for child, total in ((left, best.left), (left + 1, best.right)):
+            for key, val in NODE.items():
+                t[key].append(depth if key == "depth" else val)
+            self.total[child] = total
+            if depth >= self.rule.max_depth:
+                self.best[child] = None
         if depth >= self.rule.max_depth:
             return []
-        small, large = (left, left + 1) if HL <= HR else (left + 1, left)
-        self.sibling[small] = (large, node)
+        if not subtract:
+            return [left, left + 1]
+        small, large = (left, left + 1) if best.left[1] <= best.right[1] else (left + 1, left)
+        self.children[small] = (large, node)
         return [small]
 
-    def receive(self, node: int, G, H, C) -> None:
-        self._know(node, (G, H, C))
-        if node in self.sibling:
-            other, parent = self.sibling[node]
-            self._know(other, tuple(a - b for a, b in zip(self.sums[parent], (G, H, C), strict=True)))
-
-    def _know(self, node: int, sums: tuple) -> None:
-        self.sums[node] = sums
-        self.best[node] = self.rule.best(*sums) if self.tree["depth"][node] < self.rule.max_depth else None
-
-    def commit(self) -> None:
+    def receive_sums(self, node: int, sums: np.ndarray, total: np.ndarray, subtract: bool) -> None:
+        self._know(node, whole_sums(sums, total, self.bins), total, subtract)
+        if node in self.children:
+            other, parent = self.children.pop(node)
+            mine, above = self.sums[node], self.sums.pop(parent)
+            self._know(other, above[0] - mine[0], above[1] - mine[1], subtract)
+
+    def _know(self, node: int, sums: np.ndarray, total: np.ndarray, keep: bool) -> None:
+        if keep:
+            self.sums[node] = (sums, total)
+        split = best_split(sums, total, self.bins, self.rule) if self.tree["depth"][node] < self.rule.max_depth else None
+        self.receive(node, split, (float(total[0]), float(total[1])))
+
+    def give_up_sums(self) -> list[int]:
+        """The larger children that were to follow by subtraction."""
+        large = [x for x, _ in self.children.values()]
+        self.children.clear()
+        self.sums.clear()
+        return large
+
+    def receive(self, node: int, best: Split | None, total: tuple) -> None:
+        self.best[node] = best
+        if node == 0:
+            self.total[0] = total
+
+    def commit(self) -> bool:
+        """Commit what may be; whether anything was."""
+        before = len(self.inner)
         while True:
-            ready = [(self.best[x][0], -x) for x in self.open if x in self.sums and self.best[x] is not None and self.tree["left"][x] >= 0]
+            ready = [(self.best[x].gain, -x) for x in self.open if self.best.get(x) is not None and self.tree["left"][x] >= 0]
             if not ready:
-                return
+                break
             if self.rule.leaves is None:
                 chosen = [-x for _, x in ready]
             else:
-                if len(self.inner) + 1 >= self.rule.leaves or any(x not in self.sums and self.tree["depth"][x] < self.rule.max_depth for x in self.open):
-                    return
-                gains = [(self.best[x][0], -x) for x in self.open if self.best.get(x) is not None]
+                if len(self.inner) + 1 >= self.rule.leaves or any(x not in self.best for x in self.open):
+                    break
+                gains = [(self.best[x].gain, -x) for x in self.open if self.best[x] is not None]
                 if max(gains) not in ready:
-                    return  # the best leaf's children are not there yet
+                    break  # the best leaf's children are not there yet
                 chosen = [-max(ready)[1]]
             for x in chosen:
                 self.open.remove(x)
                 self.inner.add(x)
                 self.open |= {self.tree["left"][x], self.tree["right"][x]}
+        return len(self.inner) > before
 
-    def finish(self, eta: float) -> dict:
+    def finish(self) -> dict:
         """The committed tree, renumbered, with leaf values."""
         kept, todo = [], [0]
         while todo:
@@ -478,129 +350,492 @@ class _Grower:
             if node in self.inner:
                 todo += [self.tree["left"][node], self.tree["right"][node]]
         number = {node: i for i, node in enumerate(kept)}
-        totals = self._totals()
-        out = {key: [] for key in self.tree}
+        out = {key: [] for key in NODE}
         for node in kept:
             split = node in self.inner
-            blank = _new_tree()
-            for key in out:
-                out[key].append(self.tree[key][node] if split or key == "depth" else blank[key][0])
+            for key, blank in NODE.items():
+                out[key].append(self.tree[key][node] if split or key == "depth" else blank)
             if split:
                 out["left"][-1], out["right"][-1] = number[self.tree["left"][node]], number[self.tree["right"][node]]
             else:
-                G, H = totals[node]
-                out["value"][-1] = float(-eta * _soft(G, self.rule.alpha) / (H + self.rule.lam)) if H + self.rule.lam > 0 else 0.0
-        out["default_left"] = [bool(v) for v in out["default_left"]]
+                G, H = self.total[node]
+                out["value"][-1] = float(-self.rule.eta * _soft(G, self.rule.alpha) / (H + self.rule.lam)) if H + self.rule.lam > 0 else 0.0
         return out
 
-    def _totals(self) -> dict[int, tuple[float, float]]:
-        out = {x: (float(s[0][0].sum()), float(s[1][0].sum())) for x, s in self.sums.items()}
-        for node in self.inner:
-            _, _, _, _, left, right = self.best[node]
-            out.setdefault(self.tree["left"][node], left)
-            out.setdefault(self.tree["right"][node], right)
+
+@dataclass
+class Spec:
+    """One model of a fit: its rule, its rounds, and the fold whose rows it must not learn from (None: all rows)."""
+    rule: SplitRule
+    rounds: int
+    fold: int | None = None
+    base: np.ndarray | None = None
+    trees: list = field(default_factory=list)   # per class
+
+
+class Fit:
+    """All models of ``specs``, grown together over one state [codes, label, fold, margins]."""
+
+    def __init__(self, data: DataFrame, bins: FeatureBins, objective: str, K: int, specs: list[Spec], search: str):
+        self.spark, self.bins, self.objective, self.K, self.specs, self.search = data.sparkSession, bins, objective, K, specs, search
+        self.sc = self.spark.sparkContext
+        self.shared = self.sc.broadcast(bins)
+        self.state = self._binned(data).persist(StorageLevel.MEMORY_AND_DISK)
+        self.before: DataFrame | None = None
+        self.partitions = self.state.rdd.getNumPartitions()
+        self.passes = 0
+
+    SCHEMA = "codes array<int>, label double, fold int, margins array<double>"
+
+    @staticmethod
+    def _batch(codes: np.ndarray, label: pa.Array, fold: pa.Array, margins: np.ndarray) -> pa.RecordBatch:
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (codes, margins)]
+        return pa.RecordBatch.from_arrays([lists[0], label, fold, lists[1]], names=["codes", "label", "fold", "margins"])
+
+    def _binned(self, data: DataFrame) -> DataFrame:
+        shared, start = self.shared, np.concatenate([s.base for s in self.specs])
+
+        def run(batches):
+            for b in batches:
+                yield Fit._batch(shared.value.rows(b.column(0)), b.column(1), b.column(2), np.tile(start, (b.num_rows, 1)))
+
+        return data.select("features", "label", "fold").mapInArrow(run, self.SCHEMA)
+
+    @staticmethod
+    def _codes(batch: pa.RecordBatch, width: int) -> np.ndarray:
+        return batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+    def add_trees(self, new: list[list[dict]]) -> None:
+        """The state with one more tree per model and class; it is built by the next pass over it."""
+        shared, K = self.shared, self.K
+        trees = self.sc.broadcast([[_tree_np(t) for t in ts] for ts in new])
+
+        def run(batches):
+            bins = shared.value
+            for b in batches:
+                codes = Fit._codes(b, bins.width)
+                margins = _batch_matrix(b, "margins", len(trees.value) * K).copy()
+                for m, ts in enumerate(trees.value):
+                    for k, t in enumerate(ts):
+                        margins[:, m * K + k] += t["value"][_leaf_of(t, codes, bins)]
+                yield Fit._batch(codes, b.column(1), b.column(2), margins)
+
+        if self.before is not None:
+            self.before.unpersist()
+        self.before, self.state = self.state, self.state.mapInArrow(run, self.SCHEMA)
+
+    def keep(self, cut: bool) -> None:
+        if cut:
+            checkpoint_dir(self.spark)
+            self.state = self.state.checkpoint()
+        self.state = self.state.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def close(self) -> None:
+        for frame in (self.before, self.state):
+            if frame is not None:
+                frame.unpersist()
+        self.shared.destroy()
+
+    def run(self) -> None:
+        for s in self.specs:
+            s.trees = [[] for _ in range(self.K)]
+        blank = {**_new_tree()}
+        for r in range(1, max((s.rounds for s in self.specs), default=0) + 1):
+            growers = {(m, k): Grower(s.rule, self.bins) for m, s in enumerate(self.specs) if r <= s.rounds for k in range(self.K)}
+            self._grow(growers)
+            new = [[growers[m, k].finish() if (m, k) in growers else blank for k in range(self.K)] for m in range(len(self.specs))]
+            for (m, k) in growers:
+                self.specs[m].trees[k].append(new[m][k])
+            self.add_trees(new)
+            self.keep(cut=r % CUT_ROUNDS == 0)
+
+    def _grow(self, growers: dict[tuple[int, int], Grower]) -> None:
+        while True:
+            subtract = self.search != "spark" and self.bins.codes <= KEPT_CODES
+            slots = [(mk, node) for mk, g in growers.items() for node in g.wanted(subtract)]
+            if not slots:
+                # children at the greatest depth need no sums: their parents' splits are still to be committed
+                if not any([g.commit() for g in growers.values()]):
+                    return
+                continue
+            if self.search == "spark" or (self.search == "auto" and len(slots) * self.bins.codes > DRIVER_CELLS):
+                # no sums come to the driver: the larger children are asked for too
+                slots += [(mk, large) for mk, g in growers.items() for large in g.give_up_sums()]
+                self._searched(growers, slots)
+            else:
+                for (mk, node), sums in zip(slots, self._collected(growers, slots), strict=True):
+                    growers[mk].receive_sums(node, sums[:, :-1], sums[:, -1], subtract)
+            for g in growers.values():
+                g.commit()
+
+    def summed(self, growers, slots) -> DataFrame:
+        """[slot, code, g, h, c] over all rows."""
+        return self._parts(growers, slots).groupBy("slot", "code").agg(*[F.sum(x).alias(x) for x in "ghc"])
+
+    def _searched(self, growers, slots) -> None:
+        for mk, node in slots:  # holds for nodes without rows
+            growers[mk].receive(node, None, (0.0, 0.0))
+        for r in searched(self.summed(growers, slots), self.bins, [growers[mk].rule for mk, _ in slots]).collect():
+            (mk, node), s = slots[r["slot"]], r["split"]
+            g = growers[mk]
+            split = None
+            if s is not None and g.tree["depth"][node] < g.rule.max_depth:
+                split = Split(s["gain"], s["feat"], s["bin"], s["default_left"], (s["gl"], s["hl"]), (s["gr"], s["hr"]))
+            g.receive(node, split, (r["G_all"], r["H_all"]))
+
+    def _collected(self, growers, slots) -> np.ndarray:
+        """[slot, (G, H, C), code]."""
+        S, width = len(slots), self.bins.codes + 1
+        many = self.partitions * S * width > DIRECT_COLLECT_MAX
+        table = (self.summed if many else self._parts)(growers, slots).toArrow()
+        at = table["slot"].to_numpy() * width + table["code"].to_numpy()
+        return np.stack([np.bincount(at, table[x].to_numpy(), S * width).reshape(S, width) for x in "ghc"], axis=1)
+
+    def _parts(self, growers, slots) -> DataFrame:
+        """[slot, code, g, h, c]: sums over the rows of a task (or batch); code = number of codes is a slot's total."""
+        self.passes += 1
+        place: dict[tuple, dict[int, int]] = {}
+        for s, (mk, node) in enumerate(slots):
+            place.setdefault(mk, {})[node] = s
+        tasks = []
+        for (m, k), where in place.items():
+            tree = growers[m, k].arrays()
+            slot_of = np.full(len(tree["feature"]), -1, np.int64)
+            slot_of[list(where)] = list(where.values())
+            tasks.append((m, k, tree, slot_of))
+        S, K, codes = len(slots), self.K, self.bins.codes
+        objective, shared, folds = self.objective, self.shared, [s.fold for s in self.specs]
+        asked = self.sc.broadcast(tasks)
+        dense = S * (codes + 1) <= TASK_CELLS
+
+        def batch_of(at, sums):
+            return pa.RecordBatch.from_arrays([pa.array(at // (codes + 1)), pa.array(at % (codes + 1)), *(pa.array(x) for x in sums)], names=["slot", "code", "g", "h", "c"])
+
+        def run(batches):
+            bins = shared.value
+            total = np.zeros((3, S * (codes + 1))) if dense else None
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                rows = Fit._codes(b, bins.width)
+                y, fold = _batch_vector(b, "label"), b.column(2).to_numpy()
+                margins = _batch_matrix(b, "margins", len(folds) * K)
+                known: dict[int, tuple] = {}
+                for m, k, tree, slot_of in asked.value:
+                    if m not in known:
+                        mine = np.arange(len(y)) if folds[m] is None else np.flatnonzero(fold != folds[m])
+                        known[m] = (mine, rows[mine], *_grad_hess(objective, margins[mine, m * K:(m + 1) * K], y[mine], K))
+                    mine, C, gr, he = known[m]
+                    slot = slot_of[_leaf_of(tree, C, bins)] if len(tree["feature"]) > 1 else np.full(len(mine), slot_of[0])
+                    some = slot >= 0
+                    if not some.any():
+                        continue
+                    slot, C, g, h = slot[some], C[some], gr[some, k], he[some, k]
+                    r, w = np.nonzero(C)
+                    at = np.concatenate([slot[r] * (codes + 1) + C[r, w] - 1, slot * (codes + 1) + codes])
+                    weights = [np.concatenate([g[r], g]), np.concatenate([h[r], h]), None]
+                    if dense:
+                        for i, x in enumerate(weights):
+                            total[i] += np.bincount(at, x, total.shape[1])
+                    else:
+                        keys, back = np.unique(at, return_inverse=True)
+                        yield batch_of(keys, [np.bincount(back, x, len(keys)).astype(np.float64) for x in weights])
+            if dense:
+                at = np.flatnonzero(total[2])
+                yield batch_of(at, total[:, at])
+
+        return self.state.mapInArrow(run, "slot long, code long, g double, h double, c double")
+
+
+# ---------------------------------------------------------------- the estimator
+
+class _BoostParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):
+    objective = Param(Params._dummy(), "objective", "one of " + ", ".join(OBJECTIVES), typeConverter=TypeConverters.toString)
+    numRound = Param(Params._dummy(), "numRound", "boosting rounds", typeConverter=TypeConverters.toInt)
+    maxDepth = Param(Params._dummy(), "maxDepth", "max depth (-1: unlimited for leaf growth)", typeConverter=TypeConverters.toInt)
+    eta = Param(Params._dummy(), "eta", "learning rate", typeConverter=TypeConverters.toFloat)
+    gamma = Param(Params._dummy(), "gamma", "minimum split gain", typeConverter=TypeConverters.toFloat)
+    minChildWeight = Param(Params._dummy(), "minChildWeight", "minimum hessian per child", typeConverter=TypeConverters.toFloat)
+    regLambda = Param(Params._dummy(), "regLambda", "L2 on leaf weights", typeConverter=TypeConverters.toFloat)
+    regAlpha = Param(Params._dummy(), "regAlpha", "L1 on leaf weights", typeConverter=TypeConverters.toFloat)
+    zeroAsMissing = Param(Params._dummy(), "zeroAsMissing", "treat 0.0 as missing", typeConverter=TypeConverters.toBoolean)
+    maxBins = Param(Params._dummy(), "maxBins", "histogram bins per feature", typeConverter=TypeConverters.toInt)
+    growth = Param(Params._dummy(), "growth", "depth | leaf", typeConverter=TypeConverters.toString)
+    numLeaves = Param(Params._dummy(), "numLeaves", "leaves per tree (leaf growth)", typeConverter=TypeConverters.toInt)
+    boostFromAverage = Param(Params._dummy(), "boostFromAverage", "start from the label mean / log-odds", typeConverter=TypeConverters.toBoolean)
+    numClass = Param(Params._dummy(), "numClass", "classes for multi:softprob (0: from data)", typeConverter=TypeConverters.toInt)
+    minDataInLeaf = Param(Params._dummy(), "minDataInLeaf", "minimum rows per child", typeConverter=TypeConverters.toInt)
+    splitSearch = Param(Params._dummy(), "splitSearch", "auto | driver | spark", typeConverter=TypeConverters.toString)
+
+    def __init__(self):
+        super().__init__()
+        self._setDefault(minDataInLeaf=0, objective="binary:logistic", numRound=20, maxDepth=6, eta=0.3, gamma=0.0,
+                         minChildWeight=1.0, regLambda=1.0, regAlpha=0.0, zeroAsMissing=False, maxBins=64,
+                         growth="depth", numLeaves=31, boostFromAverage=False, numClass=0, splitSearch="auto")
+
+
+class HistBoost(Estimator, _BoostParams, DefaultParamsReadable, DefaultParamsWritable):
+    @keyword_only
+    def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction",
+                 objective="binary:logistic", numRound=20, maxDepth=6, eta=0.3, gamma=0.0, minChildWeight=1.0,
+                 regLambda=1.0, regAlpha=0.0, zeroAsMissing=False, maxBins=64, growth="depth", numLeaves=31,
+                 boostFromAverage=False, numClass=0, minDataInLeaf=0, splitSearch="auto"):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    @keyword_only
+    def setParams(self, **kwargs):
+        return self._set(**kwargs)
+
+    def _fit(self, dataset: DataFrame) -> HistBoostModel:
+        (model,), fit = fit_many(dataset.withColumn("_fold", F.lit(-1)), [(self, None)], "_fold")
+        fit.close()
+        return model
+
+    def rule(self) -> SplitRule:
+        g = self.getOrDefault
+        return SplitRule(g(self.regLambda), g(self.regAlpha), g(self.gamma), g(self.minChildWeight), g(self.minDataInLeaf),
+                         g(self.maxDepth) if g(self.maxDepth) >= 0 else 64, g(self.numLeaves) if g(self.growth) == "leaf" else None, g(self.eta))
+
+    def shared(self) -> tuple:
+        """What models of one fit have in common."""
+        g = self.getOrDefault
+        return tuple(g(p) for p in (self.objective, self.zeroAsMissing, self.maxBins, self.numClass, self.boostFromAverage, self.splitSearch,
+                                    self.featuresCol, self.labelCol, self.predictionCol))
+
+
+def fit_many(dataset: DataFrame, models: list[tuple[HistBoost, int | None]], fold_col: str) -> tuple[list[HistBoostModel], Fit]:
+    """(fitted models, the fit with its state [.., label, fold, margins: per model and class]) of all ``models`` in common passes.
+
+    Each entry of ``models`` is an estimator and the fold it must not learn from (None: it learns from all rows).  The
+    caller closes the fit.
+    """
+    est = models[0][0]
+    objective, zero_missing, max_bins, num_class, from_average, search, features, label, _ = est.shared()
+    if any(m.shared() != est.shared() for m, _ in models):
+        raise ValueError("models of one fit share objective, bins, classes, start, search and columns")
+    if objective not in OBJECTIVES:
+        raise ValueError(f"objective {objective!r} not in {OBJECTIVES}")
+    if not 2 <= max_bins <= 1 << 20:
+        raise ValueError("maxBins must lie in 2 .. 2^20")
+    ship_package(dataset.sparkSession)
+    data = dataset.select(F.col(features).alias("features"), F.col(label).cast("double").alias("label"), F.col(fold_col).cast("int").alias("fold"))
+    data = spread(data).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        stats = data.groupBy("fold").agg(F.count("*").alias("n"), F.max("label").alias("most"), F.sum("label").alias("s")).collect()
+        if not stats:
+            raise ValueError("empty training data")
+        K = 1 if objective != "multi:softprob" else num_class or int(max(r["most"] for r in stats)) + 1
+        specs = []
+        for m, fold in models:
+            n, s = (sum(r[c] for r in stats if r["fold"] != fold) for c in ("n", "s"))
+            base = np.zeros(K)
+            if from_average and objective == "binary:logistic":
+                p = min(max(s / n, 1e-6), 1 - 1e-6)
+                base[:] = math.log(p / (1 - p))
+            elif from_average and objective == "reg:squarederror":
+                base[:] = s / n
+            specs.append(Spec(m.rule(), m.getOrDefault(m.numRound), fold, base))
+        bins = find_bins(data.select("features"), "features", max_bins, zero_missing)
+        fit = Fit(data, bins, objective, K, specs, search)
+        fit.run()
+    finally:
+        data.unpersist()
+    fitted = []
+    for (m, _), s in zip(models, specs, strict=True):
+        model = HistBoostModel(featuresCol=features, predictionCol=m.getOrDefault(m.predictionCol), objective=objective,
+                               zeroAsMissing=zero_missing, base=s.base.tolist(), numFeatures=bins.n)
+        fitted.append(model.with_nodes(_node_table(s.trees)))
+    return fitted, fit
+
+
+def tuned(data: DataFrame, fold_col: str, points: list[HistBoost], num_folds: int, task: str) -> tuple[list[float], list[HistBoostModel]]:
+    """(mean metric over the folds, model of all rows) of each grid point; all folds and points grow in the same passes.
+
+    The metric of a fold comes from the margins of its rows: AUC of the hard prediction (binary), weighted F1 (multi) or
+    root mean squared error.
+    """
+    averages: list = [None] * len(points)
+    finals: list = [None] * len(points)
+    groups: dict[tuple, list[int]] = {}
+    for i, p in enumerate(points):
+        groups.setdefault(p.shared(), []).append(i)
+    for members in groups.values():
+        models = [(points[i], fold) for i in members for fold in (*range(num_folds), None)]
+        fitted, fit = fit_many(data, models, fold_col)
+        scores = fold_scores(fit, task)
+        fit.close()
+        for at, i in enumerate(members):
+            first = at * (num_folds + 1)
+            averages[i] = sum(scores[first + f] for f in range(num_folds)) / num_folds
+            finals[i] = fitted[first + num_folds]
+    return averages, finals
+
+
+def fold_scores(fit: Fit, task: str) -> dict[int, float]:
+    """Metric of each model with a fold, on that fold's rows; one aggregation over the state."""
+    K = fit.K
+
+    def predicted(m: int) -> Column:
+        own = F.slice("margins", m * K + 1, K)
+        if task == "multi":
+            return (F.array_position(own, F.array_max(own)) - 1).cast("double")
+        return own[0] if task == "regression" else F.when(own[0] > 0, 1.0).otherwise(0.0)
+
+    held_out = [F.struct(F.lit(m).alias("m"), F.lit(s.fold).alias("fold"), predicted(m).alias("p")) for m, s in enumerate(fit.specs) if s.fold is not None]
+    rows = fit.state.select("label", F.explode(F.filter(F.array(*held_out), lambda x: x["fold"] == F.col("fold"))).alias("x")).select("label", "x.m", "x.p")
+    if task == "regression":
+        return {r["m"]: r["e"] for r in rows.groupBy("m").agg(F.sqrt(F.avg((F.col("p") - F.col("label")) ** 2)).alias("e")).collect()}
+    cells: dict[int, dict] = {}
+    for r in rows.groupBy("m", "label", "p").count().collect():
+        cells.setdefault(r["m"], {})[r["label"], r["p"]] = r["count"]
+    return {m: (_hard_auc if task == "binary" else _weighted_f1)(c) for m, c in cells.items()}
+
+
+def _hard_auc(cells: dict) -> float:
+    pos, neg = (sum(n for (y, _), n in cells.items() if (y == 1.0) == want) for want in (True, False))
+    return 0.5 * (cells.get((1.0, 1.0), 0) / max(1, pos) + cells.get((0.0, 0.0), 0) / max(1, neg))
+
+
+def _weighted_f1(cells: dict) -> float:
+    total, out = sum(cells.values()), 0.0
+    for y in {y for y, _ in cells}:
+        hit, have, said = cells.get((y, y), 0), sum(n for (a, _), n in cells.items() if a == y), sum(n for (_, p), n in cells.items() if p == y)
+        out += have / total * (2 * hit / (have + said))
+    return out
+
+
+NODES = T.StructType([T.StructField("klass", T.IntegerType()), T.StructField("tree", T.IntegerType()), T.StructField("node", T.IntegerType()),
+                      T.StructField("feature", T.IntegerType()), T.StructField("threshold", T.DoubleType()), T.StructField("default_left", T.BooleanType()),
+                      T.StructField("left", T.IntegerType()), T.StructField("right", T.IntegerType()), T.StructField("value", T.DoubleType())])
+
+
+def _node_table(trees: list[list[dict]]) -> pa.Table:
+    flat: dict[str, list] = {n: [] for n in NODES.names}
+    for k, ts in enumerate(trees):
+        for i, t in enumerate(ts):
+            n = len(t["feature"])
+            for name, values in (("klass", [k] * n), ("tree", [i] * n), ("node", range(n)), ("feature", t["feature"]), ("threshold", t["thr"]),
+                                 ("default_left", [bool(x) for x in t["default_left"]]), ("left", t["left"]), ("right", t["right"]), ("value", t["value"])):
+                flat[name] += values
+    kinds = {"threshold": pa.float64(), "value": pa.float64(), "default_left": pa.bool_()}
+    return pa.table({n: pa.array(v, kinds.get(n, pa.int32())) for n, v in flat.items()})
+
+
+class Forest:
+    """The trees of a node table, as arrays, for scoring raw feature vectors."""
+
+    def __init__(self, nodes: pa.Table, base: np.ndarray, zero_missing: bool):
+        nodes = nodes.sort_by([("klass", "ascending"), ("tree", "ascending"), ("node", "ascending")])
+        col = {n: nodes[n].to_numpy() for n in NODES.names}
+        first = np.flatnonzero(col["node"] == 0)
+        cuts = np.r_[first, nodes.num_rows]
+        # only features that some split uses are ever looked up
+        self.used = np.unique(np.r_[0, col["feature"][col["feature"] >= 0]])
+        col["feature"] = np.where(col["feature"] >= 0, np.searchsorted(self.used, col["feature"]), -1)
+        self.trees = [(int(col["klass"][a]), {n: col[n][a:b] for n in ("feature", "threshold", "default_left", "left", "right", "value")}) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        self.base, self.zero_missing = base, zero_missing
+
+    def margins(self, col: pa.Array, n: int) -> np.ndarray:
+        row, feat, value = entries(col, n)
+        at = np.minimum(np.searchsorted(self.used, feat), len(self.used) - 1)
+        mine = self.used[at] == feat
+        X = np.zeros((len(col), len(self.used)))
+        X[row[mine], at[mine]] = value[mine]
+        missing = np.isnan(X) | ((X == 0.0) & self.zero_missing)
+        out = np.tile(self.base, (len(col), 1))
+        for k, t in self.trees:
+            def goes_left(rows, nodes, t=t):
+                f = t["feature"][nodes]
+                return np.where(missing[rows, f], t["default_left"][nodes], X[rows, f] <= t["threshold"][nodes])
+
+            out[:, k] += t["value"][_descend(t, len(col), goes_left)]
         return out
 
 
-def _best_split(G, H, Gt, Ht, lam, alpha, gamma, mcw, C=None, min_rows=0):
-    """Best (gain, feature, bin, default_left, left stats, right stats) over features x bins x
-    missing direction; split "bin <= b" goes left.  None when no split has positive gain."""
-    Gm, Hm = G[:, 0], H[:, 0]                        # missing bin per feature
-    cg, ch = np.cumsum(G[:, 1:], axis=1), np.cumsum(H[:, 1:], axis=1)
-    cg, ch = cg[:, :-1], ch[:, :-1]                  # split after bin b (b = 1..nb-2)
-    parent = _score(Gt, Ht, lam, alpha)
-    best = None
-    for dleft in (True, False):
-        GL = cg + (Gm[:, None] if dleft else 0.0)
-        HL = ch + (Hm[:, None] if dleft else 0.0)
-        GR, HR = Gt - GL, Ht - HL
-        ok = (HL >= mcw) & (HR >= mcw) & (HL > 0) & (HR > 0)
-        if C is not None:
-            CL = np.cumsum(C[:, 1:], axis=1)[:, :-1] + (C[:, :1] if dleft else 0.0)
-            least = max(1, min_rows) - 0.5           # subtracted counts are whole up to rounding
-            ok &= (CL > least) & (C.sum(axis=1, keepdims=True) - CL > least)
-        gain = 0.5 * (_score(GL, HL, lam, alpha) + _score(GR, HR, lam, alpha) - parent) - gamma
-        gain = np.where(ok, gain, -np.inf)
-        if gain.size == 0:
-            continue
-        j, b = np.unravel_index(int(np.argmax(gain)), gain.shape)
-        gv = float(gain[j, b])
-        if gv > 0 and (best is None or gv > best[0]):
-            best = (gv, int(j), int(b) + 1, dleft, (float(GL[j, b]), float(HL[j, b])),
-                    (float(GR[j, b]), float(HR[j, b])))
-    return best
+def _width(col: pa.Array) -> int:
+    """Width of the first vector."""
+    if not len(col):
+        return 0
+    x = col[0].as_py()
+    if x is None:
+        raise ValueError("some rows have no feature vector")
+    return len(x) if isinstance(x, list) else (x["size"] if x["type"] == 0 else len(x["values"]))
 
 
 # ---------------------------------------------------------------- the model
 
 class HistBoostModel(Model, HasFeaturesCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Trees as a table of nodes (one row per node), broadcast once for scoring and saved as Parquet beside the parameters."""
+
     objective = Param(Params._dummy(), "objective", "objective", typeConverter=TypeConverters.toString)
-    zeroAsMissing = Param(Params._dummy(), "zeroAsMissing", "treat 0.0 as missing",
-                          typeConverter=TypeConverters.toBoolean)
-    treesJson = Param(Params._dummy(), "treesJson", "fitted trees", typeConverter=TypeConverters.toString)
+    zeroAsMissing = Param(Params._dummy(), "zeroAsMissing", "treat 0.0 as missing", typeConverter=TypeConverters.toBoolean)
+    base = Param(Params._dummy(), "base", "starting margin per class", typeConverter=TypeConverters.toListFloat)
+    numFeatures = Param(Params._dummy(), "numFeatures", "features a row must have (0: as many as the first)", typeConverter=TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, *, featuresCol="features", predictionCol="prediction", objective="binary:logistic",
-                 zeroAsMissing=False, treesJson="{}"):
+    def __init__(self, *, featuresCol="features", predictionCol="prediction", objective="binary:logistic", zeroAsMissing=False, base=None, numFeatures=0):
         super().__init__()
-        self._setDefault(objective="binary:logistic", zeroAsMissing=False, treesJson="{}")
-        self._set(**self._input_kwargs)
+        self._setDefault(objective="binary:logistic", zeroAsMissing=False, base=[0.0], numFeatures=0)
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+        self.nodes: pa.Table | None = None
+        self._shared = None
+
+    def with_nodes(self, nodes: pa.Table) -> HistBoostModel:
+        self.nodes, self._shared = nodes, None
+        return self
+
+    def copy(self, extra=None):
+        return super().copy(extra).with_nodes(self.nodes)
+
+    def write(self) -> MLWriter:
+        return _ModelWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _ModelReader(cls)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        fc = self.getOrDefault(self.featuresCol)
-        dt = dataset.schema[fc].dataType
-        arr = vector_to_array(fc, "float64") if not dt.typeName().startswith("array") else F.col(fc)
-        margins = _margin_udf(self.getOrDefault(self.treesJson), self.getOrDefault(self.zeroAsMissing))
-        df = dataset.withColumn("_hb_m", margins(arr))
-        obj = self.getOrDefault(self.objective)
-        pc = self.getOrDefault(self.predictionCol)
-        m0 = F.col("_hb_m")[0]
-        if obj == "reg:squarederror":
-            return df.withColumn(pc, m0).drop("_hb_m")
-        if obj == "binary:logistic":
-            p1 = F.lit(1.0) / (F.lit(1.0) + F.exp(-m0))
-            df = df.withColumn("probability", array_to_vector(F.array(F.lit(1.0) - p1, p1)))
-            return df.withColumn(pc, F.when(p1 > 0.5, 1.0).otherwise(0.0)).drop("_hb_m")
-        mx = F.array_max("_hb_m")
-        ex = F.transform("_hb_m", lambda v: F.exp(v - mx))
-        tot = F.aggregate(ex, F.lit(0.0), lambda a, v: a + v)
-        df = df.withColumn("probability", array_to_vector(F.transform(ex, lambda v: v / tot)))
-        df = df.withColumn(pc, (F.array_position("_hb_m", mx) - 1).cast("double"))
-        return df.drop("_hb_m")
-
-
-_SPEC_CACHE: dict[int, dict] = {}
-
-
-def _parsed(spec_json: str) -> dict:
-    key = hash(spec_json)
-    spec = _SPEC_CACHE.get(key)
-    if spec is None:
-        raw = json.loads(spec_json)
-        spec = {"base": np.asarray(raw["base"], float),
-                "trees": [[_tree_np(t) for t in ts] for ts in raw["trees"]]}
-        _SPEC_CACHE.clear()
-        _SPEC_CACHE[key] = spec
-    return spec
-
-
-def _margin_udf(spec_json: str, zero_missing: bool):
-    """Arrow-batched scorer: K margins per row from the fitted trees (vectorized traversal)."""
-    @F.pandas_udf("array<double>")
-    def margins(x: pd.Series) -> pd.Series:
-        spec = _parsed(spec_json)
-        if len(x) == 0:
-            return pd.Series([], dtype=object)
-        A = np.vstack(x.to_numpy()).astype(np.float64)
-        miss = _missing_mask(A, zero_missing)
-        M = np.tile(spec["base"], (A.shape[0], 1))
-        for k, ts in enumerate(spec["trees"]):
-            for t in ts:
-                M[:, k] += _predict_tree(t, A, miss)
-        return pd.Series(list(M))
+        ship_package(dataset.sparkSession)
+        if self._shared is None:
+            self._shared = dataset.sparkSession.sparkContext.broadcast(Forest(self.nodes, np.array(self.getOrDefault(self.base)), self.getOrDefault(self.zeroAsMissing)))
+        df = dataset.withColumn("_hb_m", _margin_udf(self._shared, self.getOrDefault(self.numFeatures))(F.col(self.getOrDefault(self.featuresCol))))
+        return predictions(df, "_hb_m", self.getOrDefault(self.objective), self.getOrDefault(self.predictionCol)).drop("_hb_m")
+
+
+def predictions(df: DataFrame, margins: str, objective: str, out: str) -> DataFrame:
+    """``df`` with the prediction (and class probabilities) of an array of margins."""
+    if objective == "reg:squarederror":
+        return df.withColumn(out, F.col(margins)[0])
+    if objective == "binary:logistic":
+        p1 = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col(margins)[0]))
+        return df.withColumn("probability", array_to_vector(F.array(F.lit(1.0) - p1, p1))).withColumn(out, F.when(p1 > 0.5, 1.0).otherwise(0.0))
+    mx = F.array_max(margins)
+    ex = F.transform(margins, lambda v: F.exp(v - mx))
+    tot = F.aggregate(ex, F.lit(0.0), lambda a, v: a + v)
+    return (df.withColumn("probability", array_to_vector(F.transform(ex, lambda v: v / tot)))
+            .withColumn(out, (F.array_position(margins, mx) - 1).cast("double")))
+
+
+def _margin_udf(shared, n: int):
+    @F.arrow_udf("array<double>")
+    def margins(col: pa.Array) -> pa.Array:
+        m = shared.value.margins(col, n or _width(col))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
     return margins
 
 
+class _ModelWriter(DefaultParamsWriter):
+    def saveImpl(self, path: str) -> None:
+        super().saveImpl(path)
+        self.sparkSession.createDataFrame(self.instance.nodes, NODES).write.parquet(f"{path}/nodes")
+
+
+class _ModelReader(DefaultParamsReader):
+    def load(self, path: str) -> HistBoostModel:
+        return super().load(path).with_nodes(self.sparkSession.read.schema(NODES).parquet(f"{path}/nodes").toArrow())
+
+
 def xgboost_like(objective: str, max_depth: int = 6, **kw) -> HistBoost:
     """T9-T11 defaults: zero is missing, depth-wise growth."""
     params = dict(objective=objective, maxDepth=max_depth, zeroAsMissing=True, growth="depth")

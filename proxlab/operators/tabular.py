@@ -97,12 +97,16 @@ def train_tabular(df: DataFrame, label: str, kind: str, task: str, grid: dict, k
     test = data.filter(~is_train)
     parallelism = parallelism or max(1, min(8, len(param_grid) * num_folds))
     try:
-        avg = cross_validate(train, Pipeline(stages=stages), est, param_grid, evaluator(task), num_folds, parallelism)
-        prefix, features = prepared(Pipeline(stages=stages), train, [train])
-        try:
+        if isinstance(est, boost.HistBoost):
+            # the preparation sees no label; all folds, grid points and the models of all rows grow together
+            prefix, features = prepared(Pipeline(stages=stages), train, [train], FOLD_COL)
+            avg, models = boost.tuned(features[0], FOLD_COL, [est.copy(p) for p in param_grid], num_folds, task)
+            model = models[_argbest(avg, task)]
+        else:
+            avg = cross_validate(train, Pipeline(stages=stages), est, param_grid, evaluator(task), num_folds, parallelism)
+            prefix, features = prepared(Pipeline(stages=stages), train, [train])
             model = est.copy(param_grid[_argbest(avg, task)]).fit(features[0])
-        finally:
-            features[0].unpersist()
+        features[0].unpersist()
     finally:
         train.unpersist()
     best = PipelineModel([*prefix.stages, model])
@@ -118,10 +122,10 @@ def train_tabular(df: DataFrame, label: str, kind: str, task: str, grid: dict, k
                          best_params, path), pred
 
 
-def prepared(pipe: Pipeline, fit_on: DataFrame, frames: list[DataFrame]) -> tuple[PipelineModel, list[DataFrame]]:
-    """The fitted preparation stages, and the frames through them as persisted ``[label, features]``."""
+def prepared(pipe: Pipeline, fit_on: DataFrame, frames: list[DataFrame], *more: str) -> tuple[PipelineModel, list[DataFrame]]:
+    """The fitted preparation stages, and the frames through them as persisted ``[label, features, more...]``."""
     model = pipe.fit(fit_on)
-    return model, [model.transform(f).select("label", "features").persist(StorageLevel.MEMORY_AND_DISK) for f in frames]
+    return model, [model.transform(f).select("label", "features", *more).persist(StorageLevel.MEMORY_AND_DISK) for f in frames]
 
 
 def cross_validate(train: DataFrame, pipe: Pipeline, est, param_grid: list, judge, num_folds: int, parallelism: int) -> list[float]:

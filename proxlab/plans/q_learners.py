@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import linalg, logistic, solvers
@@ -270,37 +271,30 @@ _BH_BINS = (f"SELECT feat_id, x, label, CAST(dense_rank() OVER (PARTITION BY fea
             f"AS bin FROM ({_BH_SQL_FEATS}) u")
 
 
-def _root_histogram(spark, sf_dir):
-    """Root-node histogram of the squared-error booster on [qty/50, disc*10, tax*10] (base 0)."""
-    import numpy as np
-    from ..operators import boost
-    from ..session import spread
-    df = fx.lineitem_design(spark, sf_dir).select(F.slice("features", 1, 3).alias("features"), "label")
+def _root_fit(spark, sf_dir):
+    """The squared-error booster (base 0) on [qty/50, disc*10, tax*10], its bins made."""
+    from ..operators import bins, boost
+    df = fx.lineitem_design(spark, sf_dir).select(F.slice("features", 1, 3).alias("features"), "label", F.lit(-1).alias("fold"))
     est = boost.HistBoost(objective="reg:squarederror", regLambda=_BH_LAMBDA, minChildWeight=1.0, gamma=0.0)
-    data = spread(df).persist()
-    try:
-        edges = est._edges(data, 3, False)
-        nb = max(len(e) for e in edges) + 2
-        state = boost.binned(data, 3, edges, np.zeros(1), False)
-        est._nparts = state.rdd.getNumPartitions()
-        G, H, _ = est._histograms(spark, state, 3, nb, [boost._tree_np(boost._new_tree())], [(0, 0)], "reg:squarederror", [[]])
-    finally:
-        data.unpersist()
-    return edges, G[0], H[0]
+    found = bins.find_bins(df.select("features"), "features", 64, False)
+    return boost.Fit(df, found, "reg:squarederror", 1, [boost.Spec(est.rule(), 1, None, np.zeros(1))], "spark")
+
+
+def _root_sums(fit):
+    from ..operators import boost
+    grower = boost.Grower(fit.specs[0].rule, fit.bins)
+    return fit.summed({(0, 0): grower}, [((0, 0), 0)]), grower
 
 
 @register("boost_histogram",
           f"SELECT feat_id, bin, {sg.rnd('sum(-label)')} AS g, {sg.rnd('CAST(count(*) AS DOUBLE)')} AS h "
           f"FROM ({_BH_BINS}) b GROUP BY feat_id, bin")
 def q_boost_histogram(spark, sf_dir):
-    """Booster kernel: per-(feature, bin) gradient and hessian sums at the root (exact bins)."""
-    from pyspark.sql import types as T
-    _, G, H = _root_histogram(spark, sf_dir)
-    rows = [(j, b, float(G[j, b]), float(H[j, b])) for j in range(G.shape[0]) for b in range(G.shape[1])
-            if H[j, b] != 0]
-    schema = T.StructType([T.StructField("feat_id", T.IntegerType()), T.StructField("bin", T.IntegerType()),
-                           T.StructField("g", T.DoubleType()), T.StructField("h", T.DoubleType())])
-    return spark.createDataFrame(rows, schema).select("feat_id", "bin", rnd("g").alias("g"), rnd("h").alias("h"))
+    """Booster kernel: per-(feature, bin) gradient and hessian sums at the root (exact bins, zeros by difference)."""
+    from ..operators import boost
+    fit = _root_fit(spark, sf_dir)
+    cells, _ = boost.node_bins(_root_sums(fit)[0], fit.bins)
+    return cells.select(F.col("feat").cast("int").alias("feat_id"), F.col("bin").cast("int").alias("bin"), rnd("g").alias("g"), rnd("h").alias("h"))
 
 
 _BS_SQL = (
@@ -319,15 +313,88 @@ _BS_SQL = (
 
 @register("boost_best_split", _BS_SQL)
 def q_boost_best_split(spark, sf_dir):
-    """Booster kernel: the root split chosen from the histogram (gain with lambda = 1, gamma = 0)."""
-    from pyspark.sql import types as T
+    """Booster kernel: the root split chosen in Spark (gain with lambda = 1, gamma = 0)."""
     from ..operators import boost
-    edges, G, H = _root_histogram(spark, sf_dir)
-    best = boost._best_split(G, H, float(G[0].sum()), float(H[0].sum()), _BH_LAMBDA, 0.0, 0.0, 1.0)
-    gain, j, b, _dleft, (_gl, hl), (_gr, hr) = best
-    schema = T.StructType([T.StructField("feat_id", T.IntegerType()), T.StructField("bin", T.IntegerType()),
-                           T.StructField("threshold", T.DoubleType()), T.StructField("gain", T.DoubleType()),
-                           T.StructField("h_left", T.DoubleType()), T.StructField("h_right", T.DoubleType())])
-    row = [(j, b, float(edges[j][b - 1]), float(gain), float(hl), float(hr))]
-    return spark.createDataFrame(row, schema).select("feat_id", "bin", "threshold", rnd("gain").alias("gain"),
-                                                     "h_left", "h_right")
+    fit = _root_fit(spark, sf_dir)
+    sums, grower = _root_sums(fit)
+    edge = spark.createDataFrame([(j, b + 1, float(x)) for j, e in enumerate(fit.bins.edges) for b, x in enumerate(e)], "feat long, bin long, threshold double")
+    found = boost.searched(sums, fit.bins, [grower.rule]).select("split.*").join(F.broadcast(edge), ["feat", "bin"])
+    return found.select(F.col("feat").cast("int").alias("feat_id"), F.col("bin").cast("int").alias("bin"), "threshold", rnd("gain").alias("gain"),
+                        F.col("hl").alias("h_left"), F.col("hr").alias("h_right"))
+
+
+_LEAVES = 8
+_TREE_SQL = f"""
+WITH RECURSIVE D AS (
+  SELECT dense_rank() OVER (ORDER BY f0) AS b0, dense_rank() OVER (ORDER BY f1) AS b1, dense_rank() OVER (ORDER BY f2) AS b2, label FROM ({D_PLANT}) A),
+cells AS MATERIALIZED (SELECT b0, b1, b2, sum(-label) AS g, CAST(count(*) AS DOUBLE) AS h FROM D GROUP BY b0, b1, b2),
+it AS (
+  SELECT 0 AS step, 0 AS leaf, b0, b1, b2, g, h FROM cells
+  UNION ALL
+  SELECT step + 1, CASE WHEN leaf = best.leaf AND (CASE best.feat WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END) > best.bin THEN step + 1 ELSE leaf END, b0, b1, b2, g, h
+  FROM (
+    SELECT *, first_value({{'leaf': leaf, 'feat': feat, 'bin': bin}}) OVER (ORDER BY gain DESC, feat, bin) AS best FROM (
+      SELECT *, CASE WHEN hl >= 1 AND ht - hl >= 1 THEN {sg.d(0.5)} * (gl * gl / (hl + {sg.d(_BH_LAMBDA)}) + (gt - gl) * (gt - gl) / (ht - hl + {sg.d(_BH_LAMBDA)})
+             - gt * gt / (ht + {sg.d(_BH_LAMBDA)})) ELSE -1 END AS gain FROM (
+        SELECT *, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER (PARTITION BY leaf, feat) AS gt, sum(h) OVER (PARTITION BY leaf, feat) AS ht FROM (
+          SELECT *, CASE feat WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END AS bin FROM it, (VALUES (0), (1), (2)) f(feat) WHERE step < {_LEAVES - 1}) q0
+        WINDOW w AS (PARTITION BY leaf, feat ORDER BY bin RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) q1) q2) q3
+  WHERE feat = 0)
+SELECT {sg.rnd(f'-sum(g) / (sum(h) + {sg.d(_BH_LAMBDA)})')} AS value, CAST(sum(h) AS BIGINT) AS n_rows FROM it WHERE step = {_LEAVES - 1} GROUP BY leaf
+"""
+
+
+def _tree_query(search):
+    def q(spark, sf_dir):
+        """One best-first tree of eight leaves; each leaf's value and number of rows."""
+        from ..operators import boost
+        df = fx.lineitem_design(spark, sf_dir).select(F.slice("features", 1, 3).alias("features"), "label")
+        model = boost.HistBoost(objective="reg:squarederror", numRound=1, eta=1.0, regLambda=_BH_LAMBDA, minChildWeight=1.0, growth="leaf",
+                                numLeaves=_LEAVES, maxDepth=-1, splitSearch=search).fit(df)
+        return model.transform(df).groupBy("prediction").agg(F.count("*").alias("n_rows")).select(rnd("prediction").alias("value"), "n_rows")
+    return q
+
+
+register("boost_tree", _TREE_SQL)(_tree_query("driver"))
+register("boost_tree_in_spark", _TREE_SQL)(_tree_query("spark"))
+
+_SPARSE_SQL = (
+    f"WITH C AS (SELECT l_partkey, sum(-label) AS g, CAST(count(*) AS DOUBLE) AS h FROM ({D_PLANT}) A GROUP BY l_partkey), "
+    "T AS (SELECT sum(g) AS gt, sum(h) AS ht FROM C), "
+    f"S AS (SELECT l_partkey, h, ht, {sg.d(0.5)} * (g * g / (h + {sg.d(_BH_LAMBDA)}) + (gt - g) * (gt - g) / (ht - h + {sg.d(_BH_LAMBDA)}) "
+    f"- gt * gt / (ht + {sg.d(_BH_LAMBDA)})) AS gain FROM C, T) "
+    f"SELECT l_partkey AS category, h AS h_with, ht - h AS h_without, {sg.rnd('gain')} AS gain FROM S WHERE h >= 1 AND ht - h >= 1 ORDER BY gain DESC, l_partkey LIMIT 1")
+
+
+@register("boost_sparse_categories", _SPARSE_SQL)
+def q_boost_sparse_categories(spark, sf_dir):
+    """The root split over a one-hot column of every part key, from sparse rows: one bundle, one code a row."""
+    from pyspark.ml.feature import OneHotEncoder
+    from ..operators import bins, boost
+    df = fx.lineitem_design(spark, sf_dir).select(F.col("l_partkey").cast("double").alias("part"), "label")
+    df = OneHotEncoder(inputCols=["part"], outputCols=["features"], dropLast=False).fit(df).transform(df).select("features", "label", F.lit(-1).alias("fold"))
+    est = boost.xgboost_like("reg:squarederror", regLambda=_BH_LAMBDA, minChildWeight=1.0)
+    found = bins.find_bins(df.select("features"), "features", 64, True)
+    fit = boost.Fit(df, found, "reg:squarederror", 1, [boost.Spec(est.rule(), 1, None, np.zeros(1))], "spark")
+    sums, grower = _root_sums(fit)
+    return boost.searched(sums, fit.bins, [grower.rule]).select("split.*").select(F.col("feat").alias("category"), F.col("hl").alias("h_with"), F.col("hr").alias("h_without"), rnd("gain").alias("gain"))
+
+
+_EDGE_BINS = 8
+_EDGE_WEIGHT = f"({sg.d(1.0)} / ({sg.d(1.0)} + exp(-(f0 * {sg.d(4.0)} - f1 * {sg.d(3.0)}))))"
+_EDGE_ROWS = " UNION ALL ".join(f"SELECT CAST({j} AS INTEGER) AS feat_id, f{j} AS x, {_EDGE_WEIGHT} * ({sg.d(1.0)} - {_EDGE_WEIGHT}) AS w FROM ({D_PLANT}) A" for j in range(3))
+
+
+@register("boost_weighted_edges", f"""
+WITH V AS (SELECT feat_id, x, sum(w) AS w FROM ({_EDGE_ROWS}) u GROUP BY feat_id, x),
+C AS (SELECT feat_id, x, w, sum(w) OVER (PARTITION BY feat_id ORDER BY x) AS upto, sum(w) OVER (PARTITION BY feat_id) AS total FROM V),
+R AS (SELECT feat_id, x, floor(upto * {_EDGE_BINS} / total + 1e-9::DOUBLE) AS hi, floor((upto - w) * {_EDGE_BINS} / total + 1e-9::DOUBLE) AS lo FROM C)
+SELECT feat_id, row_number() OVER (PARTITION BY feat_id ORDER BY x) AS edge, x AS threshold FROM R WHERE hi > lo AND lo < {_EDGE_BINS} - 1""")
+def q_boost_weighted_edges(spark, sf_dir):
+    """Bin edges by hessian weight p (1 - p) of a logistic score, from the mergeable weighted summary."""
+    from ..operators import bins
+    f = F.col("features")
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(f[0] * 4.0 - f[1] * 3.0)))
+    df = fx.lineitem_design(spark, sf_dir).select(F.slice("features", 1, 3).alias("x"), (p * (F.lit(1.0) - p)).alias("w"))
+    found = bins.edges(df, "x", 3, _EDGE_BINS, weight="w")
+    return found.select(F.col("feat").alias("feat_id"), F.posexplode("edges").alias("edge", "threshold")).select("feat_id", (F.col("edge") + 1).cast("long").alias("edge"), "threshold")

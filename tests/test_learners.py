@@ -91,7 +91,7 @@ def test_leaf_growth_is_best_first(spark):
 
 
 def test_stored_margins_do_not_change_the_model(spark, monkeypatch):
-    """Updating the stored margins every few rounds gives the trees of a fit that never does."""
+    """Cutting the state by a checkpoint every few rounds gives the trees of a fit that never does."""
     from proxlab.operators import boost
     rng = np.random.default_rng(1)
     X = rng.normal(size=(400, 2))
@@ -99,7 +99,7 @@ def test_stored_margins_do_not_change_the_model(spark, monkeypatch):
     df = spark.createDataFrame([(x.tolist(), float(v)) for x, v in zip(X, y)], "features array<double>, label double")
     preds = []
     for every in (3, 1000):
-        monkeypatch.setattr(boost, "UPDATE_ROUNDS", every)
+        monkeypatch.setattr(boost, "CUT_ROUNDS", every)
         preds.append(boost.xgboost_like("reg:squarederror", numRound=8, maxDepth=3).fit(df).transform(df).toPandas().prediction)
     assert np.allclose(*preds) and ((preds[0] - y) ** 2).mean() < 0.6 * y.var()
 

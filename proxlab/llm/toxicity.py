@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -273,9 +273,13 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, key: s
     # at most 2 max_rows sizes; the texts of what fits are then read and kept
     size = F.coalesce(F.sum(F.octet_length("text")), F.lit(0))
     sizes = named.join(F.broadcast(picked), "k").groupBy("k", "toxic").agg(size.alias("size")).where(F.col("size") <= max_bytes // 16)
-    upto = Window.partitionBy("toxic").orderBy(F.xxhash64("k", F.lit(1)), "k").rowsBetween(Window.unboundedPreceding, 0)
-    fits = sizes.withColumn("upto", F.sum("size").over(upto)).where(F.col("upto") <= max_bytes)
-    picked_fit = held(picked.join(F.broadcast(fits.select("k")), "k"))
+    kept, upto = [], {}
+    for r in sizes.orderBy(F.xxhash64("k", F.lit(1)), "k").collect():
+        upto[r["toxic"]] = upto.get(r["toxic"], 0) + r["size"]
+        if upto[r["toxic"]] <= max_bytes:
+            kept.append((r["k"],))
+    fits = spark.createDataFrame(kept, T.StructType([T.StructField("k", one.schema["k"].dataType)]))
+    picked_fit = held(picked.join(F.broadcast(fits), "k"))
     texts = held(named.join(F.broadcast(picked_fit), "k"))
     pairs = held(count_pairs(texts.where("counted"), "text"))
     units, contexts, bigrams, unknown = count_models(pairs)

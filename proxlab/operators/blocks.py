@@ -14,7 +14,8 @@ No vector, of length n or m, is ever on the driver.
 :func:`admm` carries, beside x, its image ``G x = A^T A x``.  Since the multiplier and the split variable of linearized
 ADMM stay of the form p = A a + gamma b, y = A d + eps b, the images of all other vectors follow by the same linear
 updates as the vectors themselves, and an iteration costs one product.  The product's last sum and the updates meet in
-one pass by column block, whose result is cut by a reliable checkpoint.
+one pass by column block, whose result is written to the shared scratch folder and read again: that cuts the lineage,
+and its size is known (a checkpoint keeps the product of the plan's size estimates, whose digits double every iteration).
 """
 
 from __future__ import annotations
@@ -313,7 +314,8 @@ def admm(matrix: ColumnBlocks, b: DataFrame, lam: float, penalty: str = "l1", be
     weight, push, eps = next(ahead)
     at = Numbers(u, weight, push)
     empty = matrix.column_blocks().withColumn("x", F.transform(F.sequence(F.lit(1), F.col("size")), lambda _: F.lit(0.0)))
-    state = _with_sums(empty, ("x",), matrix.backward_parts(matrix.with_columns(b)), whole, lambda s, c, at=at: updates.begin(c, at)).checkpoint()
+    state = _with_sums(empty, ("x",), matrix.backward_parts(matrix.with_columns(b)), whole, lambda s, c, at=at: updates.begin(c, at))
+    state = matrix.local(state, "admm-state")
     watch = tol > 0 or line_search
     history: list[dict] = []
     k = 0
@@ -324,7 +326,8 @@ def admm(matrix: ColumnBlocks, b: DataFrame, lam: float, penalty: str = "l1", be
         while watch:
             # the state travels with the trial point's image, so that what follows needs no other table
             state = _with_sums(state, whole, matrix.product_parts(state), (*STATE, "gw", *SUMS),
-                               lambda s, g, at=at: {**s, "gw": g, **updates.sums(s, g, at)}).checkpoint()
+                               lambda s, g, at=at: {**s, "gw": g, **updates.sums(s, g, at)})
+            state = matrix.local(state, "admm-trial")
             sums = state.agg(*[F.sum(F.col(n)[0]).alias(n) for n in SUMS]).first()
             if not line_search or not too_far(sums, u):
                 break
@@ -341,7 +344,8 @@ def admm(matrix: ColumnBlocks, b: DataFrame, lam: float, penalty: str = "l1", be
             state = _updated(state, (*STATE, "gw"), lambda s, at=at, then=then: updates.settled(s, s["gw"], at, then))
             entry |= stops(sums, eps, bb)
         else:
-            state = _with_sums(state, whole, matrix.product_parts(state), whole, lambda s, g, at=at, then=then: updates.settled(s, g, at, then)).checkpoint()
+            state = _with_sums(state, whole, matrix.product_parts(state), whole, lambda s, g, at=at, then=then: updates.settled(s, g, at, then))
+            state = matrix.local(state, "admm-state")
         history.append({**entry, "step": u})
         at, eps = then, eps_next
         if watch and within(entry, sums, bb, tol):

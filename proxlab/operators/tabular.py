@@ -165,6 +165,26 @@ def evaluate(pred: DataFrame, task: str) -> dict:
     return out
 
 
+def baseline(df: DataFrame, label: str, key: str, task: str, split_seed: int = 0, drop: list[str] = ()) -> dict:
+    """n_train, n_test and what the constant prediction learned from the training rows reaches on the test rows: accuracy of
+    their most frequent class (the smallest of equally frequent ones), or root mean squared error of their mean."""
+    data = df.drop(*drop).na.drop("any").select(F.col(label).alias("y"), prep.hash_split_col(key, 80, split_seed).alias("train"))
+    if task == "regression":
+        # squares about the training mean, from sums about any number: the mean of all rows keeps them accurate
+        mean = data.where("train").agg(F.avg("y")).first()[0]
+        r = data.agg(F.count_if("train").alias("n_train"), F.count_if(~F.col("train")).alias("n_test"),
+                     F.sqrt(F.avg(F.when(~F.col("train"), (F.col("y") - F.lit(mean)) ** 2))).alias("baseline")).first()
+        return r.asDict()
+    count = {(r["train"], r["y"]): r["count"] for r in data.groupBy("train", "y").count().collect()}
+    n = {side: sum(c for (t, _), c in count.items() if t == side) for side in (True, False)}
+    best = min((y for t, y in count if t), key=lambda y: (-count[True, y], y))
+    return {"n_train": n[True], "n_test": n[False], "baseline": count.get((False, best), 0) / max(1, n[False])}
+
+
+def beats(metrics: dict, base: dict, task: str) -> bool:
+    return metrics["rmse"] < base["baseline"] if task == "regression" else metrics["accuracy"] > base["baseline"]
+
+
 def metrics_df(spark: SparkSession, res: TabularResult) -> DataFrame:
     schema = T.StructType([T.StructField("metric", T.StringType()), T.StructField("value", T.DoubleType())])
     rows = [(k, None if v is None else float(v)) for k, v in sorted(res.metrics.items())]

@@ -111,7 +111,7 @@ def _sql_planted(w) -> str:
     return out
 
 
-def _sql_class_score() -> str:
+def sql_class_score() -> str:
     return f"({_sql_planted(CLS_W)} + {SQL_NOISE} * {CLS_NOISE!r})"
 
 
@@ -120,7 +120,7 @@ def sql_label(target: str) -> str:
         return f"({_sql_planted(PLANT_W)} + {SQL_NOISE})"
     if target == "price":
         return "(l_extendedprice / 100000.0)"
-    s = _sql_class_score()
+    s = sql_class_score()
     if target == "binary":
         return f"CAST(CASE WHEN {s} > 0 THEN 1.0 ELSE 0.0 END AS DOUBLE)"
     if target == "pm1":

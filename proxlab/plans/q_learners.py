@@ -219,16 +219,47 @@ def _run_tabular(spark, sf_dir, kind, ds, grid, params, seed):
                                  learner_params=params, drop=drop)
 
 
+#: key and label of each dataset's complete rows
+_ROWS_SQL = {
+    "bank": f"SELECT l_orderkey AS k, CASE WHEN {fx.sql_class_score()} > 0 THEN 'yes' ELSE 'no' END AS y FROM lineitem",
+    "covtype": f"SELECT l_orderkey AS k, CASE WHEN {fx.sql_class_score()} < {fx.MULTI_CUTS[0]!r} THEN 1 WHEN {fx.sql_class_score()} < {fx.MULTI_CUTS[1]!r} THEN 2 ELSE 3 END AS y FROM lineitem",
+    "house": f"SELECT p_partkey AS k, p_size * {sg.d(fx.HOUSE_SIZE_W)} + length(p_type) * {sg.d(fx.HOUSE_TYPE_W)} + CAST(p_partkey * {fx.HASH_MUL[0]} % 1000 AS DOUBLE) / {sg.d(10.0)} AS y "
+             "FROM part WHERE p_partkey % 13 <> 5 AND p_partkey % 17 <> 0",
+}
+
+
+def _baseline_sql(ds: str, seed: int) -> str:
+    if _DATASETS[ds][3] == "regression":
+        value = "(SELECT sqrt(avg((y - (SELECT avg(y) FROM S WHERE train)) * (y - (SELECT avg(y) FROM S WHERE train)))) FROM S WHERE NOT train)"
+    else:
+        value = "(SELECT avg(CASE WHEN y = (SELECT y FROM S WHERE train GROUP BY y ORDER BY count(*) DESC, y LIMIT 1) THEN 1.0 ELSE 0.0 END) FROM S WHERE NOT train)"
+    return (f"WITH S AS (SELECT y, (k * 7919 + {seed}) % 100 < 80 AS train FROM ({_ROWS_SQL[ds]}) r) "
+            "SELECT 'n_train' AS metric, CAST(count(*) AS DOUBLE) AS value FROM S WHERE train UNION ALL SELECT 'n_test', CAST(count(*) AS DOUBLE) FROM S WHERE NOT train "
+            f"UNION ALL SELECT 'baseline', {sg.rnd(f'CAST({value} AS DOUBLE)')} UNION ALL SELECT 'beats_baseline', {sg.d(1.0)}")
+
+
 def _tabular_query(kind, ds, grid, params, seed):
+    """Rows of the held-out check: sizes of the split, the constant prediction's score, and whether the tuned model beats it."""
     def q(spark, sf_dir):
+        make, label, key, task, drop = _DATASETS[ds]
         res, pred = _run_tabular(spark, sf_dir, kind, ds, grid, params, seed)
         pred.unpersist()
-        return tabular.metrics_df(spark, res).select("metric", rnd("value").alias("value"))
+        base = tabular.baseline(make(spark, sf_dir), label, key, task, seed, drop)
+        rows = [*((k, float(v)) for k, v in base.items()), ("beats_baseline", float(tabular.beats(res.metrics, base, task)))]
+        return spark.createDataFrame(rows, "metric string, value double").select("metric", rnd("value").alias("value"))
     return q
 
 
 for _q, _kind, _ds, _grid, _params, _seed in _TABULAR:
-    register(_q)(_tabular_query(_kind, _ds, _grid, _params, _seed))
+    register(_q, _baseline_sql(_ds, _seed))(_tabular_query(_kind, _ds, _grid, _params, _seed))
+
+
+@register("tabular_report")
+def q_tabular_report(spark, sf_dir):
+    """Every held-out metric of the tuned booster on the regression table."""
+    res, pred = _run_tabular(spark, sf_dir, "xgb", "house", _XGB_GRID, {"numRound": 20}, 0)
+    pred.unpersist()
+    return tabular.metrics_df(spark, res).select("metric", rnd("value").alias("value"))
 
 
 @register("cv_select")

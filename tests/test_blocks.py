@@ -119,6 +119,36 @@ def test_column_text_round_trip(spark, tmp_path):
     assert got == {(i, j): a[i, j] for i, j in zip(*np.nonzero(a))}
 
 
+def test_long_columns_are_read_in_pieces(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(230, 3)) * (rng.random((230, 3)) < 0.7)
+    rows = spark.createDataFrame([(i, a[i].tolist()) for i in range(230)], "row_id long, features array<double>").repartition(5)
+    path = str(tmp_path / "at")
+    text.write_column_lines(linalg.to_coo(rows, ["row_id"], keep_zeros=True), path, piece=16)
+    # no line holds more than a piece, and a column goes on over lines and files
+    assert spark.read.text(path).selectExpr("max(size(split(value, ',')))").first()[0] == 16 and spark.read.text(path).count() == 3 * 15
+    got = {(r.row_id, r.feat_id): r.value for r in text.read_column_entries(spark, path).collect()}
+    assert got == {(i, j): a[i, j] for i, j in zip(*np.nonzero(a))}
+    pieces = text.read_column_pieces(spark, path)
+    assert pieces.selectExpr("max(size(features))").first()[0] == 16
+    matrix = blocks.from_column_lines(pieces, 25, 2)
+    assert (matrix.m, matrix.n, matrix.entries) == (230, 3, (a != 0).sum()) and abs(matrix.trace - (a * a).sum()) < 1e-9
+    vec = matrix.column_blocks().join(matrix.local(spark.createDataFrame([(0, [1.0, -2.0]), (1, [0.5])], "cb long, w array<double>"), "w"), "cb")
+    assert np.allclose(dense(matrix.product_parts(vec), matrix, 3), a.T @ (a @ [1.0, -2.0, 0.5]), atol=1e-12)
+    matrix.close()
+    with pytest.raises(ValueError, match="numbered"):
+        blocks.from_column_lines(pieces.where("start <> 32"))
+
+
+def test_lines_go_on_over_files_and_splits(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    for name, said in (("a", "1,2\\\n3\\\n"), ("b", "4\n5,6\n"), ("c", "7\\\n"), ("d", "8,9"), ("e", "0,1.5\n")):
+        (tmp_path / "p" / name).write_text(said)
+    got = {(r.row_id, r.feat_id): r.value for r in text.read_column_entries(spark, str(tmp_path / "p")).collect()}
+    want = [[1, 2, 3, 4], [5, 6], [7, 8, 9], [0, 1.5]]
+    assert got == {(i, j): v for j, line in enumerate(want) for i, v in enumerate(line) if v}
+
+
 def test_numbered_rows(spark):
     rows = [(i % 7, f"v{i % 3}") for i in range(50)] + [(None, "n")] * 2 + [(3, "v0")] * 30
     df = spark.createDataFrame(rows, "k long, part string").repartition(6)

@@ -222,3 +222,33 @@ def test_trees_reach_their_depth(spark):
     for depth in (1, 2, 3):
         model = boost.HistBoost(objective="reg:squarederror", numRound=1, maxDepth=depth, eta=1.0, regLambda=0.0).fit(df)
         assert model.transform(df).select("prediction").distinct().count() == 2 ** depth
+
+
+def test_edges_of_many_features_are_one_array():
+    import pickle
+    rng = np.random.default_rng(8)
+    lists = [np.unique(rng.integers(-3, 9, rng.integers(0, 6)) / 2) for _ in range(500)]
+    b = bins.FeatureBins.of(lists, np.zeros(1, np.int64), False)
+    feat, value = rng.integers(0, 500, 4000), rng.integers(-4, 10, 4000) / 2
+    assert (b.edges.below(feat, value) == [np.searchsorted(lists[f], v) for f, v in zip(feat, value)]).all()
+    assert (b.default == [np.searchsorted(e, 0.0) + 1 for e in lists]).all() and all((x == y).all() for x, y in zip(b.edges, lists, strict=True))
+    # a one-hot column costs some numbers in a task, not an object
+    assert len(pickle.dumps(bins.FeatureBins.of([np.ones(1)] * 20000, np.zeros(1, np.int64), True))) < 20000 * 60
+
+
+def test_equal_entries_of_a_task_are_put_together_before_they_are_summarized(monkeypatch):
+    held = []
+    monkeypatch.setattr(bins, "MERGE_ENTRIES", 1000)
+    plain = bins.compressed
+    monkeypatch.setattr(bins, "compressed", lambda f, *rest: held.append(len(f)) or plain(f, *rest))
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            one = pa.RecordBatch.from_arrays([pa.array([[float(1 + i % 7), float(1 + i % 3)] for i in range(500)])], names=["features"])
+            return list(run(iter([one] * 40)))
+
+    (out,) = bins.summary(Rows(), "features", 2)
+    assert max(held) <= 40 * 10 and out.num_rows == 10 and sum(out["weight"].to_pylist()) == 40 * 1000

@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +32,8 @@ from .linalg import _batch_matrix, _batch_vector, sum_partials
 
 _PARTIAL = "k long, v double"
 DRAW_PARTS = 1 << 20
+# numbers in a block of rows
+BLOCK_NUMBERS = 1 << 16
 # workers of parallel SGD: part of the model's definition, not of the cluster's
 WORKERS = 8
 
@@ -260,6 +262,39 @@ def fit_minibatch_sgd(df: DataFrame, n: int, num_classes: int, step_size: float
     return FitResult(W, hist, i, p.evals)
 
 
+def worker_blocks(src: DataFrame, n: int, num_classes: int, workers: int) -> DataFrame:
+    """[_worker, label, features]: the rows [features, label, _order, _worker] of each worker by ``_order``, many to a block.
+
+    Rows are put in order in as many ranges as a shuffle has partitions, and each range is packed into blocks of numbers; only
+    blocks are brought together by worker, so no task sorts a worker's rows and a pass reads plain numbers.
+    """
+    spark = src.sparkSession
+    keys = ["_worker", "_order", "label", "features"]
+    ranges = max(workers, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    most = max(1, BLOCK_NUMBERS // (n + 1))
+
+    def run(batches):
+        part, seq = TaskContext.get().partitionId(), 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            whose = b.column(0).to_numpy()
+            A, y = _batch_matrix(b, "features", n), _batch_vector(b, "label")
+            check_labels(y, num_classes)
+            for lo, hi in zip(cuts := np.r_[0, np.flatnonzero(np.diff(whose)) + 1].tolist(), [*cuts[1:], len(whose)], strict=True):
+                for at in range(lo, hi, most):
+                    end = min(at + most, hi)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(whose[at])], pa.int32()), pa.array([part], pa.int32()), pa.array([seq], pa.int64()),
+                                                      pa.array([y[at:end].tobytes()], pa.binary()), pa.array([A[at:end].tobytes()], pa.binary())], names=["_worker", "part", "seq", "label", "features"])
+                    seq += 1
+
+    # the ranges ascend with their number; a set number of partitions stays as it is
+    ordered = src.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).select("_worker", "label", "features")
+    packed = ordered.mapInArrow(run, "_worker int, part int, seq long, label binary, features binary")
+    # with more ranges than workers every worker is a range of its own
+    return packed.repartitionByRange(4 * workers, "_worker").sortWithinPartitions("_worker", "part", "seq").select("_worker", "label", "features")
+
+
 def fit_parallel_sgd(df: DataFrame, n: int, num_classes: int = 2, epochs: int = 100, step_size: float = 1.0,
                      reg: float = 0.0, batch: int = 64, key: str | None = None, workers: int = WORKERS,
                      features: str = "features", label: str = "label") -> FitResult:
@@ -273,10 +308,9 @@ def fit_parallel_sgd(df: DataFrame, n: int, num_classes: int = 2, epochs: int =
     spark = df.sparkSession
     src = df.select(F.col(features).alias("features"), F.col(label).cast("double").alias("label"),
                     F.xxhash64(*([key] if key else [features, label])).alias("_order"))
-    # the same worker for a row at any parallelism: exactly ``workers`` partitions by an explicit number
+    # the same worker for a row at any parallelism
     src = src.withColumn("_worker", F.pmod("_order", F.lit(workers)).cast("int"))
-    src = (src.repartition(workers, "_worker").sortWithinPartitions("_worker", "_order", "label", "features")
-           .select("features", "label", "_worker").persist(StorageLevel.MEMORY_AND_DISK))
+    src = worker_blocks(src, n, num_classes, workers).persist(StorageLevel.MEMORY_AND_DISK)
     K = num_classes
     W = np.zeros(n) if K == 2 else np.zeros((K - 1, n))
     nparts = src.rdd.getNumPartitions()
@@ -290,35 +324,40 @@ def fit_parallel_sgd(df: DataFrame, n: int, num_classes: int = 2, epochs: int =
                 out, w, cnt, loss, worker = [], None, 0, 0.0, None
                 A, y = np.zeros((0, n)), np.zeros(0)
 
-                def step(Ab, yb):
-                    nonlocal w, cnt, loss
-                    lb, gb = (_np_binary if K == 2 else _np_multinomial)(Ab, yb, w)
-                    loss += lb
-                    w = w - eta0 * (gb / len(yb) + reg * w)
-                    cnt += len(yb)
+                def steps(last=False):
+                    """The local steps over all whole batches at hand, and over what is left at the worker's end."""
+                    nonlocal w, cnt, loss, A, y
+                    done = len(y) if last else len(y) - len(y) % batch
+                    m = np.empty(done)
+                    for lo in range(0, done, batch):
+                        Ab, yb = A[lo:min(lo + batch, done)], y[lo:min(lo + batch, done)]
+                        if K == 2:
+                            m[lo:lo + len(yb)] = mb = Ab @ w
+                            gb = (1.0 / (1.0 + np.exp(-mb)) - yb) @ Ab
+                        else:
+                            lb, gb = _np_multinomial(Ab, yb, w)
+                            loss += lb
+                        w = w - eta0 * (gb / len(yb) + reg * w)
+                    if K == 2:
+                        loss += float(np.sum(np.maximum(m, 0) + np.log1p(np.exp(-np.abs(m))) - y[:done] * m))
+                    cnt += done
+                    A, y = A[done:], y[done:]
 
                 def finish():
                     if worker is not None:
-                        if len(y):
-                            step(A, y)
+                        steps(last=True)
                         out.append(np.concatenate([(w * cnt).ravel(), [float(cnt), loss]]))
 
                 for b in batches:
-                    whose = _batch_vector(b, "_worker").astype(np.int64)
-                    Ab, yb = _batch_matrix(b, "features", n), _batch_vector(b, "label")
-                    check_labels(yb, K)
-                    # a partition may hold several workers' rows, one after the other
-                    for part in np.split(np.arange(len(whose)), np.flatnonzero(np.diff(whose)) + 1):
-                        if not len(part):
-                            continue
-                        if whose[part[0]] != worker:
+                    for whose, label_bytes, feature_bytes in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                        # a partition may hold several workers' rows, one after the other
+                        if whose != worker:
                             finish()
-                            worker, w, cnt, loss = whose[part[0]], bw.value.copy(), 0, 0.0
+                            worker, w, cnt, loss = whose, bw.value.copy(), 0, 0.0
                             A, y = np.zeros((0, n)), np.zeros(0)
-                        A, y = np.concatenate([A, Ab[part]]), np.concatenate([y, yb[part]])
-                        while len(y) >= batch:
-                            step(A[:batch], y[:batch])
-                            A, y = A[batch:], y[batch:]
+                        A = np.concatenate([A, np.frombuffer(feature_bytes.as_buffer()).reshape(-1, n)])
+                        y = np.concatenate([y, np.frombuffer(label_bytes.as_buffer())])
+                        steps()
                 finish()
                 v = np.sum(out, axis=0) if out else np.zeros(bw.value.size + 2)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int64)), pa.array(v)],

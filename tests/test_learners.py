@@ -132,3 +132,16 @@ def test_parallel_sgd_does_not_depend_on_layout(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     b = logistic.fit_parallel_sgd(df.coalesce(1), 2, epochs=3, key="id", workers=4).weights
     assert np.allclose(a, b)
+
+
+def test_worker_blocks_keep_the_order_and_pack_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(rng.random(2).tolist(), float(i % 2), int(o), int(o % 3)) for i, o in enumerate(rng.permutation(3000))]
+    src = spark.createDataFrame(rows, "features array<double>, label double, _order long, _worker int").repartition(7)
+    got = logistic.worker_blocks(src, 2, 2, 3).select("*", F.spark_partition_id().alias("p")).collect()
+    assert len(got) < 100 and len({r.p for r in got}) == 3
+    for w in range(3):
+        mine = sorted((r for r in rows if r[3] == w), key=lambda r: r[2])
+        packed = np.concatenate([np.frombuffer(r.features).reshape(-1, 2) for r in got if r["_worker"] == w])
+        assert (packed == [r[0] for r in mine]).all()
+        assert np.concatenate([np.frombuffer(r.label) for r in got if r["_worker"] == w]).tolist() == [r[1] for r in mine]

@@ -252,3 +252,27 @@ def test_equal_entries_of_a_task_are_put_together_before_they_are_summarized(mon
 
     (out,) = bins.summary(Rows(), "features", 2)
     assert max(held) <= 40 * 10 and out.num_rows == 10 and sum(out["weight"].to_pylist()) == 40 * 1000
+
+
+def test_paths_of_binned_rows(monkeypatch):
+    rng = np.random.default_rng(9)
+    b = bins.FeatureBins.of([np.arange(1.0, 6.0), np.arange(-2.0, 3.0), np.ones(1)], np.array([0, 1]), False)
+    t = {"feature": [0, 1, 2, -1, -1, -1, -1], "bin": [3, 2, 1, 0, 0, 0, 0], "default_left": [True, False, False, True, True, True, True],
+         "left": [1, 3, 5, -1, -1, -1, -1], "right": [2, 4, 6, -1, -1, -1, -1], "value": [0.0] * 7}
+    t = {k: np.array(v) for k, v in t.items()}
+    codes = np.stack([rng.integers(0, b.start[1] + 1, 400), np.where(rng.random(400) < 0.3, 0, rng.integers(b.start[1] + 1, b.codes + 1, 400))], axis=1)
+
+    def walked(row):
+        node = 0
+        while t["feature"][node] >= 0:
+            f = t["feature"][node]
+            place = row[b.bundle[f]] - 1 - b.start[f]
+            place = place if 0 <= place < b.start[f + 1] - b.start[f] else b.default[f]
+            node = t["left" if (t["default_left"][node] if place == 0 else place <= t["bin"][node]) else "right"][node]
+        return node
+
+    want = [walked(r) for r in codes]
+    assert len(set(want)) == 4 and (boost.Path(t, b).leaves(codes) == want).all()
+    monkeypatch.setattr(boost, "SIDE_CELLS", 0)
+    path = boost.Path(t, b)
+    assert path.side is None and (path.leaves(codes) == want).all()

@@ -116,3 +116,19 @@ def test_sparse_recovery_embeddings(spark):
     assert set(fx.EMB_SUPPORT) <= support
     big = sorted(range(64), key=lambda j: -abs(res.x[j]))[:6]
     assert set(big) == set(fx.EMB_SUPPORT)
+
+
+def test_pass_operator_packs_rows_and_agrees_with_plain_sums(spark, monkeypatch):
+    """Rows are persisted as blocks of numbers (narrow and wide vectors); every product still uses every row."""
+    rng = np.random.default_rng(5)
+    for n in (3, linalg.JVM_UNROLL_MAX + 2):
+        monkeypatch.setattr(linalg, "BLOCK_NUMBERS", 7 * n)
+        A, b = rng.normal(size=(500, n)), rng.normal(size=500)
+        df = spark.createDataFrame([(x.tolist(), float(y)) for x, y in zip(A, b)], "features array<double>, label double").repartition(3)
+        op = linalg.make_operator(df, n, method="pass")
+        blocks = [np.frombuffer(r.block).reshape(-1, n) for r in op.rows.collect()]
+        assert sum(map(len, blocks)) == 500 and max(map(len, blocks)) <= 14 and len(blocks) >= 36
+        v = rng.normal(size=n)
+        assert np.allclose(op.gv(v), A.T @ (A @ v)) and np.allclose(op.c, A.T @ b) and op.m == 500
+        assert np.isclose(op.residual_sq(v), np.sum((A @ v - b) ** 2))
+        op.close()

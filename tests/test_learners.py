@@ -145,3 +145,52 @@ def test_worker_blocks_keep_the_order_and_pack_rows(spark):
         packed = np.concatenate([np.frombuffer(r.features).reshape(-1, 2) for r in got if r["_worker"] == w])
         assert (packed == [r[0] for r in mine]).all()
         assert np.concatenate([np.frombuffer(r.label) for r in got if r["_worker"] == w]).tolist() == [r[1] for r in mine]
+
+
+def _folded(spark, n=600):
+    from pyspark.ml.functions import array_to_vector
+    from proxlab.operators import tabular
+    rng = np.random.default_rng(4)
+    X = rng.integers(0, 20, (n, 4)).astype(float)
+    y = (X[:, 0] * X[:, 1] + 40 * (X[:, 2] > 12) + rng.normal(scale=30, size=n) > 110).astype(float) + (X[:, 3] > 15)
+    df = spark.createDataFrame([(x.tolist(), float(v), i % 3) for i, (x, v) in enumerate(zip(X, y))], f"x array<double>, label double, {tabular.FOLD_COL} int")
+    return df.select(array_to_vector("x").alias("raw"), "label", tabular.FOLD_COL).persist()
+
+
+@pytest.mark.parametrize("kind", ["dt", "rf"])
+@pytest.mark.parametrize("task", ["multi", "regression"])
+def test_a_cut_tree_is_the_tree_of_that_depth(spark, kind, task):
+    from proxlab.operators import tabular
+    df = _folded(spark).withColumnRenamed("raw", "features")
+    deepest = tabular.learner(kind, task, maxDepth=6).fit(df)
+    for depth in (0, 2, 4):
+        plain = tabular.learner(kind, task, maxDepth=depth).fit(df)
+        got = tabular.cut(deepest, depth)
+        assert got.toDebugString.split("\n")[1:] == plain.toDebugString.split("\n")[1:]
+        assert got.transform(df).select("prediction").collect() == plain.transform(df).select("prediction").collect()
+
+
+@pytest.mark.parametrize("room", [0, 1 << 40])
+def test_depths_share_a_fit_and_keep_their_metrics(spark, monkeypatch, room):
+    """One fit per fold for all depths, whether one fit at a time has room or all have; the metrics are those of a fit for each."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from proxlab.operators import tabular
+    train = _folded(spark)
+    est, judge = tabular.learner("dt", "multi"), tabular.evaluator("multi")
+    grid = tabular.build_grid(est, {"maxDepth": [5, 2], "minInfoGain": [0.0, 0.01]})
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=["raw"], outputCol="features")])
+    want = []
+    for p in grid:
+        scores = []
+        for fold in range(3):
+            rest, held = train.where(f"{tabular.FOLD_COL} <> {fold}"), train.where(f"{tabular.FOLD_COL} = {fold}")
+            model = pipe.fit(rest)
+            scores.append(judge.evaluate(est.copy(p).fit(model.transform(rest)).transform(model.transform(held))))
+        want.append(sum(scores) / 3)
+    fits, fit = [], DecisionTreeClassifier.fit
+    monkeypatch.setattr(DecisionTreeClassifier, "fit", lambda self, *a: fits.append(self) or fit(self, *a))
+    monkeypatch.setattr(tabular, "storage_left", lambda spark: room)
+    assert np.allclose(tabular.cross_validate(train, pipe, est, grid, judge, 3, 8), want, rtol=1e-12)
+    assert len(fits) == 6          # 3 folds x 2 values of minInfoGain

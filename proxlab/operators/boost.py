@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 
 from ..session import checkpoint_dir, ship_package, spread
 from .bins import FeatureBins, entries, find_bins
-from .coded import GROUP_CODES, GROUP_SUMS, Groups, Leaves, add_up, leaf_masks
+from .coded import BLOCK_ROWS, GROUP_CODES, Groups, Leaves, add_up, dealt, groups_for, leaf_masks
 from .linalg import DIRECT_COLLECT_MAX, _batch_vector
 
 OBJECTIVES = ("binary:logistic", "multi:softprob", "reg:squarederror")
@@ -60,8 +60,6 @@ SPLIT_CELLS = 1 << 18
 TASK_CELLS = 4_000_000
 #: (node, code) pairs of a tree whose side a task looks up; beyond, it is worked out row by row
 SIDE_CELLS = 1 << 22
-#: rows of a block
-BLOCK_ROWS = 1 << 15
 #: fold of rows without one
 NO_FOLD = -1 << 40
 
@@ -417,17 +415,17 @@ class Fit:
     [model and class, row]) of one fold each.  A code is 0 where all features of the bundle are at their default, else the code
     of the entry's bin, counted from 1 in its bundle."""
 
-    def __init__(self, data: DataFrame, bins: FeatureBins, objective: str, K: int, specs: list[Spec], search: str):
+    def __init__(self, data: DataFrame, bins: FeatureBins, objective: str, K: int, specs: list[Spec], search: str, rows: int = 0):
         self.spark, self.bins, self.objective, self.K, self.specs, self.search = data.sparkSession, bins, objective, K, specs, search
         self.sc = self.spark.sparkContext
         self.shared = self.sc.broadcast(bins)
         self.first, self.sizes = bundle_codes(bins)
-        self.state = self._binned(data).persist(StorageLevel.MEMORY_AND_DISK)
+        self.state = self._binned(data, rows).persist(StorageLevel.MEMORY_AND_DISK)
         self.before: RDD | None = None
         self.partitions = self.state.getNumPartitions()
         self.passes = 0
 
-    def _binned(self, data: DataFrame) -> RDD:
+    def _binned(self, data: DataFrame, rows: int) -> RDD:
         shared, first, width, base = self.shared, self.first, self.bins.width, np.concatenate([s.base for s in self.specs])
         most = int(self.sizes.max())
         kind = np.uint8 if most <= 1 << 8 else np.uint16 if most <= 1 << 16 else np.int32
@@ -457,7 +455,8 @@ class Fit:
             y = np.frombuffer(r["label"])
             return r["fold"], np.frombuffer(r["codes"], kind).reshape(width, -1), y, np.tile(base[:, None], (1, len(y)))
 
-        return data.select("features", "label", "fold").mapInArrow(run, "fold long, codes binary, label binary").rdd.map(unpacked)
+        blocks = data.select("features", "label", "fold").mapInArrow(run, "fold long, codes binary, label binary")
+        return (dealt(blocks, rows, np.dtype(kind).itemsize * width + 8 + 8 * len(base)) if rows else blocks).rdd.map(unpacked)
 
     def finders(self, trees: dict[tuple[int, int], dict]):
         """(a function that makes (model, class) -> (leaf of each block's rows, or None where the root is one) for the tasks, the
@@ -622,14 +621,14 @@ class Fit:
         objective, folds = self.objective, [s.fold for s in self.specs]
         make, groups = self.finders(trees)
         dense = S * (codes + 1) <= TASK_CELLS
-        by = {n: Groups(sizes, max(1, GROUP_SUMS // n)) for n in {len(to) for _, to in asked.values()}} if dense else {}
+        by = groups_for({len(to) for _, to in asked.values()}, sizes) if dense else {}
 
         def run(blocks):
             found = make()
             total = {mk: [np.zeros((3, len(to) * cells)) for cells in by[len(to)].cells] for mk, (_, to) in asked.items()} if dense else {}
             for fold, rows, y, margins in blocks:
                 numbers = groups.numbers(rows)
-                to_sum = {n: g.numbers(rows) for n, g in by.items()}
+                to_sum = {id(g): g.numbers(rows) for g in {id(x): x for x in by.values()}.values()}
                 known: dict[int, tuple] = {}
                 for (m, k), (own, to) in asked.items():
                     if folds[m] == fold:
@@ -650,7 +649,7 @@ class Fit:
                     if not dense:
                         yield sparse(rows if some is None else rows[:, some], slot, to, g, h)
                         continue
-                    for i, (at, cells) in enumerate(zip(to_sum[len(to)], by[len(to)].cells, strict=True)):
+                    for i, (at, cells) in enumerate(zip(to_sum[id(by[len(to)])], by[len(to)].cells, strict=True)):
                         key = at if some is None else at.take(some)
                         add_up(total[m, k][i], key if len(to) == 1 else slot * cells + key, [g, h, None])
             for mk, parts in total.items():
@@ -791,7 +790,8 @@ def fit_many(dataset: DataFrame, models: list[tuple[HistBoost, int | None]], fol
         raise ValueError("maxBins must lie in 2 .. 2^20")
     ship_package(dataset.sparkSession)
     data = dataset.select(F.col(features).alias("features"), F.col(label).cast("double").alias("label"), F.col(fold_col).cast("int").alias("fold"))
-    data = spread(data).persist(StorageLevel.MEMORY_AND_DISK)
+    held = dataset.is_cached
+    data = data if held else spread(data).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         stats = data.groupBy("fold").agg(F.count("*").alias("n"), F.max("label").alias("most"), F.sum("label").alias("s")).collect()
         if not stats:
@@ -808,10 +808,11 @@ def fit_many(dataset: DataFrame, models: list[tuple[HistBoost, int | None]], fol
                 base[:] = s / n
             specs.append(Spec(m.rule(), m.getOrDefault(m.numRound), fold, base))
         bins = find_bins(data.select("features"), "features", max_bins, zero_missing)
-        fit = Fit(data, bins, objective, K, specs, search)
+        fit = Fit(data, bins, objective, K, specs, search, sum(r["n"] for r in stats))
         fit.run()
     finally:
-        data.unpersist()
+        if not held:
+            data.unpersist()
     fitted = []
     for (m, _), s in zip(models, specs, strict=True):
         model = HistBoostModel(featuresCol=features, predictionCol=m.getOrDefault(m.predictionCol), objective=objective,

@@ -9,7 +9,12 @@ first that all groups leave possible.  Neither depends on how often rows repeat.
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame
 
+from ..session import PARTITION_BYTES
+
+#: rows of a block
+BLOCK_ROWS = 1 << 15
 #: numbers of a group of bundles that trees look up
 GROUP_CODES = 1 << 12
 #: sums of a tree's nodes by the numbers of a group, at the most; a bundle of more codes is a group by itself
@@ -21,6 +26,13 @@ MOST_BITS = 1 << 26
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def dealt(blocks: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """The blocks of so many rows, dealt evenly to as many tasks as there are cores, or to a multiple where these would hold too much."""
+    cores = blocks.sparkSession.sparkContext.defaultParallelism
+    turns = max(1, -(-rows * row_bytes // (PARTITION_BYTES * cores)))
+    return blocks.repartition(int(max(1, min(cores * turns, 2 * rows // BLOCK_ROWS))))
+
+
 class Groups:
     """Bundles in groups whose numbers of codes multiply to ``most`` at the most: the largest first, each where it fits."""
 
@@ -131,6 +143,15 @@ class Leaves:
         return out
 
 
+def groups_for(nodes, sizes: np.ndarray, first: np.ndarray | None = None) -> dict[int, Groups]:
+    """By the number of a tree's nodes to sum: groups of few enough sums; the same ones for about as many nodes."""
+    made: dict[int, Groups] = {}
+    for n in nodes:
+        about = 1 << (n - 1).bit_length()
+        made.setdefault(about, Groups(sizes, max(1, GROUP_SUMS // about), first))
+    return {n: made[1 << (n - 1).bit_length()] for n in nodes}
+
+
 def add_up(total: np.ndarray, key: np.ndarray, weights: list[np.ndarray | None]) -> None:
     """Adds the weights (None: ones) by key to the rows of ``total``."""
     cells = total.shape[1]

@@ -159,3 +159,15 @@ def test_numbered_rows(spark):
     assert keys == sorted(keys)
     empty, none = numbered(df.limit(0), [F.col("k")], "row_no")
     assert none == 0 and empty.count() == 0
+
+
+def test_written_strips_are_read_some_at_a_time(spark):
+    """Before, a task decoded 4,096 strips at once: some 800 MB of whole strips, however small their file."""
+    a = np.random.default_rng(3).normal(size=(40, 5))
+    for row_block in (16, blocks.ROW_BLOCK, 1 << 24):
+        matrix, rhs = frames(spark, a, a @ np.ones(5), row_block, 2)
+        rows = int(matrix.spark.conf.get("spark.sql.parquet.columnarReaderBatchSize"))
+        assert rows == 1 or rows * row_block * blocks.ENTRY_BYTES <= blocks.READ_BYTES
+        assert matrix.local(rhs, "b").sparkSession.conf.get("spark.sql.parquet.columnarReaderBatchSize") == str(rows)
+        assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "4096" and matrix.entries == 200
+        matrix.close()

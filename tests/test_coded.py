@@ -91,11 +91,11 @@ def test_categories_are_not_named_in_the_metadata_that_python_reads(spark, monke
     from proxlab.operators import bins
     from proxlab.plans.registry import load_all
 
-    rows = [(i, i % 7, i % 40, 100.0 + i, float(i % 50), i % 11 / 100, i % 9 / 100) for i in range(400)]
+    rows = [(i, i % 7, i % 40, 100.0 + i, 900.0 if i % 40 == 3 else float(i % 50), i % 11 / 100, i % 9 / 100) for i in range(400)]
     cols = "l_orderkey long, l_linenumber int, l_partkey long, l_extendedprice double, l_quantity double, l_discount double, l_tax double"
     spark.createDataFrame(rows, cols).write.parquet(str(tmp_path / "lineitem.parquet"))
     seen, plain = [], bins.find_bins
     monkeypatch.setattr(bins, "find_bins", lambda rows, *a: seen.append(rows.schema["features"].metadata) or plain(rows, *a))
     found = load_all()[0]["boost_sparse_categories"](spark, str(tmp_path)).collect()
-    assert len(found) == 1 and found[0].h_with == 10.0 and found[0].h_without == 390.0
+    assert len(found) == 1 and (found[0].category, found[0].h_with, found[0].h_without) == (3, 10.0, 390.0)
     assert len(seen) == 1 and "ml_attr" not in seen[0]
